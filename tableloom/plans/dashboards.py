@@ -72,7 +72,7 @@ def p07(t):
     )
 
 
-@query("p08_scatter", f"SELECT sqft, actual_price FROM {PROPERTIES_SQL} ORDER BY l_orderkey, l_linenumber LIMIT 100")
+@query("p08_scatter", f"SELECT sqft, actual_price FROM {PROPERTIES_SQL} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 100")
 def p08(t):
     return properties(t).orderBy(*LINE_KEY).limit(100).select("sqft", "actual_price")
 

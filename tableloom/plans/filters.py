@@ -110,11 +110,11 @@ def b14(t):
 
 @query("b15_text_ranked", f"""
 WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
-tf AS (SELECT doc_id, len(list_filter(ws, lambda x: x = 'there')) AS a, len(list_filter(ws, lambda x: x = 'that')) AS b FROM w),
+tf AS (SELECT doc_id, len(list_filter(ws, lambda x: x = 'that')) AS a, len(list_filter(ws, lambda x: x = 'with')) AS b FROM w),
 df AS (SELECT count(*) AS n, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM tf)
 SELECT doc_id, round(a * ln(1 + n / da) + b * ln(1 + n / db), 4) AS score FROM tf, df WHERE a > 0 OR b > 0 ORDER BY a * ln(1 + n / da) + b * ln(1 + n / db) DESC, doc_id LIMIT 10""")
 def b15(t):
-    best = p.text_ranked(t.documents.select("doc_id", "text", "source"), ["text", "source"], "there that", 10, "doc_id")
+    best = p.text_ranked(t.documents.select("doc_id", "text", "source"), ["text", "source"], "that with", 10, "doc_id")
     return best.select("doc_id", F.round("score", 4).alias("score"))
 
 

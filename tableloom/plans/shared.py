@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 #: A property table derived from order lines, as a SQL relation.
-PROPERTIES_SQL = """(SELECT l_orderkey, l_linenumber, l_extendedprice AS actual_price, l_quantity * 100 AS sqft,
+PROPERTIES_SQL = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS actual_price, l_quantity * 100 AS sqft,
  l_discount * 100 AS school_rating, l_tax * 1000 AS walkability_score,
  CAST(year(l_shipdate) AS INTEGER) AS year_built, l_returnflag AS property_type FROM lineitem)"""
 
@@ -12,6 +12,8 @@ def properties(t):
     return t.lineitem.select(
         "l_orderkey",
         "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
         F.col("l_extendedprice").alias("actual_price"),
         (F.col("l_quantity") * 100).alias("sqft"),
         (F.col("l_discount") * 100).alias("school_rating"),
@@ -21,4 +23,5 @@ def properties(t):
     )
 
 
-LINE_KEY = ["l_orderkey", "l_linenumber"]
+#: The pair of keys repeats in the supplied data; part and supplier complete a total order.
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
