@@ -190,7 +190,7 @@ def fit_components(df: DataFrame, numeric: Sequence[str], k: int):
 
 def oriented_loadings(model) -> list[list[float]]:
     """p x k loadings with the largest entry of each component positive."""
-    matrix = model.pc.toArray()
+    matrix = model.pc.toArray().copy()
     for j in range(matrix.shape[1]):
         if matrix[abs(matrix[:, j]).argmax(), j] < 0:
             matrix[:, j] = -matrix[:, j]

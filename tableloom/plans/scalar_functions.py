@@ -110,7 +110,7 @@ def u13(t):
     )
 
 
-@query("u14_elapsed_ms", "SELECT event_id, epoch_ms(ts) - epoch_ms(date_trunc('day', ts)) AS ms FROM events")
+@query("u14_elapsed_ms", "SELECT event_id, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 1000 AS ms FROM events")
 def u14(t):
     return t.events.select("event_id", s.elapsed_ms(F.date_trunc("day", "ts"), F.col("ts")).alias("ms"))
 
