@@ -131,13 +131,15 @@ def isolation_forest(
     size = min(TREE_ROWS, rows) if max_samples == "auto" else min(int(max_samples), rows)
     # about twice the rows a tree needs; the tree keeps the ones with the smallest draws
     share = min(1.0, 2.0 * size / rows)
+    kept = min(1.0, 4.0 * n_estimators * share)  # thin a huge table before drawing per tree
+    thinned = ready.select(*names, F.rand(seed).alias("_salt")).where(F.rand(seed + 1) < F.lit(kept))
+    share = share / kept
     uniform = lambda i: F.pmod(F.xxhash64("_salt", i, F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     per_tree = F.transform(
         F.sequence(F.lit(0), F.lit(n_estimators - 1)), lambda i: F.struct(i.alias("tree"), uniform(i).alias("u"))
     )
     sampled = (
-        ready.select(*names, F.rand(seed).alias("_salt"))
-        .select(*names, F.explode(F.filter(per_tree, lambda e: e["u"] < F.lit(share))).alias("e"))
+        thinned.select(*names, F.explode(F.filter(per_tree, lambda e: e["u"] < F.lit(share))).alias("e"))
         .select(*names, "e.tree", "e.u")
     )
     limit = int(np.ceil(np.log2(max(size, 2))))
@@ -211,19 +213,21 @@ def elliptic_envelope(
     ready, names = standardised(df, numeric)
     p, n = len(names), ready.count()
     share = support_fraction or min(1.0, (n + p + 1) / (2.0 * n))
-    q = exact_quantiles(ready, {c: [0.25, 0.5, 0.75] for c in names})
+    slim = ready.select(*names).persist()
+    q = exact_quantiles(slim, {c: [0.25, 0.5, 0.75] for c in names})
     centre = np.array([q[c][1] for c in names])
     spread = np.array([max((q[c][2] - q[c][0]) / 1.349, 1e-6) for c in names])
     shape, last = np.diag(spread**2), np.inf
     for _ in range(steps):
-        distance = ready.withColumn("_d", mahalanobis(names, centre, shape))
-        cut = exact_quantiles(distance, {"_d": [share]})["_d"][0]
+        distance = slim.withColumn("_d", mahalanobis(names, centre, shape))
+        cut = distance.agg(F.percentile_approx("_d", share, 10_000)).collect()[0][0]
         m = moments(distance.where(F.col("_d") <= F.lit(cut)), names)[None]
         new = m.scatter / m.n + 1e-9 * np.eye(p)
         size = np.linalg.slogdet(new)[1]
         if size >= last - 1e-9:
             break
         centre, shape, last = m.mean, new, size
+    slim.unpersist()
     scored = ready.withColumn("anomaly_score", -F.sqrt(mahalanobis(names, centre, shape))).drop(*names)
     return contamination_cut(scored, "anomaly_score", contamination)
 
