@@ -185,9 +185,10 @@ def quality(df: DataFrame, names: Sequence[str], label: str = "cluster") -> Data
             out = out + (F.col(c) - F.lit(float(centre[j, i]))) * (F.col(c) - F.lit(float(centre[j, i])))
         return out
 
-    own = F.lit(None).cast("double")
-    for j in range(k):
-        own = F.when(F.col(label) == labels[j], gap2(j)).otherwise(own)
+    # one array of gaps per row, looked up by the row's cluster, keeps the plan small
+    spot = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)).cast("int")
+    rows = rows.withColumn("_gaps", F.array(*[gap2(j) for j in range(k)])).withColumn("_spot", spot)
+    own = F.element_at("_gaps", F.col("_spot"))
     mean_gap = {r[label]: r["g"] for r in rows.groupBy(label).agg(F.avg(F.sqrt(own)).alias("g")).collect()}
     scatter = np.array([mean_gap[v] for v in labels])
     apart = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(axis=2))
@@ -196,18 +197,17 @@ def quality(df: DataFrame, names: Sequence[str], label: str = "cluster") -> Data
     np.fill_diagonal(ratio, -np.inf)
     davies = float(ratio.max(axis=1).mean())
     # mean squared distance of a row to cluster j is its squared gap to the centre plus the spread
-    silhouette = F.lit(None).cast("double")
-    to = [gap2(j) + F.lit(float(spread[j].sum())) for j in range(k)]
-    for j in range(k):
-        others = [to[i] for i in range(k) if i != j]
-        b = others[0] if len(others) == 1 else F.least(*others)
-        if n[j] > 1:
-            a = to[j] * F.lit(float(n[j] / (n[j] - 1)))
-            value = F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0))
-        else:
-            value = F.lit(0.0)
-        silhouette = F.when(F.col(label) == labels[j], value).otherwise(silhouette)
-    mean = rows.agg(F.avg(silhouette)).collect()[0][0]
+    sums = F.array(*[F.lit(float(v)) for v in spread.sum(axis=1)])
+    to = F.zip_with("_gaps", sums, lambda g, v: g + v)
+    lift = F.array(*[F.lit(float(v / (v - 1)) if v > 1 else 0.0) for v in n])
+    scored = rows.withColumn("_to", to)
+    a = F.element_at("_to", F.col("_spot")) * F.element_at(lift, F.col("_spot"))
+    b = F.array_min(F.transform("_to", lambda v, i: F.when(i + 1 != F.col("_spot"), v)))
+    alone = F.element_at(F.array(*[F.lit(bool(v <= 1)) for v in n]), F.col("_spot"))
+    scored = scored.withColumns({"_a": a, "_b": b, "_alone": alone})
+    top = F.greatest("_a", "_b")
+    silhouette = F.when(F.col("_alone") | (top <= 0), F.lit(0.0)).otherwise((F.col("_b") - F.col("_a")) / top)
+    mean = scored.agg(F.avg(silhouette)).collect()[0][0]
     return spark.createDataFrame([(mean, float(calinski), davies, k, noise, None)], schema)
 
 
