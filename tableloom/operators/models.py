@@ -450,10 +450,12 @@ def tune(df: DataFrame, name: str, features: Sequence[str], target: str, folds:
         grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in (0.1, 1.0, 10.0)]).build()
     else:
         return spark.createDataFrame([({}, None)], schema)
+    ready = ready.select("_features", "_label").persist()
     search = CrossValidator(
         estimator=est, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="_label", metricName="mse"), numFolds=folds, seed=SEED,
         parallelism=parallelism,
     ).fit(ready)
+    ready.unpersist()
     rows = [({p.name: float(v) for p, v in setting.items()}, float(m)) for setting, m in zip(grid, search.avgMetrics)]
     return spark.createDataFrame(sorted(rows, key=lambda r: r[1]), schema)
 
