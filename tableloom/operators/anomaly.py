@@ -298,6 +298,11 @@ DETECTORS = {
 }
 
 
+def register_detector(name: str, detector) -> None:
+    """Add a detector by name: ``detector(df, features=..., **params)``."""
+    DETECTORS[name] = detector
+
+
 def detect(df: DataFrame, features: Sequence[str], algorithm: str, **params) -> DataFrame:
     if algorithm not in DETECTORS:
         raise ValueError(f"unknown algorithm {algorithm}; known: {sorted(DETECTORS)}")

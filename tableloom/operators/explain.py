@@ -20,6 +20,16 @@ from .windows import top_per_key, with_position
 MAX_EXPLAINED, BACKGROUND, MAX_PATH_FEATURES = 10, 100, 12
 
 
+def callback_model(predict, features: Sequence[str]) -> Model:
+    """A model from a plain Python function of a float matrix, called on Arrow batches."""
+
+    @F.pandas_udf(T.DoubleType())
+    def apply(*cols: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(predict(np.column_stack([c.to_numpy(float) for c in cols])), dtype=float))
+
+    return Model(lambda d: d.withColumn("prediction", apply(*[F.col(f).cast("double") for f in features])))
+
+
 def linear_shapley(df: DataFrame, fit: LinearFit, key: Sequence[str]) -> tuple[DataFrame, float]:
     """Long (key, feature, value, contribution) and the base value: weight times deviation from the mean."""
     means = column_stats(df, fit.features, "mean")

@@ -318,6 +318,11 @@ STEPS = {
 }
 
 
+def register_step(name: str, step) -> None:
+    """Add a step by name: ``step(df, features, params) -> (df, new column names)``."""
+    STEPS[name] = step
+
+
 def engineer(df: DataFrame, features: Sequence[str], methods: Sequence[str], **params) -> Engineered:
     """Apply named steps in order; a step that fails is reported and skipped.
 
