@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -34,22 +35,27 @@ def words(*columns: Column) -> Column:
     return F.array_remove(F.split(text, WORD_BREAK), "")
 
 
-def text_matches(tokens: Column, search: str) -> Column:
-    """Any plain term present and no ``-term`` present."""
-    wanted, unwanted = split_terms(search)
-    has = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in wanted])) if wanted else F.lit(True)
-    for w in unwanted:
-        has = has & ~F.array_contains(tokens, w)
-    return has
+def word_pattern(terms: Sequence[str]) -> str:
+    """Any of the terms as a whole word; a term never spans a word break."""
+    quoted = "|".join(rf"\Q{t}\E" for t in terms)
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{quoted})(?![\p{{L}}\p{{N}}])"
 
 
-def split_terms(search: str) -> tuple[list[str], list[str]]:
-    terms = search.lower().split()
-    return [t for t in terms if not t.startswith("-")], [t[1:] for t in terms if t.startswith("-")]
+def text_matches(columns: Sequence[Column], search: str) -> Column:
+    """Any plain term present and no ``-term`` present, searched in place in the whole text."""
+    text = F.lower(F.concat_ws(" ", *columns))
+    wanted, unwanted = split_terms(search)
+    has = text.rlike(word_pattern(wanted)) if wanted else F.lit(True)
+    return has & ~text.rlike(word_pattern(unwanted)) if unwanted else has
 
 
-def _occurrences(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda w: w == F.lit(term)))
+def split_terms(search: str) -> tuple[list[str], list[str]]:
+    """(plain terms, negated terms), each cut into words the way texts are."""
+    wanted, unwanted = [], []
+    for part in search.lower().split():
+        side = unwanted if part.startswith("-") else wanted
+        side += [w for w in re.split(r"[\W_]+", part) if w]
+    return wanted, unwanted
 
 
 def text_ranked(df: DataFrame, columns: Sequence[str], search: str, n: int, key: str) -> DataFrame:
@@ -59,10 +65,8 @@ def text_ranked(df: DataFrame, columns: Sequence[str], search: str, n: int, key:
     Occurrences are counted inside the row; only one row of counts reaches the driver.
     """
     terms, _ = split_terms(search)
-    tokens = words(*[F.col(c) for c in columns])
-    hits = df.withColumn("_tokens", tokens).withColumns(
-        {f"_tf{i}": _occurrences(F.col("_tokens"), t) for i, t in enumerate(terms)}
-    )
+    text = F.lower(F.concat_ws(" ", *columns))
+    hits = df.withColumns({f"_tf{i}": F.regexp_count(text, F.lit(word_pattern([t]))) for i, t in enumerate(terms)})
     counts = hits.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"d{i}") for i in range(len(terms))],
@@ -76,5 +80,5 @@ def text_ranked(df: DataFrame, columns: Sequence[str], search: str, n: int, key:
         .withColumn("score", score)
         .orderBy(F.desc("score"), F.asc(key))
         .limit(n)
-        .drop("_tokens", *[f"_tf{i}" for i in range(len(terms))])
+        .drop(*[f"_tf{i}" for i in range(len(terms))])
     )

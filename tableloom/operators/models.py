@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.metrics import class_scores, regression_metrics
 from .columns import detect_target
 from .impute import fill_median
-from .linear import out_of_fold_fits, predict_by_fold
+from .linear import linear_fit, out_of_fold_fits, predict_by_fold, predict_linear
 from .partials import fourier_features, fourier_map
 from .stats import column_stats, numeric_columns, one_row
 
 SEED = 42
-SCALED = ("neural_network", "svm", "knn")
+MOMENT_FEATURES = 32
 
 
 class Model:
@@ -87,10 +87,17 @@ def penalised(df: DataFrame, target: str, alpha: float, l1_ratio: float, kind: s
 
 
 def fit_linear(df, features, target, **p):
-    return _vector_model(LinearRegression(solver="normal"), df, features, target)
+    """Least squares; a few features need only one aggregate pass over plain columns."""
+    if len(features) > MOMENT_FEATURES:
+        return _vector_model(LinearRegression(solver="normal"), df, features, target)
+    fit = linear_fit(df, features, target)
+    return Model(lambda d: predict_linear(d, fit), fit, {f: abs(w) for f, w in zip(features, fit.coefficients)})
 
 
 def fit_penalised(df, features, target, kind="ridge", alpha=1.0, l1_ratio=0.5, **p):
+    if kind == "ridge" and len(features) <= MOMENT_FEATURES:
+        fit = linear_fit(df, features, target, alpha)
+        return Model(lambda d: predict_linear(d, fit), fit, {f: abs(w) for f, w in zip(features, fit.coefficients)})
     ratio = {"ridge": 0.0, "lasso": 1.0}.get(kind, l1_ratio)
     return _vector_model(penalised(df, target, alpha, ratio, kind), df, features, target)
 

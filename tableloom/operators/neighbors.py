@@ -18,17 +18,18 @@ from ..session import cut_lineage
 from .stats import one_row
 from .windows import top_per_key, with_position
 
-BLOCK = 256
+BLOCK = 128
 FAN = 32
 
 
 def curve_key(columns: Sequence[str], low: Sequence[float], high: Sequence[float]) -> Column:
-    """Interleaved bits of the scaled coordinates (a Z-order key)."""
+    """Interleaved bits of the coordinates on one common scale (a Z-order key), so that
+    cells are square in the distance that is asked for."""
     d = len(columns)
     bits = min(20, 62 // d)
     key = F.lit(0).cast("bigint")
+    span = max((b - a for a, b in zip(low, high)), default=0.0) or 1.0
     for j, c in enumerate(columns):
-        span = (high[j] - low[j]) or 1.0
         cell = F.least(F.floor((F.col(c) - low[j]) / span * (2**bits)).cast("bigint"), F.lit(2**bits - 1).cast("bigint"))
         for i in range(bits):
             key = key.bitwiseOR(F.shiftleft(F.shiftright(cell, i).bitwiseAND(F.lit(1).cast("bigint")), i * d + j))
@@ -143,13 +144,11 @@ def nearest(
         joined = reached.withColumnRenamed("node", "_parent").join(children, "_parent")
         reached = _within(joined, F.col("_kids"), names, xs)
 
-    # per leaf its rows (at most a block) as one array; each reached leaf yields at most m rows
-    members = placed.where("weight > 0").groupBy("block").agg(F.collect_list(F.struct(*names, "ids")).alias("_rows"))
-    hits = reached.join(members.withColumnRenamed("block", "node"), "node")
-    scored = F.transform("_rows", lambda r: F.struct(_squared(xs, [r[n] for n in names]).alias("d2"), r["ids"].alias("ids")))
-    near = F.filter(scored, lambda r: r["d2"] <= F.col("bound"))
-    one_each = F.flatten(F.transform(near, lambda r: F.transform(r["ids"], lambda i: F.struct(r["d2"].alias("d2"), i.alias("neighbour")))))
-    found = hits.select(*names, F.explode(F.slice(F.array_sort(one_each), 1, m)).alias("h")).select(*names, "h.d2", "h.neighbour")
+    # only rows of reached blocks meet, and a pair leaves the join only within the bound
+    members = placed.where("weight > 0").select(F.col("block").alias("node"), *[F.col(n).alias(f"y{j}") for j, n in enumerate(names)], "ids")
+    gap = _squared(xs, [F.col(f"y{j}") for j in range(d)])
+    hits = reached.join(members, "node").withColumn("d2", gap).where(F.col("d2") <= F.col("bound"))
+    found = hits.select(*names, "d2", F.explode("ids").alias("neighbour"))
     best = top_per_key(found, names, [F.asc("d2"), F.asc("neighbour")], m)
 
     rows = asked.join(best, names)

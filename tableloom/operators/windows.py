@@ -46,22 +46,22 @@ def with_position(
     placed = (
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_seq", F.monotonically_increasing_id())
+        .withColumn("__at_part", F.spark_partition_id())
+        .withColumn("__at_seq", F.monotonically_increasing_id())
     )
     placed = cut_lineage(placed)
-    spans = placed.groupBy("_part", *keys).agg(
-        F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    spans = placed.groupBy("__at_part", *keys).agg(
+        F.min("__at_seq").alias("__at_first"), F.count(F.lit(1)).alias("__at_rows")
     )
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    earlier = Window.partitionBy(*keys).orderBy("__at_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("__at_before", F.coalesce(F.sum("__at_rows").over(earlier), F.lit(0)))
     left, right = placed.alias("p"), spans.alias("s")
-    condition = F.col("p._part") == F.col("s._part")
+    condition = F.col("p.__at_part") == F.col("s.__at_part")
     for k in keys:
         condition = condition & F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}"))
     return left.join(right, condition).select(
         *[F.col(f"p.{c}") for c in df.columns],
-        (F.col("_before") + F.col("_seq") - F.col("_first")).cast("bigint").alias(name),
+        (F.col("s.__at_before") + F.col("p.__at_seq") - F.col("s.__at_first")).cast("bigint").alias(name),
     )
 
 
@@ -145,7 +145,7 @@ def running_sum(
         condition = condition & F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}"))
     return placed.alias("p").join(totals.alias("t"), condition).select(
         *[F.col(f"p.{c}") for c in df.columns],
-        (F.coalesce(F.col("_inner"), F.lit(0)) + F.col("_carry")).alias(name),
+        (F.coalesce(F.col("p._inner"), F.lit(0)) + F.col("t._carry")).alias(name),
     )
 
 

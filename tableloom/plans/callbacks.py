@@ -10,7 +10,7 @@ from ..operators import features as fe
 from .registry import query
 
 
-@query("w01_custom_step", "SELECT o_orderkey, o_totalprice, round(o_totalprice * o_totalprice * o_totalprice / 1e9, 4) AS o_totalprice_cubed FROM orders")
+@query("w01_custom_step", "SELECT o_orderkey, o_totalprice, o_totalprice * o_totalprice * o_totalprice / 1e9 AS o_totalprice_cubed FROM orders")
 def w01(t):
     """A feature step and a detector registered by name, used through their pipelines."""
 
@@ -20,7 +20,7 @@ def w01(t):
 
     fe.register_step("cubes", cubes)
     out = fe.engineer(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice"], ["cubes"])
-    return out.frame.select("o_orderkey", "o_totalprice", F.round("o_totalprice_cubed", 4).alias("o_totalprice_cubed"))
+    return out.frame.select("o_orderkey", "o_totalprice", "o_totalprice_cubed")
 
 
 @query("w01_custom_detector", "SELECT o_orderkey, o_totalprice > 450000 AS is_anomaly FROM orders")

@@ -58,7 +58,7 @@ def j04(t):
 
 @query("j05_local_surrogate")
 def j05(t):
-    return ex.local_surrogate(t.lineitem, tree(t), FEATURES, F.col("l_orderkey") == 5979)
+    return ex.local_surrogate(t.lineitem, tree(t), FEATURES, F.col("l_orderkey") == t.lineitem.agg(F.min("l_orderkey")).scalar())
 
 
 @query("j06_permutation_importance")

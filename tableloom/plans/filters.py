@@ -98,14 +98,12 @@ WORDS_SQL = r"string_split_regex(lower(concat_ws(' ', text, source)), '[^\p{L}\p
 
 @query("b13_text_any", f"SELECT doc_id FROM documents WHERE list_has_any({WORDS_SQL}, ['three', 'retition', 'le'])")
 def b13(t):
-    tokens = p.words(F.col("text"), F.col("source"))
-    return t.documents.filter(p.text_matches(tokens, "Three retition le")).select("doc_id")
+    return t.documents.filter(p.text_matches([F.col("text"), F.col("source")], "Three retition le")).select("doc_id")
 
 
 @query("b14_text_negated", f"SELECT doc_id FROM documents WHERE list_has_any({WORDS_SQL}, ['the', 'and']) AND NOT list_contains({WORDS_SQL}, 'where')")
 def b14(t):
-    tokens = p.words(F.col("text"), F.col("source"))
-    return t.documents.filter(p.text_matches(tokens, "the and -where")).select("doc_id")
+    return t.documents.filter(p.text_matches([F.col("text"), F.col("source")], "the and -where")).select("doc_id")
 
 
 @query("b15_text_ranked", f"""
