@@ -80,8 +80,15 @@ def quality_scores(df: DataFrame, valid: Column, consistent: Column, columns: Se
 
 
 def duplicate_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Value groups that occur more than once, with their row counts."""
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    """Value groups that occur more than once, with their row counts.
+
+    Only 8-byte fingerprints of all rows are shuffled first; the full values, which may be
+    long texts, move just for rows whose fingerprint repeats, and decide there.
+    """
+    marked = df.select(*columns, F.xxhash64(*columns).alias("_print"))
+    repeated = marked.groupBy("_print").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_print")
+    candidates = marked.join(repeated, "_print", "left_semi")
+    return candidates.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
 def keep_first(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .linear import LinearFit, linear_fit, moments, predict_linear, solve
-from .stats import exact_quantiles, one_row
+from .linear import LinearFit, Moments, linear_fit, moments, predict_linear, solve
+from .partials import sum_vectors
+from .stats import column_stats, exact_quantiles, one_row
 
 __all__ = ["linear_fit", "predict_linear"]
 
@@ -66,51 +67,30 @@ def rule_based_price(df: DataFrame) -> DataFrame:
 def bootstrap_linear(df: DataFrame, features: Sequence[str], target: str, n: int = 20, share: float = 0.8, seed: int = 42) -> list[LinearFit]:
     """``n`` models on resamples with replacement, all from one pass.
 
-    Each row draws a Poisson weight per replicate from a hash of its values, which is the
-    large-table form of sampling with replacement; the weighted moments combine map-side.
+    Each row draws a Poisson weight per replicate, the large-table form of sampling with
+    replacement; a task sums the weighted cross products of its own rows, and Spark adds up
+    the tasks. The draws follow from the seed and the batch, so a task that is run again
+    draws the same.
     """
     columns = [*features, target]
-    x = [F.col(c).cast("double") for c in columns]
     p = len(columns)
-    means = one_row(df, *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)])
-    centred = [v - F.lit(means[f"m{i}"]) for i, v in enumerate(x)]
-    aggs = []
-    for b in range(n):
-        w = poisson_weight(F.rand(seed + b), share)
-        aggs.append(F.struct(w.alias("w")).alias(f"w{b}"))
-    weighted = df.dropna(subset=columns).select(*[c.alias(f"x{i}") for i, c in enumerate(centred)], *aggs)
-    sums = []
-    for b in range(n):
-        w = F.col(f"w{b}.w")
-        sums.append(F.sum(w).alias(f"n{b}"))
-        sums += [F.sum(w * F.col(f"x{i}")).alias(f"s{b}_{i}") for i in range(p)]
-        sums += [F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{b}_{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = one_row(weighted, *sums)
-    from .linear import Moments
-
-    fits = []
-    for b in range(n):
-        count = row[f"n{b}"]
-        s = np.array([row[f"s{b}_{i}"] for i in range(p)])
-        q = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                q[i, j] = q[j, i] = row[f"q{b}_{i}_{j}"]
-        local = s / count
-        shift = np.array([means[f"m{i}"] for i in range(p)])
-        fits.append(solve(Moments(count, local + shift, q - np.outer(s, s) / count), features))
-    return fits
-
-
-def poisson_weight(u: Column, rate: float, most: int = 12) -> Column:
-    """Poisson count for a uniform draw, by inverting the distribution function."""
-    term = total = float(np.exp(-rate))
-    out = F.when(u < F.lit(total), F.lit(0))
-    for k in range(1, most):
-        term *= rate / k
-        total += term
-        out = out.when(u < F.lit(total), F.lit(k))
-    return out.otherwise(F.lit(most)).cast("double")
+    centre = np.array([v["mean"] for v in column_stats(df, columns, "mean").values()])
+    rows = df.dropna(subset=columns).select(*[F.col(c).cast("double").alias(c) for c in columns])
+
+    def weighted_sums(batch):
+        x = batch[columns].to_numpy(float) - centre
+        mark = np.frombuffer(x[:16].tobytes(), dtype=np.uint32)
+        w = np.random.default_rng([seed, len(x), *mark.tolist()]).poisson(share, size=(len(x), n)).astype(float)
+        crossed = np.einsum("rb,ri,rj->bij", w, x, x)
+        return np.concatenate([w.sum(axis=0), (w.T @ x).ravel(), crossed.ravel()])
+
+    total = sum_vectors(rows, weighted_sums)
+    counts, sums = total[:n], total[n : n + n * p].reshape(n, p)
+    crossed = total[n + n * p :].reshape(n, p, p)
+    return [
+        solve(Moments(counts[b], sums[b] / counts[b] + centre, crossed[b] - np.outer(sums[b], sums[b]) / counts[b]), features)
+        for b in range(n)
+    ]
 
 
 def array_percentile(sorted_array: Column, share: float, size: int) -> Column:

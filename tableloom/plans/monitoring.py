@@ -9,7 +9,7 @@ from .registry import query
 def history(t):
     x = F.col("o_orderkey")
     metrics = F.create_map(
-        F.lit("r2"), x * 37 % 100 / 100, F.lit("rmse"), F.round(F.col("o_totalprice") / 1000, 2),
+        F.lit("r2"), x * 37 % 100 / 100, F.lit("rmse"), F.round(F.col("o_totalprice") / 997, 2),
         F.lit("mae"), (x * 11 % 50).cast("double"), F.lit("accuracy"), x * 53 % 100 / 100,
     )
     return t.orders.select((F.col("o_custkey") % 50).alias("model_id"), F.col("o_orderdate").alias("ts"), x.alias("id"), metrics.alias("metrics"))
@@ -33,7 +33,7 @@ def baseline(t):
     )
 
 
-H = "(SELECT o_custkey % 50 AS model_id, o_orderdate AS ts, o_orderkey AS id, (o_orderkey * 37 % 100) / 100 AS r2, round(o_totalprice / 1000, 2) AS rmse, (o_orderkey * 11 % 50)::DOUBLE AS mae, (o_orderkey * 53 % 100) / 100 AS accuracy FROM orders)"
+H = "(SELECT o_custkey % 50 AS model_id, o_orderdate AS ts, o_orderkey AS id, (o_orderkey * 37 % 100) / 100 AS r2, round(o_totalprice / 997, 2) AS rmse, (o_orderkey * 11 % 50)::DOUBLE AS mae, (o_orderkey * 53 % 100) / 100 AS accuracy FROM orders)"
 T = "(SELECT n_nationkey::BIGINT AS m, n_nationkey % 10 / 50 AS min_r2, (n_nationkey * 10 + 200)::DOUBLE AS max_rmse, (n_nationkey % 5 + 40)::DOUBLE AS max_mae, n_nationkey % 4 / 20 AS min_accuracy, (n_nationkey + 30)::DOUBLE AS lost FROM nation)"
 ABSOLUTE = f"""(SELECT model_id, id, 0 AS o, 'r2' AS metric, 'below_minimum' AS kind, r2 AS current, min_r2 AS threshold FROM {H} JOIN {T} ON model_id = m WHERE r2 < min_r2
  UNION ALL SELECT model_id, id, 1, 'accuracy', 'below_minimum', accuracy, min_accuracy FROM {H} JOIN {T} ON model_id = m WHERE accuracy < min_accuracy

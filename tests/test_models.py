@@ -183,3 +183,17 @@ def test_linear_prediction_column(df, data):
     fit = linear_fit(df, FEATURES, "y")
     got = predict_linear(df, fit).toPandas()
     np.testing.assert_allclose(got["prediction"], data[FEATURES].to_numpy() @ fit.coefficients + fit.intercept, rtol=1e-9)
+
+
+def test_bootstrap_interval_contains_the_mean_fit(df):
+    from tableloom.operators.scoring import bootstrap_linear, interval_from_members
+
+    members = bootstrap_linear(df, FEATURES, "y")
+    again = bootstrap_linear(df, FEATURES, "y")
+    assert [m.coefficients for m in members] == pytest.approx([m.coefficients for m in again])
+    fit = linear_fit(df, FEATURES, "y")
+    assert np.mean([m.coefficients for m in members], axis=0) == pytest.approx(np.array(fit.coefficients), rel=0.1)
+    out = interval_from_members(predict_linear(df, fit), members).agg(
+        F.avg(F.col("prediction").between(F.col("lower"), F.col("upper")).cast("double")).alias("inside"), F.min("spread").alias("s")
+    ).collect()[0]
+    assert out["inside"] > 0.95 and out["s"] > 0

@@ -58,7 +58,7 @@ def test_job_stream_equals_batch(spark):
 
 
 def test_jobs(spark):
-    t = lambda s: pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)
+    t = lambda s: (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)).to_pydatetime()
     events = spark.createDataFrame(
         [("a", "c1", "started", t(0)), ("a", "c1", "completed", t(5)), ("b", "c1", "started", t(10)), ("c", "c2", "started", t(1)), ("c", "c2", "failed", t(9)), ("d", "c3", "started", t(3))],
         "job_id string, connection_id string, status string, ts timestamp",
