@@ -190,7 +190,7 @@ def test_bootstrap_interval_contains_the_mean_fit(df):
 
     members = bootstrap_linear(df, FEATURES, "y")
     again = bootstrap_linear(df, FEATURES, "y")
-    assert [m.coefficients for m in members] == pytest.approx([m.coefficients for m in again])
+    np.testing.assert_allclose([m.coefficients for m in members], [m.coefficients for m in again])
     fit = linear_fit(df, FEATURES, "y")
     assert np.mean([m.coefficients for m in members], axis=0) == pytest.approx(np.array(fit.coefficients), rel=0.1)
     out = interval_from_members(predict_linear(df, fit), members).agg(
