@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, url_filter
+from . import chat, exact_dedup, packing, token_store, url_filter
+from .common import shared_folder
+
 
 #: The rules of the URL query.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -14,10 +18,28 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's file: in ``$TOKENIZER_DIR``, else where its package lies."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    files = token_store.write_token_files(_table(spark, folder, "documents"), shared_folder(spark, "tokens"), tokenizer_file())
+    return token_store.read_documents(spark, files, with_ids=False)
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), tokenizer_file())
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.group_copies(_table(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -32,7 +54,7 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op8_exact_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_url_filter, op5_packing, op8_exact_dedup, op10_chat_formatting)}
 
 ORACLES = {
     "op8_exact_dedup": """
