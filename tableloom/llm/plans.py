@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, packing, token_store, url_filter
+from . import chat, exact_dedup, jaccard_join, packing, token_store, url_filter
 from .common import shared_folder
 
 
@@ -46,6 +46,10 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.link_documents(_table(spark, folder, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
     return chat.rotate_perspectives(_table(spark, folder, "conversations")).select(
@@ -54,7 +58,7 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_url_filter, op5_packing, op8_exact_dedup, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_url_filter, op5_packing, op8_exact_dedup, op9_ngram_join, op10_chat_formatting)}
 
 ORACLES = {
     "op8_exact_dedup": """
