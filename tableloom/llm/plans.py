@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, jaccard_join, packing, token_store, url_filter
+from . import chat, decontaminate, exact_dedup, jaccard_join, language, packing, token_store, toxicity, url_filter
 from .common import shared_folder
 
 
@@ -32,14 +32,43 @@ def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.read_documents(spark, files, with_ids=False)
 
 
+def held_out() -> Column:
+    """Whether a document is kept from training: crc32 of its identifier's text leaves 1 by 3."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> language.LanguageModel | None:
+    return language.train(docs.where(~held_out()), key=F.col("doc_id"))
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language_model(docs), ["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_file())
 
 
+def severity() -> Column:
+    """Grade of a labelled document: 0 clean, 1 toxic, 2 toxic and of low quality."""
+    return F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.grade_texts(docs, toxicity.train(docs, _table(spark, folder, "labels"), severity()))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.group_copies(_table(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -58,7 +87,7 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_url_filter, op5_packing, op8_exact_dedup, op9_ngram_join, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_language, op3_url_filter, op4_decontamination, op5_packing, op6_toxicity, op8_exact_dedup, op9_ngram_join, op10_chat_formatting)}
 
 ORACLES = {
     "op8_exact_dedup": """
