@@ -1,19 +1,42 @@
-"""Text pipeline over ``documents``."""
+"""Text pipeline over ``documents``: each stage works on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableloom.llm import exact_dedup
+from tableloom.llm import decontaminate, exact_dedup, jaccard_join, language, packing, plans
 from tableloom.llm.common import shared_folder
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language go: null texts and those without a letter."""
+    return language.keep_identified(docs, plans.language_model(docs))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked documents stays, that with the smallest doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs go."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into sequences of at most 2048 tokens."""
+    return packing.pack(docs, plans.tokenizer_file())
+
+
+STAGES = [
+    ("language ID", language_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", benchmark_stage), ("best-fit packing", packing_stage),
+]
 
 #: The classifier of the first stage and the tokenizer of the last cannot be written in SQL.
 ORACLE_SQL = None

@@ -63,7 +63,7 @@ class Publisher:
 
     def publish(self, name: str, parts) -> None:
         draft = f"{self.folder}/.{name}.{os.urandom(6).hex()}"
-        with self.fs.open_output_stream(draft) as out:
+        with self.fs.open_output_stream(draft, compression=None) as out:
             for part in parts:
                 out.write(part)
         self.fs.move(draft, f"{self.folder}/{name}")

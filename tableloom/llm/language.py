@@ -110,31 +110,47 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key:
     return LanguageModel(bits, families, np.array(weights), pairs)
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` of ``docs`` with ``lang_pred`` and ``score`` from the whole text of each row.
+def _said(texts: list[str | None], model: LanguageModel | None) -> list[tuple[str, float]]:
+    known = [i for i, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
+    said = [(UNDETERMINED, 0.0)] * len(texts)
+    if known:
+        for i, answer in zip(known, model.predict(np.stack([ngram_counts(texts[i], model.bits) for i in known]))):
+            said[i] = answer
+    return said
+
+
+def _parts(batches: Iterator[pa.RecordBatch], text_col: str, model: LanguageModel | None) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float]]]]:
+    """Some hundred rows at a time, as their counts take more room than their texts."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            yield part, _said([t.as_py() for t in part.column(part.schema.get_field_index(text_col))], model)
+
+
+def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) from the whole text of each row of ``docs``.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text without a model. Very long texts are
-    counted in parts. Rows are judged one by one: ties, repeated rows and other columns change nothing; an empty table
-    gives an empty result. The model has a fixed size and goes to the tasks whole.
+    counted in parts. Rows are judged one by one: ties, repeated rows, null identifiers and other columns change nothing;
+    an empty table gives an empty result. The model has a fixed size and goes to the tasks whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*columns, F.col(text_col).alias("__text"))
-    kinds = source.select(*columns).schema
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kinds) + "lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = [t.as_py() for t in part.column("__text")]
-                known = [i for i, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
-                said: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
-                if known:
-                    counts = np.stack([ngram_counts(texts[i], model.bits) for i in known])
-                    for i, answer in zip(known, model.predict(counts)):
-                        said[i] = answer
-                arrays = [part.column(c) for c in columns] + [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "lang_pred", "score"])
-
-    return source.mapInArrow(run, schema)
+        for part, said in _parts(batches, "text", shared.value):
+            arrays = [part.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a language: those that ``identify`` finds ``und`` go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, said in _parts(batches, text_col, shared.value):
+            yield part.filter(pa.array([s[0] != UNDETERMINED for s in said]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, language, packing, token_store, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, jaccard_join, language, packing, token_store, toxicity, url_filter, warc
 from .common import shared_folder
 
 
@@ -43,7 +43,7 @@ def language_model(docs: DataFrame) -> language.LanguageModel | None:
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    found = language.identify(docs.select("doc_id", "text"), language_model(docs), ["doc_id"])
+    found = language.identify(docs, language_model(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
@@ -69,6 +69,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.grade_texts(docs, toxicity.train(docs, _table(spark, folder, "labels"), severity()))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    heads = warc.deduplicate(_table(spark, folder, "pages"), shared_folder(spark, "warc"))
+    return heads.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.group_copies(_table(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -87,7 +92,7 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_language, op3_url_filter, op4_decontamination, op5_packing, op6_toxicity, op8_exact_dedup, op9_ngram_join, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_language, op3_url_filter, op4_decontamination, op5_packing, op6_toxicity, op7_warc, op8_exact_dedup, op9_ngram_join, op10_chat_formatting)}
 
 ORACLES = {
     "op8_exact_dedup": """
