@@ -139,7 +139,7 @@ def fit_clusters(df: DataFrame, key: str, names: Sequence[str], algorithm: str =
         return df.join(labels.select(key, "cluster"), key), []
     if algorithm == "mean_shift":
         labels, modes = mean_shift(df, key, names, params.get("bandwidth"))
-        return df.join(labels, key), [list(r)[1:] for r in modes.limit(1000).collect()]
+        return df.join(labels, key), [list(r)[1:] for r in modes.collect()]
     if algorithm == "hierarchical":
         return hierarchical(df, names, params.get("n_clusters", 3), params.get("linkage", "ward"), params.get("micro", MICRO_CLUSTERS))
     if algorithm == "gaussian_mixture":

@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node of each component as its name.
 
     Both star steps take a minimum per node (combined map-side) and join it back, so a node
-    with very many edges is never gathered. Edges shrink to stars in logarithmic rounds.
+    with very many edges is never gathered. Edges shrink to stars in logarithmic rounds; the
+    loop ends when a round changes nothing.
     """
     current = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     previous = None
-    for _ in range(rounds):
+    while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a < b").distinct()

@@ -146,6 +146,8 @@ def _dense_links(dense: DataFrame, names, cells, side: float, eps: float, levels
         links = links.union(found)
         open_pairs = tried.where(~F.col("sure")).drop("sure").join(found, ["a", "b"], "left_anti")
         parts = finer
+    else:
+        raise RuntimeError(f"links are undecided after {levels} levels")
     return links.select("a", "b")
 
 
@@ -156,7 +158,7 @@ def estimate_bandwidth(df: DataFrame, columns: Sequence[str], share: float = 0.3
     return max(scale * sqrt(len(columns)) * share * 2, 1e-12)
 
 
-def mean_shift(df: DataFrame, key: str, columns: Sequence[str], bandwidth: float | None = None, fine: int = 8, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def mean_shift(df: DataFrame, key: str, columns: Sequence[str], bandwidth: float | None = None, fine: int = 8, rounds: int = 300) -> tuple[DataFrame, DataFrame]:
     """((key, cluster), modes): an approximation on weighted fine bins.
 
     Rows are folded into bins of side bandwidth/``fine``; seeds start at the occupied coarse
@@ -189,6 +191,8 @@ def mean_shift(df: DataFrame, key: str, columns: Sequence[str], bandwidth: float
         seeds = moved.select("seed", "weight", *[F.col(f"t{n}").alias(f"s{n}") for n in names])
         if shift is None or shift < (1e-3 * bandwidth) ** 2:
             break
+    else:
+        raise RuntimeError(f"seeds still move after {rounds} rounds; raise rounds or the bandwidth")
     # seeds that met are one mode; the heaviest mode of a neighbourhood survives
     merged = seeds.groupBy(*[F.round(F.col(f"s{n}") / (bandwidth * 0.05)).alias(f"r{n}") for n in names]).agg(
         F.max("weight").alias("weight"), *[F.avg(f"s{n}").alias(n) for n in names]

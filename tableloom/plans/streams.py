@@ -96,8 +96,9 @@ def closings(df):
 
 _JOBS = """
 WITH e AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS job_id, CASE event_type WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'disconnected' END AS status, ts FROM events WHERE event_type <> 'click'),
-p AS (SELECT job_id, min(ts) FILTER (WHERE status = 'started') AS started_at, arg_min(status, ts) FILTER (WHERE status IN ('completed', 'failed')) AS st, min(ts) FILTER (WHERE status IN ('completed', 'failed')) AS en, min(ts) FILTER (WHERE status = 'disconnected') AS cl FROM e GROUP BY job_id),
-c AS (SELECT *, coalesce(cl > started_at AND (en IS NULL OR cl < en), false) AS cut FROM p WHERE started_at IS NOT NULL)
+b AS (SELECT *, min(ts) FILTER (WHERE status = 'started') OVER (PARTITION BY job_id) AS started_at FROM e),
+p AS (SELECT job_id, started_at, arg_min(status, ts) FILTER (WHERE status IN ('completed', 'failed') AND ts >= started_at) AS st, min(ts) FILTER (WHERE status IN ('completed', 'failed') AND ts >= started_at) AS en, min(ts) FILTER (WHERE status = 'disconnected' AND ts > started_at) AS cl FROM b WHERE started_at IS NOT NULL GROUP BY job_id, started_at),
+c AS (SELECT *, coalesce(en IS NULL OR cl < en, false) AND cl IS NOT NULL AS cut FROM p)
 SELECT job_id, started_at, CASE WHEN cut THEN 'cancelled_disconnection' ELSE coalesce(st, 'running') END AS status, (epoch_us(CASE WHEN cut THEN cl ELSE en END) // 1000) - (epoch_us(started_at) // 1000) AS duration_ms FROM c"""
 
 
@@ -107,10 +108,10 @@ def v05(t):
     return out.select("job_id", "started_at", "status", "duration_ms")
 
 
-@query("v05_job_lifecycle_stream")
+@query("v05_job_lifecycle_stream", f"SELECT job_id, status, duration_ms FROM ({_JOBS}) WHERE status <> 'running'")
 def v05_stream(t):
     e = events_stream(t)
-    return run_now(lc.jobs_stream(job_events(e).unionByName(closings(e))), "v05")
+    return run_now(lc.jobs_stream(job_events(e).unionByName(closings(e))), "v05").select("job_id", "status", "duration_ms")
 
 
 def request_sides(df):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.scalars import elapsed_ms, label_by
 from ..operators.windows import frame_window, running_sum
@@ -40,19 +40,23 @@ def liveness(df: DataFrame, key: str, order: str, ts: str = "ts", gap_seconds: i
 
 def jobs(events: DataFrame, disconnects: DataFrame, job: str = "job_id", connection: str = "connection_id", ts: str = "ts") -> DataFrame:
     """One row per started job: final status, end and duration; open jobs of a closed
-    connection are cancelled at the time it closed."""
-    started = F.col("status") == "started"
-    done = F.col("status").isin(*TERMINAL)
-    per = events.groupBy(job).agg(
-        F.first(connection, ignorenulls=True).alias(connection),
-        F.min(F.when(started, F.col(ts))).alias("started_at"),
-        F.min_by(F.when(done, F.col("status")), F.when(done, F.col(ts))).alias("_status"),
-        F.min(F.when(done, F.col(ts))).alias("_ended"),
-    ).where("started_at IS NOT NULL")
-    closed = disconnects.groupBy(connection).agg(F.min(ts).alias("_closed"))  # one row per connection
-    rows = per.join(closed, connection, "left")
-    cut = (F.col("_closed") > F.col("started_at")) & (F.col("_ended").isNull() | (F.col("_closed") < F.col("_ended")))
-    cut = F.coalesce(cut, F.lit(False))
+    connection are cancelled at the time it closed.
+
+    A job starts at its first ``started`` event; only what comes at or after that can end it, and
+    only a closing after it can cancel it, so no duration is negative.
+    """
+    starts = events.where("status = 'started'").groupBy(job).agg(F.first(connection, ignorenulls=True).alias(connection), F.min(ts).alias("started_at"))
+    ends = events.where(F.col("status").isin(*TERMINAL)).select(job, F.col("status").alias("_status"), F.col(ts).alias("_ended"))
+    ended = ends.join(starts.select(job, "started_at"), job).where("_ended >= started_at").groupBy(job).agg(
+        F.min_by("_status", "_ended").alias("_status"), F.min("_ended").alias("_ended")
+    )
+    # the next closing after each start: one pass over the starts and closings of a connection
+    marks = starts.select(connection, job, F.col("started_at").alias("_at"), F.lit(None).cast(events.schema[ts].dataType).alias("_close"))
+    marks = marks.unionByName(disconnects.select(connection, F.lit(None).cast("string").alias(job), F.col(ts).alias("_at"), F.col(ts).alias("_close")))
+    later = Window.partitionBy(connection).orderBy(F.unix_micros(F.col("_at").cast("timestamp"))).rangeBetween(1, Window.unboundedFollowing)
+    closed = marks.withColumn("_closed", F.min("_close").over(later)).where(F.col(job).isNotNull()).select(job, "_closed")
+    rows = starts.join(ended, job, "left").join(closed, job, "left")
+    cut = F.coalesce(F.col("_closed").isNotNull() & (F.col("_ended").isNull() | (F.col("_closed") < F.col("_ended"))), F.lit(False))
     ended = F.when(cut, F.col("_closed")).otherwise(F.col("_ended"))
     return rows.select(
         job, connection, "started_at", ended.alias("ended_at"),
@@ -62,7 +66,7 @@ def jobs(events: DataFrame, disconnects: DataFrame, job: str = "job_id", connect
 
 
 def jobs_stream(stream: DataFrame, job: str = "job_id", connection: str = "connection_id", ts: str = "ts") -> DataFrame:
-    """Finished jobs as they end. The state of a connection is its open jobs with start times.
+    """Finished jobs as they end. The state of a connection is its jobs with start times, negative once ended.
 
     ``stream`` holds job events and ``disconnected`` events (job null) of one schema.
     """
@@ -74,14 +78,15 @@ def jobs_stream(stream: DataFrame, job: str = "job_id", connection: str = "conne
         opened = dict(zip(*state.get)) if state.exists else {}
         for b in batches:
             ended = []
-            for e in b.sort_values("us").itertuples(index=False):
+            order = b["status"].map({"started": 0, "disconnected": 2}).fillna(1)
+            for e in b.assign(order=order).sort_values(["us", "order"]).itertuples(index=False):
                 if e.status == "started":
-                    opened[e.j] = int(e.us)
-                elif e.status == "disconnected":
-                    ended += [(name[0], j, DISCONNECTED, int(e.us) // 1000 - at // 1000) for j, at in opened.items()]
-                    opened.clear()
-                elif e.status in TERMINAL and e.j in opened:
-                    ended.append((name[0], e.j, e.status, int(e.us) // 1000 - opened.pop(e.j) // 1000))
+                    opened.setdefault(e.j, int(e.us))
+                    continue
+                over = [j for j, at in opened.items() if 0 <= at < e.us] if e.status == "disconnected" else [e.j] if e.status in TERMINAL and opened.get(e.j, -1) >= 0 else []
+                for j in over:
+                    ended.append((name[0], j, DISCONNECTED if e.status == "disconnected" else e.status, int(e.us) // 1000 - opened[j] // 1000))
+                    opened[j] = -1
             yield pd.DataFrame(ended, columns=["connection_id", "job_id", "status", "duration_ms"])
         state.update((list(opened), list(opened.values())))
 
