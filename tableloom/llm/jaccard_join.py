@@ -154,7 +154,7 @@ def _frequency_levels(described: DataFrame) -> bytes:
 
 
 def _prefixes(docs: DataFrame, levels: bytes) -> DataFrame:
-    """(sig, prefix): the rarest shingles of each set, as many as ``prefix_length`` says."""
+    """(sig, rare, prefix): the rarest shingles of each set, as many as ``prefix_length`` says; the first ``rare`` are of the lowest level."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def start():
@@ -165,11 +165,12 @@ def _prefixes(docs: DataFrame, levels: bytes) -> DataFrame:
             if not len(s):
                 return None
             of = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            return _signature(s), s[np.argsort(of, kind="stable")[: prefix_length(len(s))]].view(np.int64).tolist()
+            first = np.argsort(of, kind="stable")[: prefix_length(len(s))]
+            return _signature(s), int((of[first] == 0).sum()), s[first].view(np.int64).tolist()
 
         return row, list
 
-    return _scan(docs, [], "sig binary, prefix array<long>", start)
+    return _scan(docs, [], "sig binary, rare int, prefix array<long>", start)
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -221,6 +222,36 @@ def _sizes_fit(x: str, y: str) -> Column:
     return (F.col(x) * DEN >= F.col(y) * NUM) & (F.col(y) * DEN >= F.col(x) * NUM)
 
 
+def _in_time(low: str, x: str, y: str) -> Column:
+    """A frequent shingle selects a pair only if it can be the first one they share: what follows it must do for the intersection."""
+    return F.col(low) | (F.least("left1", "left2") * (NUM + DEN) >= (F.col(x) + F.col(y)) * NUM)
+
+
+def _counts(low: str, *first: str) -> list[Column]:
+    return [F.count_if(F.col(low)).alias("c"), F.count_if(~F.col(low)).alias("frequent"), *(F.first(f).alias(f) for f in (*first, "rest1", "rest2"))]
+
+
+def _within_reach(x: str, y: str) -> Column:
+    """The shared rare shingles and all that lies beyond the rare prefixes must do for the intersection, unless a frequent one is shared in time."""
+    return (F.col("frequent") > 0) | ((F.col("c") + F.greatest("rest1", "rest2")) * (NUM + DEN) >= (F.col(x) + F.col(y)) * NUM)
+
+
+def _pivots(classes: DataFrame) -> DataFrame:
+    """(a, b): for a class the one to compare it with. Of the classes that share a key the pivot is the one whose keys are
+    the most frequent, the likely original of a family; of several pivots that which shares the most keys."""
+    keyed = classes.select("cid", "n", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
+    common = spread(keyed, ["key"], "salt", [F.count(F.lit(1)).alias("_n")], [F.sum("_n").alias("rows")]).where("rows > 1")
+    scored = store(keyed.join(common, ["key", "salt"]).withColumn("score", F.sum("rows").over(Window.partitionBy("cid"))))
+    order = F.struct("score", (-F.col("cid")).alias("o"), "cid", "n")
+    pivots = spread(scored, ["key"], "salt", [F.max(order).alias("_p")], [F.max("_p").alias("p")])
+    near = (
+        scored.join(pivots, ["key", "salt"]).select(F.col("cid").alias("a"), "n", "p")
+        .where((F.col("a") != F.col("p.cid")) & (F.col("n") * DEN >= F.col("p.n") * NUM) & (F.col("p.n") * DEN >= F.col("n") * NUM))
+        .groupBy("a", "p").agg(F.count(F.lit(1)).alias("k"))
+    )
+    return near.groupBy("a").agg(F.max_by("p", F.struct("k", "p")).alias("p")).select("a", F.col("p.cid").alias("b"))
+
+
 def _components(links: DataFrame) -> DataFrame:
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     return store(connected_components(nodes, links).select(F.col("node").alias("cid"), F.col("component").alias("g")))
@@ -233,11 +264,12 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole sequence if it is shorter.
 
     1. Documents with equal sets are one class; only classes are compared.
-    2. Groups: a class is compared with the first class that shares most of its minimum-hash keys; groups are the components
-       of the links found so. However many near copies there are, each is compared once.
+    2. Groups: a class is compared with one class that shares its minimum-hash keys; groups are the components of the links
+       found so. However many near copies there are, each is compared once.
     3. Token-group matrix: for every class the rarest shingles, of which a linked class must have one; for every group
-       their union. Two groups sharing c of them can only hold a linked pair if c and what lies beyond their
-       prefixes reach the intersection asked for; only such groups are opened, and the same bound is applied to their members.
+       their union. Two groups that share c rare ones can only hold a linked pair if c and what lies beyond the rare prefixes
+       reach the intersection asked for, or if a frequent one is shared early enough to be the first they share. Only such groups
+       are opened, and their members are held to the same bounds.
     4. What is left is compared exactly. Pairs within a group are not looked at: they are in one component already.
 
     Shingles are ordered by a frequency sketch over all documents, so common passages do not select candidates. Nothing
@@ -252,39 +284,30 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    keyed = classes.select("cid", "n", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
-    pivots = spread(keyed, ["key"], "salt", [F.min(F.struct("cid", "n")).alias("_p")], [F.min("_p").alias("p")])
-    near = (
-        keyed.join(pivots, ["key", "salt"]).select(F.col("cid").alias("a"), "n", F.col("p.cid").alias("b"), F.col("p.n").alias("m"))
-        .where((F.col("a") != F.col("b")) & _sizes_fit("n", "m")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    )
-    stars = _verified(near.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b")), classes, docs)
+    stars = _verified(_pivots(classes), classes, docs)
     grouped = classes.drop("keys").join(_components(stars), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
 
-    prefixes = _prefixes(docs, _frequency_levels(described)).groupBy("sig").agg(F.first("prefix").alias("prefix"))
-    tokens = prefixes.join(grouped.select("sig", "cid", "g", "n"), "sig").select("cid", "g", "n", F.explode("prefix").alias("token"))
+    prefixes = _prefixes(docs, _frequency_levels(described)).groupBy("sig").agg(F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
     by_token = Window.partitionBy("token")
     shared = store(
-        tokens.withColumns({"low": F.min("g").over(by_token), "high": F.max("g").over(by_token)}).where("low < high").select("token", "cid", "g", "n")
+        prefixes.join(grouped.select("sig", "cid", "g", "n"), "sig")
+        .select("cid", "g", "n", F.posexplode("prefix").alias("pos", "token"), "rare")
+        .select("token", "cid", "g", "n", (F.col("n") - F.col("pos")).alias("left"), (F.col("pos") < F.col("rare")).alias("low"), (F.col("n") - F.col("rare")).alias("rest"))
+        .withColumns({"_least": F.min("g").over(by_token), "_most": F.max("g").over(by_token)}).where("_least < _most").drop("_least", "_most")
     )
-    rest = F.ceil(F.col("n") * NUM / DEN) - 1  # shingles beyond the prefix
-    sizes = grouped.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(rest).alias("rest"))
-    matrix = store(shared.select("token", "g").distinct().join(sizes, "g"))
-    one = matrix.select("token", *(F.col(c).alias(f"{c}1") for c in ("g", "least", "most", "rest")))
-    two = matrix.select("token", *(F.col(c).alias(f"{c}2") for c in ("g", "least", "most", "rest")))
-    meeting = one.join(two, "token").where("g1 < g2").where((F.col("most1") * DEN >= F.col("least2") * NUM) & (F.col("most2") * DEN >= F.col("least1") * NUM))
-    within_reach = F.col("c") + F.greatest("rest1", "rest2") >= (F.col("least1") + F.col("least2")) * NUM / (NUM + DEN) - 1e-9
-    opened = (
-        meeting.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in ("rest1", "rest2", "least1", "least2")))
-        .where(within_reach).select("g1", "g2")
+    sizes = shared.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    matrix = store(shared.groupBy("token", "g").agg(F.max("left").alias("left"), F.first("low").alias("low")).join(sizes, "g"))
+    one, two = (matrix.select("token", F.col("low").alias(f"low{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "most", "left", "rest"))) for k in (1, 2))
+    meeting = one.join(two, "token").where("g1 < g2").where(
+        (F.col("most1") * DEN >= F.col("least2") * NUM) & (F.col("most2") * DEN >= F.col("least1") * NUM) & _in_time("low1", "least1", "least2")
     )
+    opened = meeting.groupBy("g1", "g2").agg(*_counts("low1", "least1", "least2")).where(_within_reach("least1", "least2")).select("g1", "g2")
     inside = meeting.select("token", "g1", "g2").join(store(opened), ["g1", "g2"])
-    left = shared.select("token", F.col("g").alias("g1"), F.col("cid").alias("a"), F.col("n").alias("n1"))
-    right = shared.select("token", F.col("g").alias("g2"), F.col("cid").alias("b"), F.col("n").alias("n2"))
-    members = inside.join(left, ["token", "g1"]).join(right, ["token", "g2"]).where(_sizes_fit("n1", "n2"))
-    candidates = members.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n1").alias("n1"), F.first("n2").alias("n2")).where(
-        F.col("c") + F.greatest(*(F.ceil(F.col(n) * NUM / DEN) - 1 for n in ("n1", "n2"))) >= (F.col("n1") + F.col("n2")) * NUM / (NUM + DEN) - 1e-9
+    ours, theirs = (
+        shared.select("token", F.col("g").alias(f"g{k}"), F.col("cid").alias(c), *(F.col(x).alias(f"{x}{k}") for x in ("n", "left", "rest", "low"))) for k, c in ((1, "a"), (2, "b"))
     )
+    members = inside.join(ours, ["token", "g1"]).join(theirs, ["token", "g2"]).where(_sizes_fit("n1", "n2") & _in_time("low1", "n1", "n2"))
+    candidates = members.groupBy("a", "b").agg(*_counts("low1", "n1", "n2")).where(_within_reach("n1", "n2"))
     links = store(stars.unionByName(_verified(candidates, classes, docs)))
 
     labels = _components(links)
