@@ -102,19 +102,19 @@ def train(
     if len(grades) < 2:
         return None
     y = np.searchsorted(grades, table.column("grade").to_numpy())
-    words = [np.frombuffer(w.as_py(), "<u4").astype(np.int64) for w in table.column("words")]
-    clean = y == 0
-    every = np.concatenate(words)
-    n1, n0 = max(1, (~clean).sum()), max(1, clean.sum())
-    on1 = np.bincount(np.concatenate([w for w, c in zip(words, clean) if not c]), minlength=1 << bits)
-    on0 = np.bincount(every, minlength=1 << bits) - on1
-    pooled = (on1 + on0) / (n1 + n0)
+    counts = np.array([len(w.as_py()) // 4 for w in table.column("words")])
+    every = np.frombuffer(b"".join(w.as_py() for w in table.column("words")), "<u4")
+    found, number = np.unique(every, return_inverse=True)
+    tainted = np.repeat(y > 0, counts)
+    n1, n0 = max(1, int((y > 0).sum())), max(1, int((y == 0).sum()))
+    on1, on = np.bincount(number[tainted], minlength=len(found)), np.bincount(number, minlength=len(found))
+    pooled = on / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        score = (on1 / n1 - on0 / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero((on1 + on0 >= least) & (np.abs(np.nan_to_num(score)) >= z))
-    place = np.full(1 << bits, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    rows_of = [(p := place[w])[p >= 0].astype(np.int64) for w in words]
+        score = (on1 / n1 - (on - on1) / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
+    chosen = np.flatnonzero((on >= least) & (np.abs(np.nan_to_num(score)) >= z))
+    kept, place = found[chosen], np.full(len(found), -1)
+    place[chosen] = np.arange(len(chosen))
+    rows_of = [p[p >= 0] for p in np.split(place[number], np.cumsum(counts)[:-1])]
     w, cuts = _fit(rows_of, y, len(grades), ridge, rounds)
     return SeverityModel(bits, grades, {int(k): float(x) for k, x in zip(kept, w)}, cuts)
 
