@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters and marks for which cutting a chunk is certain to agree with the tokenizer's own pattern.
-_WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-_SIMPLE = re.compile(rf" ?{_WORD}[.,;:!?]*(?:\n{_WORD}[.,;:!?]*)*")
-_TOKENS = re.compile(rf" ?{_WORD}|[.,;:!?]+|\n")
+_MARKS = ".,;:!?"
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
@@ -20,71 +23,115 @@ class Encoder:
 
     The pattern of such tokenizers starts a new word at every single space between two other
     characters, so a text may be cut there, chunks be encoded once by the library, and their ids be
-    joined. Chunks of plain words and marks are cut once more. Both memories hold at most
-    ``limit`` chunks and start anew when full. Special tokens' strings in a text are ordinary text.
+    joined. A chunk that is a word and marks is cut once more between the two. Both memories hold about
+    ``limit`` entries at most and start anew when full. Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.limit = limit
+        #: ids of " word", by word; of marks that follow a word; and of all other chunks with a space before them
         self.words: dict[str, bytes] = {}
-        #: by chunk without the space before it; None if that space is not a place to cut
-        self.chunks: dict[str, bytes | None] = {}
-        letters = self.tokenizer.decode
-        self.starts = np.array([letters([i]).startswith(" ") for i in range(self.vocabulary)])
+        self.marks: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.spaces = np.array([self.tokenizer.decode([i]).startswith(" ") for i in range(self.vocabulary)])
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn_words(self, words: set[str]) -> None:
-        """Words with a space before them are encoded in one call: each begins with an id that begins with a space."""
-        joined = [w for w in words if w[0] == " "]
-        if joined:
-            ids = np.array(self.tokenizer.encode("".join(joined), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) == len(joined):
-                data, edges = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
-                self.words.update(zip(joined, [data[a:b] for a, b in zip(edges, edges[1:])]))
-        self.words.update((w, self._plain(w)) for w in words if w not in self.words)
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > self.limit:
-            self.chunks.clear()
-        if len(self.words) > self.limit:
-            self.words.clear()
-        simple, new = {}, set()
-        for chunk in chunks:
-            if not _sound(chunk):
-                self.chunks[chunk] = None
-            elif _SIMPLE.fullmatch(chunk):
-                simple[chunk] = tokens = _TOKENS.findall(" " + chunk)
-                new.update(t for t in tokens if t not in self.words)
-            else:
-                self.chunks[chunk] = self._plain(" " + chunk)
-        self._learn_words(new)
-        self.chunks.update((c, b"".join([self.words[t] for t in tokens])) for c, tokens in simple.items())
-
-    def _joined(self, first: str, rest: list[str]) -> bytes | None:
-        try:
-            ids = list(map(self.chunks.__getitem__, rest))
-        except KeyError:
-            self._learn({c for c in rest if c not in self.chunks})
-            ids = [self.chunks[c] if c in self.chunks else self._plain(" " + c) for c in rest]
-        return None if None in ids else self._plain(first) + b"".join(ids)
+    def _together(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks without a space, each with one before it, from one call: each begins where an id begins with a space."""
+        if not chunks:
+            return {}
+        [coded] = self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)
+        ids = np.array(coded.ids, dtype="<u4")
+        cuts = np.flatnonzero(self.spaces[ids])
+        if len(cuts) != len(chunks):
+            return {c: self._plain(" " + c) for c in chunks}
+        data, edges = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
+        return dict(zip(chunks, [data[a:b] for a, b in zip(edges, edges[1:])]))
+
+    def _known(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of different chunks with a space before each; None where that space is not a place to cut."""
+        words, others, marks, rest = self.words, self.others, self.marks, []
+        ids = list(map(words.get, chunks))
+        for k, found in enumerate(ids):
+            if found is None:
+                chunk = chunks[k]
+                core = chunk.rstrip(_MARKS)
+                found, after = words.get(core), marks.get(chunk[len(core):])
+                if found is not None and after is not None:
+                    ids[k] = found + after
+                elif (found := others.get(chunk)) is not None:
+                    ids[k] = found
+                else:
+                    rest.append(k)
+        if rest:
+            cores = {chunks[k]: chunks[k].rstrip(_MARKS) for k in rest}
+            cores = {c: core for c, core in cores.items() if _WORD.fullmatch(core)}
+            odd = {c for c in map(chunks.__getitem__, rest) if c not in cores and _sound(c)}
+            new = self._together(list(set(cores.values())))
+            seen = self._together([c for c in odd if " " not in c]) | {c: self._plain(" " + c) for c in odd if " " in c}
+            for k in rest:
+                c = chunks[k]
+                ids[k] = (new[cores[c]] + self._mark(c[len(cores[c]):])) if c in cores else seen.get(c)
+            for memory, more in ((words, new), (others, seen)):
+                if len(memory) + len(more) > self.limit:
+                    memory.clear()
+                memory.update(more)
+        return ids
+
+    def _mark(self, marks: str) -> bytes:
+        if not marks:
+            return b""
+        found = self.marks.get(marks)
+        if found is None:
+            found = self._plain(marks)
+            if len(marks) < 9:  # so that this memory stays small
+                self.marks[marks] = found
+        return found
 
     def encode(self, text: str | None) -> bytes:
+        """Ids of one text, cut only at single spaces between other characters; runs of white space stay inside a chunk."""
         if not text:
             return b""
-        first, *rest = text.split(" ")
-        ids = self._joined(first, rest) if not rest or _sound(first) else None
-        if ids is None:
-            first, *rest = _SAFE_SPACE.split(text)  # runs of white space stay inside a chunk
-            ids = self._joined(first, rest)
-        return self._plain(text) if ids is None else ids
+        first, *rest = _SAFE_SPACE.split(text)
+        return self._plain(first) + b"".join([self._plain(" " + c) if v is None else v for c, v in zip(rest, self._known(rest))])
+
+    def encode_all(self, texts: pa.Array, most: int = 8 << 20) -> Iterator[bytes]:
+        """Ids of many texts in order, null as none, some ``most`` bytes of text at a time.
+
+        Chunks are split and told apart by Arrow, looked up once each, and put together by Arrow again.
+        """
+        texts = texts.fill_null("")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + most, side="right")))
+            yield from self._encode_some(texts.slice(begin, end - begin))
+            begin = end
+
+    def _encode_some(self, texts: pa.Array) -> Iterator[bytes]:
+        split = pc.split_pattern(texts, " ")
+        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self._known(chunks)
+        whole = pa.array(ids, pa.binary()).take(coded.indices)
+        at = np.frombuffer(whole.buffers()[1], np.int32, len(whole) + 1, whole.offset * 4)
+        data = memoryview(whole.buffers()[2]) if len(whole) and whole.buffers()[2] else memoryview(b"")
+        unsound = np.array([v is None for v in ids], dtype=bool)[coded.indices.to_numpy()]
+        odd = np.logical_or.reduceat(unsound, edges[:-1]) if len(unsound) else []
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            if odd[k]:
+                yield self.encode(texts[k].as_py())
+            else:
+                yield self._plain(chunks[coded.indices[a].as_py()]) + bytes(data[at[a + 1]:at[b]])
 
 
 def _sound(chunk: str) -> bool:

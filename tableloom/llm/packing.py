@@ -125,8 +125,8 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encode.encode(text.as_py()) + end
+            for doc_id, ids_of in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1))):
+                data = ids_of + end
                 for piece, (start, n) in enumerate(cut_pieces(len(data) // 4, length)):
                     ids = data[4 * start:4 * (start + n)]
                     rows.append((part, doc_id, piece, start, n, zlib.crc32(ids), numbers[n]) + ((ids,) if with_ids else ()))

@@ -156,8 +156,8 @@ def write_token_files(
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encode.encode(text.as_py()) + end
+            for doc_id, ids_of in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1))):
+                data = ids_of + end
                 names.append(doc_id)
                 ends.append(len(data) // 4)
                 total += ends[-1]
