@@ -76,7 +76,7 @@ def _fit(rows: list[np.ndarray], grade: np.ndarray, levels: int, ridge: float, r
 
 def train(
     docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = 20_000, bits: int = 24,
-    least: int = 5, z: float = 5.0, ridge: float = 0.1, rounds: int = 300,
+    least: int = 5, z: float = 5.0, ridge: float = 0.01, rounds: int = 800,
 ) -> SeverityModel | None:
     """A model from at most about ``rows`` labelled documents, chosen by a hash of the identifier.
 
@@ -119,7 +119,7 @@ def train(
     return SeverityModel(bits, grades, {int(k): float(x) for k, x in zip(kept, w)}, cuts)
 
 
-def grade_texts(docs: DataFrame, model: SeverityModel | None, id_col: str = "doc_id", text_col: str = "text", decide: float = 0.5) -> DataFrame:
+def grade_texts(docs: DataFrame, model: SeverityModel | None, id_col: str = "doc_id", text_col: str = "text", decide: float = 0.3) -> DataFrame:
     """(doc_id, expected_severity, grade, toxic) for the whole text of every row of ``docs``.
 
     ``expected_severity`` is the sum of grade values weighted by their probabilities, ``grade`` the most probable one, and ``toxic`` says
