@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,6 +29,18 @@ def store(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``shared_folder`` named and nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let the driver drop finished plans now, so that Spark deletes the shuffle files and checkpoints only they used."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame, keys: list[str], salt: str, first: list[Column], then: list[Column]) -> DataFrame:
     """Totals per ``keys`` for joining back on ``keys`` and ``salt``, so that a hot key never meets in one task.
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
-from .common import LOWER_BYTES, spread, store
+from .common import LOWER_BYTES, forget, remove, shared_folder, spread, store
 
 WORDS = 5
 #: Similarity asked for, as intersection * DEN >= NUM * union.
@@ -22,6 +22,8 @@ NUM, DEN = 4, 5
 SALTS = 64
 #: Counters of the frequency sketch (a power of two), and the parts in which it is added up.
 SKETCH_BITS, SLICES = 22, 64
+#: Levels of a shingle's frequency below this one are within three deviations of a counter's mean: rare, or too few to tell.
+RARE = 112
 #: Bits that mark the documents whose shingles a later pass needs.
 MARK_BITS = 24
 BANDS = 4
@@ -132,7 +134,8 @@ def _describe(docs: DataFrame) -> DataFrame:
 
 
 def _frequency_levels(described: DataFrame) -> bytes:
-    """For each counter of the sketch, added up over all documents, how many times its count doubles twice the mean.
+    """For each counter of the sketch, added up over all documents, its place on a scale of 256: in sixteenths of a
+    deviation around the mean at first, then by the logarithm.
 
     The table has a fixed size; it only orders shingles from rare to frequent, so any error in it costs time, not links.
     """
@@ -149,12 +152,15 @@ def _frequency_levels(described: DataFrame) -> bytes:
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint64)
     for r in rows:
         counts[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-    flat = counts.ravel().astype(np.float64)
-    return np.clip(np.log2(np.maximum(flat, 1) / (2 * max(flat.mean(), 0.5))), 0, 255).astype(np.uint8).tobytes()
+    flat = counts.ravel().astype(np.float32)
+    mean = max(float(flat.mean()), 1e-9)
+    z = (flat - mean) / np.float32(np.sqrt(mean))
+    levels = np.where(z <= 4, np.clip(64 + 16 * z, 0, 127), np.clip(128 + 12 * np.log2(np.maximum(z, 4) / 4), 0, 255))
+    return levels.astype(np.uint8).tobytes()
 
 
 def _prefixes(docs: DataFrame, levels: bytes) -> DataFrame:
-    """(sig, rare, prefix): the rarest shingles of each set, as many as ``prefix_length`` says; the first ``rare`` are of the lowest level."""
+    """(sig, rare, prefix): the rarest shingles of each set, as many as ``prefix_length`` says; the first ``rare`` are below ``RARE``."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def start():
@@ -166,7 +172,7 @@ def _prefixes(docs: DataFrame, levels: bytes) -> DataFrame:
                 return None
             of = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             first = np.argsort(of, kind="stable")[: prefix_length(len(s))]
-            return _signature(s), int((of[first] == 0).sum()), s[first].view(np.int64).tolist()
+            return _signature(s), int((of[first] < RARE).sum()), s[first].view(np.int64).tolist()
 
         return row, list
 
@@ -257,6 +263,42 @@ def _components(links: DataFrame) -> DataFrame:
     return store(connected_components(nodes, links).select(F.col("node").alias("cid"), F.col("component").alias("g")))
 
 
+def _candidates(docs: DataFrame, levels: bytes, grouped: DataFrame) -> DataFrame:
+    """(a, b) of classes in different groups that may be linked, by the token-group matrix."""
+    spark = docs.sparkSession
+    folder = shared_folder(spark, "matrix")
+    prefixes = _prefixes(docs, levels).groupBy("sig").agg(F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    known = prefixes.join(grouped.select("sig", "cid"), "sig")
+    by_token = Window.partitionBy("token")
+    tokens = known.select("cid", F.posexplode("prefix").alias("pos", "token"), "rare").select(
+        "token", "cid", F.when(F.col("pos") < F.col("rare"), F.col("pos")).otherwise(-1 - F.col("pos")).alias("pos"), "rare"
+    )
+    several = tokens.withColumns({"_least": F.min("cid").over(by_token), "_most": F.max("cid").over(by_token)}).where("_least < _most")
+    low = F.col("pos") >= 0
+    several.select("token", "cid", "rare", low.alias("low"), F.when(low, F.col("pos")).otherwise(-1 - F.col("pos")).alias("pos")).join(
+        grouped.select("cid", "g", "n"), "cid"
+    ).select("token", "cid", "g", "n", (F.col("n") - F.col("pos")).alias("left"), "low", (F.col("n") - F.col("rare")).alias("rest")).write.parquet(f"{folder}/shared")
+    shared = spark.read.parquet(f"{folder}/shared")
+    sizes = shared.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    shared.groupBy("token", "g").agg(F.max("left").alias("left"), F.first("low").alias("low")).withColumns(
+        {"_least": F.min("g").over(by_token), "_most": F.max("g").over(by_token)}
+    ).where("_least < _most").drop("_least", "_most").join(sizes, "g").write.parquet(f"{folder}/matrix")
+    matrix = spark.read.parquet(f"{folder}/matrix")
+    one, two = (matrix.select("token", F.col("low").alias(f"low{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "most", "left", "rest"))) for k in (1, 2))
+    meeting = one.join(two, "token").where("g1 < g2").where(
+        (F.col("most1") * DEN >= F.col("least2") * NUM) & (F.col("most2") * DEN >= F.col("least1") * NUM) & _in_time("low1", "least1", "least2")
+    )
+    opened = meeting.groupBy("g1", "g2").agg(*_counts("low1", "least1", "least2")).where(_within_reach("least1", "least2")).select("g1", "g2")
+    inside = meeting.select("token", "g1", "g2").join(store(opened), ["g1", "g2"])
+    ours, theirs = (
+        shared.select("token", F.col("g").alias(f"g{k}"), F.col("cid").alias(c), *(F.col(x).alias(f"{x}{k}") for x in ("n", "left", "rest", "low"))) for k, c in ((1, "a"), (2, "b"))
+    )
+    members = inside.join(ours, ["token", "g1"]).join(theirs, ["token", "g2"]).where(_sizes_fit("n1", "n2") & _in_time("low1", "n1", "n2"))
+    found = store(members.groupBy("a", "b").agg(*_counts("low1", "n1", "n2")).where(_within_reach("n1", "n2")).select("a", "b"))
+    remove(spark, folder)
+    return found
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: its component of documents linked by a similarity of 0.8 or more.
 
@@ -286,28 +328,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     stars = _verified(_pivots(classes), classes, docs)
     grouped = classes.drop("keys").join(_components(stars), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
+    forget(docs.sparkSession)
 
-    prefixes = _prefixes(docs, _frequency_levels(described)).groupBy("sig").agg(F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
-    by_token = Window.partitionBy("token")
-    shared = store(
-        prefixes.join(grouped.select("sig", "cid", "g", "n"), "sig")
-        .select("cid", "g", "n", F.posexplode("prefix").alias("pos", "token"), "rare")
-        .select("token", "cid", "g", "n", (F.col("n") - F.col("pos")).alias("left"), (F.col("pos") < F.col("rare")).alias("low"), (F.col("n") - F.col("rare")).alias("rest"))
-        .withColumns({"_least": F.min("g").over(by_token), "_most": F.max("g").over(by_token)}).where("_least < _most").drop("_least", "_most")
-    )
-    sizes = shared.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    matrix = store(shared.groupBy("token", "g").agg(F.max("left").alias("left"), F.first("low").alias("low")).join(sizes, "g"))
-    one, two = (matrix.select("token", F.col("low").alias(f"low{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "most", "left", "rest"))) for k in (1, 2))
-    meeting = one.join(two, "token").where("g1 < g2").where(
-        (F.col("most1") * DEN >= F.col("least2") * NUM) & (F.col("most2") * DEN >= F.col("least1") * NUM) & _in_time("low1", "least1", "least2")
-    )
-    opened = meeting.groupBy("g1", "g2").agg(*_counts("low1", "least1", "least2")).where(_within_reach("least1", "least2")).select("g1", "g2")
-    inside = meeting.select("token", "g1", "g2").join(store(opened), ["g1", "g2"])
-    ours, theirs = (
-        shared.select("token", F.col("g").alias(f"g{k}"), F.col("cid").alias(c), *(F.col(x).alias(f"{x}{k}") for x in ("n", "left", "rest", "low"))) for k, c in ((1, "a"), (2, "b"))
-    )
-    members = inside.join(ours, ["token", "g1"]).join(theirs, ["token", "g2"]).where(_sizes_fit("n1", "n2") & _in_time("low1", "n1", "n2"))
-    candidates = members.groupBy("a", "b").agg(*_counts("low1", "n1", "n2")).where(_within_reach("n1", "n2"))
+    candidates = _candidates(docs, _frequency_levels(described), grouped)
+    forget(docs.sparkSession)
     links = store(stars.unionByName(_verified(candidates, classes, docs)))
 
     labels = _components(links)
