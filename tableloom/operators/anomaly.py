@@ -132,7 +132,8 @@ def isolation_forest(
     # about twice the rows a tree needs; the tree keeps the ones with the smallest draws
     share = min(1.0, 2.0 * size / rows)
     kept = min(1.0, 4.0 * n_estimators * share)  # thin a huge table before drawing per tree
-    thinned = ready.select(*names, F.rand(seed).alias("_salt")).where(F.rand(seed + 1) < F.lit(kept))
+    drawn = F.xxhash64(*ready.columns, F.lit(seed))  # follows the row, however rows are dealt to tasks
+    thinned = ready.select(*names, drawn.alias("_salt")).where(F.pmod(F.xxhash64("_salt", F.lit(seed + 1)), F.lit(1_000_000_007)) < F.lit(kept * 1_000_000_007))
     share = share / kept
     uniform = lambda i: F.pmod(F.xxhash64("_salt", i, F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     per_tree = F.transform(

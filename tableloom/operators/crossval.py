@@ -6,6 +6,7 @@ import time
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.metrics import class_scores, default_scoring, score
@@ -143,26 +144,34 @@ def leave_one_out(df: DataFrame, features: Sequence[str], target: str, ridge: fl
     return df.withColumns({"leverage": h, "loo_residual": e / (1 - h)})
 
 
-def leave_p_out(df: DataFrame, key: Sequence[str], features: Sequence[str], target: str, p: int = 2, subsets: int = 100, seed: int = SEED) -> DataFrame:
-    """Held-out squared error of sampled p-row subsets of a linear model.
+def leave_p_out(df: DataFrame, key: Sequence[str], features: Sequence[str], target: str, p: int = 2, seed: int = SEED) -> DataFrame:
+    """Held-out squared error of a linear model on disjoint p-row subsets: every row is held out once.
 
-    The number of subsets is the sample size of the method, as all of them cannot be listed.
-    Each subset's model is the total's moments minus its rows.
+    All subsets of p rows cannot be listed, so the rows are cut into groups of p by their hashed order; fewer
+    than p left over are held out together. A group's model is the total's moments minus its rows.
     """
-    picked = df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(p * subsets).select(*features, target).collect()
-    total = moments(df, [*features, target])[None]
-    out = []
-    for s in range(len(picked) // p):
-        rows = np.array([[float(v) for v in picked[s * p + i]] for i in range(p)])
-        n = total.n - p
-        mean = (total.mean * total.n - rows.sum(axis=0)) / n
-        centred = rows - total.mean
-        shift = centred.sum(axis=0)
-        scatter = total.scatter - centred.T @ centred - np.outer(shift, shift) / n
-        fit = solve(Moments(n, mean, scatter), features)
-        gap = rows[:, -1] - (rows[:, :-1] @ np.array(fit.coefficients) + fit.intercept)
-        out.append((s, float((gap**2).mean())))
-    return df.sparkSession.createDataFrame(out, "subset int, mse double")
+    columns = [*features, target]
+    total = moments(df, columns)[None]
+    placed = with_position(
+        df.select(*key, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=columns), [F.xxhash64(*key, F.lit(seed)), *key], name="_at"
+    )
+    groups = placed.groupBy(F.floor(F.col("_at") / p).alias("subset")).agg(F.flatten(F.collect_list(F.array(*columns))).alias("rows"))
+
+    def errors(batches):
+        for pdf in batches:
+            out = []
+            for rows in pdf["rows"]:
+                rows = np.asarray(rows).reshape(-1, len(columns))
+                n = total.n - len(rows)
+                centred = rows - total.mean
+                shift = centred.sum(axis=0)
+                scatter = total.scatter - centred.T @ centred - np.outer(shift, shift) / n
+                fit = solve(Moments(n, (total.mean * total.n - rows.sum(axis=0)) / n, scatter), features)
+                gap = rows[:, -1] - (rows[:, :-1] @ np.array(fit.coefficients) + fit.intercept)
+                out.append(float((gap**2).mean()))
+            yield pd.DataFrame({"subset": pdf["subset"], "mse": out})
+
+    return groups.mapInPandas(errors, "subset bigint, mse double")
 
 
 # ---- cross-validation ----

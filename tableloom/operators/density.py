@@ -127,11 +127,12 @@ def _dense_links(dense: DataFrame, names, cells, side: float, eps: float, levels
         touched = open_pairs.select(F.col("a").alias("cell_point")).union(open_pairs.select("b")).distinct()
 
         def sub(n_parts: int) -> Column:
-            out = F.lit(0).cast("bigint")
-            for j, n in enumerate(names):
-                step = F.floor((F.col(n) / side - F.col(cells[j])) * n_parts).cast("bigint")
-                out = out * n_parts + F.greatest(F.lit(0), F.least(step, F.lit(n_parts - 1)))
-            return out
+            if n_parts == 1:
+                return F.lit(0).cast("bigint")
+            if n_parts > 1 << 48:  # finer than the numbers themselves: a part per different point
+                return F.xxhash64(*names)
+            steps = [F.floor((F.col(n) / side - F.col(c)) * n_parts).cast("bigint") for n, c in zip(names, cells)]
+            return F.xxhash64(*[F.greatest(F.lit(0), F.least(s, F.lit(n_parts - 1))) for s in steps])
 
         subs = dense.join(touched, "cell_point", "left_semi").groupBy("cell_point", sub(parts).alias("up"), sub(finer).alias("sub")).agg(
             *[F.min(n).alias(f"lo{j}") for j, n in enumerate(names)], *[F.max(n).alias(f"hi{j}") for j, n in enumerate(names)]

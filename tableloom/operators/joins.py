@@ -8,11 +8,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark for broadcast only after counting at most ``rows`` rows; else leave to Spark."""
-    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark for broadcast only after counting at most ``rows`` rows of ``most_bytes`` together; else leave to Spark."""
+    width = sum((F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0)) for c in df.columns), F.lit(0))
+    size = df.limit(rows + 1).select(width.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= rows and size["b"] <= most_bytes else df
 
 
 def lookup(df: DataFrame, key: str, other: DataFrame, other_key: str, columns: Sequence[str], small_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import factorial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -64,23 +65,29 @@ def rule_based_price(df: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_linear(df: DataFrame, features: Sequence[str], target: str, n: int = 20, share: float = 0.8, seed: int = 42) -> list[LinearFit]:
+def bootstrap_linear(df: DataFrame, features: Sequence[str], target: str, n: int = 20, share: float = 0.8, seed: int = 42, key: Sequence[str] = ()) -> list[LinearFit]:
     """``n`` models on resamples with replacement, all from one pass.
 
     Each row draws a Poisson weight per replicate, the large-table form of sampling with
     replacement; a task sums the weighted cross products of its own rows, and Spark adds up
-    the tasks. The draws follow from the seed and the batch, so a task that is run again
-    draws the same.
+    the tasks. A draw follows from the seed, the replicate and a hash of ``key`` (or of the values),
+    so it does not depend on how rows are dealt to tasks.
     """
     columns = [*features, target]
     p = len(columns)
     centre = np.array([v["mean"] for v in column_stats(df, columns, "mean").values()])
-    rows = df.dropna(subset=columns).select(*[F.col(c).cast("double").alias(c) for c in columns])
+    rows = df.dropna(subset=columns).select(
+        *[F.col(c).cast("double").alias(c) for c in columns], F.xxhash64(*(key or columns), F.lit(seed)).alias("_row")
+    )
+    chance = np.cumsum([np.exp(-share) * share**k / factorial(k) for k in range(30)])
+    replicates = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def weighted_sums(batch):
         x = batch[columns].to_numpy(float) - centre
-        mark = np.frombuffer(x[:16].tobytes(), dtype=np.uint32)
-        w = np.random.default_rng([seed, len(x), *mark.tolist()]).poisson(share, size=(len(x), n)).astype(float)
+        h = batch["_row"].to_numpy(np.int64).view(np.uint64)[:, None] + replicates
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        w = np.searchsorted(chance, (h >> np.uint64(11)) / 2.0**53).astype(float)
         crossed = np.einsum("rb,ri,rj->bij", w, x, x)
         return np.concatenate([w.sum(axis=0), (w.T @ x).ravel(), crossed.ravel()])
 

@@ -9,7 +9,6 @@ from .models import FEATURES, LABEL, TARGET, keyed
 from .registry import query
 
 KEY = ["row_key"]
-QUICK = {"random_forest": {"n_estimators": 10}, "gradient_boosting": {"n_estimators": 5}}
 
 
 def labelled(t):
@@ -47,7 +46,7 @@ def h01_hard(t):
 @query("h02_bagging")
 def h02(t):
     train, test = m.split_by_hash(keyed(t), KEY)
-    members = en.bag(train, "decision_tree", FEATURES, TARGET, n_estimators=5)
+    members = en.bag(train, "decision_tree", FEATURES, TARGET)
     return m.member_scores(en.vote(test, members), ["prediction"], TARGET)
 
 

@@ -50,7 +50,7 @@ def f02(t):
 
 @query("f03_gradient_boosting")
 def f03(t):
-    return scored_regression(t, "gradient_boosting", n_estimators=20)
+    return scored_regression(t, "gradient_boosting")
 
 
 @query("f04_neural_network")
@@ -111,7 +111,7 @@ def f10_classes(t):
 
 @query("f11_random_forest_classifier")
 def f11(t):
-    return scored_classes(t, "random_forest", n_estimators=20)
+    return scored_classes(t, "random_forest")
 
 
 @query("f12_gradient_boosting_classifier")
