@@ -280,20 +280,28 @@ def _candidates(docs: DataFrame, levels: bytes, grouped: DataFrame) -> DataFrame
     ).select("token", "cid", "g", "n", (F.col("n") - F.col("pos")).alias("left"), "low", (F.col("n") - F.col("rare")).alias("rest")).write.parquet(f"{folder}/shared")
     shared = spark.read.parquet(f"{folder}/shared")
     sizes = shared.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    shared.groupBy("token", "g").agg(F.max("left").alias("left"), F.first("low").alias("low")).withColumns(
+    shared.groupBy("token", "g").agg(F.max("left").alias("left"), F.first("low").alias("low"), F.count(F.lit(1)).alias("size")).withColumns(
         {"_least": F.min("g").over(by_token), "_most": F.max("g").over(by_token)}
     ).where("_least < _most").drop("_least", "_most").join(sizes, "g").write.parquet(f"{folder}/matrix")
     matrix = spark.read.parquet(f"{folder}/matrix")
-    one, two = (matrix.select("token", F.col("low").alias(f"low{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "least", "most", "left", "rest"))) for k in (1, 2))
+    one, two = (matrix.select("token", F.col("low").alias(f"low{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "size", "least", "most", "left", "rest"))) for k in (1, 2))
     meeting = one.join(two, "token").where("g1 < g2").where(
         (F.col("most1") * DEN >= F.col("least2") * NUM) & (F.col("most2") * DEN >= F.col("least1") * NUM) & _in_time("low1", "least1", "least2")
     )
     opened = meeting.groupBy("g1", "g2").agg(*_counts("low1", "least1", "least2")).where(_within_reach("least1", "least2")).select("g1", "g2")
-    inside = meeting.select("token", "g1", "g2").join(store(opened), ["g1", "g2"])
+    # the smaller side of a shingle comes first, so that a large group only meets what its own bounds let through
+    turned = F.col("size1") > F.col("size2")
+    inside = meeting.join(store(opened), ["g1", "g2"]).select(
+        "token", F.when(turned, F.col("g2")).otherwise(F.col("g1")).alias("g1"), F.when(turned, F.col("g1")).otherwise(F.col("g2")).alias("g2")
+    )
     ours, theirs = (
         shared.select("token", F.col("g").alias(f"g{k}"), F.col("cid").alias(c), *(F.col(x).alias(f"{x}{k}") for x in ("n", "left", "rest", "low"))) for k, c in ((1, "a"), (2, "b"))
     )
     members = inside.join(ours, ["token", "g1"]).join(theirs, ["token", "g2"]).where(_sizes_fit("n1", "n2") & _in_time("low1", "n1", "n2"))
+    members = members.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "low1",
+        (F.col("n1") + F.col("n2")).alias("n1"), F.lit(0).alias("n2"), F.greatest("rest1", "rest2").alias("rest1"), F.lit(0).alias("rest2"),
+    )
     found = store(members.groupBy("a", "b").agg(*_counts("low1", "n1", "n2")).where(_within_reach("n1", "n2")).select("a", "b"))
     remove(spark, folder)
     return found
