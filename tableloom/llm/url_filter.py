@@ -57,7 +57,8 @@ def _variable_segments(shapes: DataFrame, few: int, share: float) -> DataFrame:
     # what stays is at most max(few, 1 / share) segments a place, so it fits one row per host
     known = stays.groupBy("host").agg(F.collect_set(F.concat_ws(" ", "place", "segment")).alias("known"))
     salted = shapes.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)))
-    by_salt = salted.select("host", "salt").distinct().join(known, "host")
+    # a host none of whose segments stays is not in ``known``: all its segments vary
+    by_salt = salted.select("host", "salt").distinct().join(known, "host", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     return salted.join(by_salt, ["host", "salt"]).withColumn(
         "template",
         F.transform("shape", lambda s, i: F.when(F.array_contains("known", F.concat_ws(" ", i.cast("string"), s)), s).otherwise(ANY)),
@@ -138,7 +139,7 @@ def judge_urls(
     by_shape = variable.select("host", "shape", "template").join(by_template, ["host", "template"]).select("host", "shape", F.col("final").alias("template"), "purity")
     open_pages = judged.where("said is null").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
     answers = open_pages.select("host", "shape", "salt").distinct().join(by_shape, ["host", "shape"])
-    by_method = open_pages.join(answers, ["host", "shape", "salt"]).select(
+    by_method = open_pages.join(answers, ["host", "shape", "salt"], "left").withColumn("purity", F.coalesce("purity", F.lit(1.0 - base))).select(
         "page_id", "host", "path", "rule", F.when(F.col("purity") <= 1 - reject, "block").otherwise("allow").alias("verdict"), "template", "purity"
     )
     by_rule = judged.where("said is not null").select(

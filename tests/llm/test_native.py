@@ -77,6 +77,17 @@ def test_url_templates(spark):
     assert got["http://site.org/" + "a/" * 5000]["template"].endswith("**")
 
 
+def test_urls_of_flat_hosts(spark):
+    letters = "abcdefghijklmnopqrst"
+    urls = [f"http://blog.org/{letters[i // 20]}{letters[i % 20]}x" for i in range(400)] + [f"http://wiki.org/{letters[i // 20]}q/{letters[i % 20]}z" for i in range(400)]
+    urls += [f"http://mixed.org/{letters[i // 20]}{letters[i % 20]}y" for i in range(400)] + [f"http://mixed.org/bad/{i}" for i in range(200)]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(None, urls[0])], "page_id long, url string")
+    got = url_filter.judge_urls(pages, [("block", "mixed.org/bad/"), ("allow", "good.org/")]).collect()
+    assert sorted(r["page_id"] for r in got if r["page_id"] is not None) == list(range(len(urls))) and len(got) == len(urls) + 1
+    assert {r["template"] for r in got if r["host"] == "blog.org"} == {"*"}
+    assert all(r["purity"] is not None and r["verdict"] in ("allow", "block") for r in got if r["rule"] is None)
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "hello"), (1, 3, "cy", None), (1, 4, "ann", "bye"), (2, 0, "system", "alone"),
             (3, None, None, "x"), (3, 1, "ann", "y"), (3, 1, "ann", "y"), (None, 1, "bob", "z")]
