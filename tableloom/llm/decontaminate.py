@@ -78,6 +78,7 @@ class ItemIndex:
     place: np.ndarray
     window: int
     density: int
+    reach: int
 
     @classmethod
     def build(cls, items: list[tuple[int, bytes]], rate: float) -> "ItemIndex":
@@ -99,7 +100,7 @@ class ItemIndex:
         reach = sizes + budgets
         window = int(reach.min())
         density = int(np.ceil(needs / np.ceil(reach / window)).min())
-        return cls(ids, texts, budgets, needs, table, keys, np.append(first, len(flat)), item, place, window, density)
+        return cls(ids, texts, budgets, needs, table, keys, np.append(first, len(flat)), item, place, window, density, int(reach.max()))
 
     def hits(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
         """(item, start, end, edits) of item occurrences in one part of a document."""
@@ -109,14 +110,14 @@ class ItemIndex:
         at = np.flatnonzero(self.table[(g * _ODD) >> np.uint64(64 - _TABLE_BITS)])
         if len(at) < self.density:
             return
-        # keep hits that stand in some window dense enough for an item
+        # an occurrence has one window so dense at least, and all its hits within its reach of that window's first
         ahead = np.searchsorted(at, at + self.window, side="right") - np.arange(len(at))
-        dense = np.flatnonzero(ahead >= self.density)
+        dense = at[ahead >= self.density]
         if not len(dense):
             return
         cover = np.zeros(len(at) + 1, np.int64)
-        np.add.at(cover, dense, 1)
-        np.add.at(cover, dense + ahead[dense], -1)
+        np.add.at(cover, np.searchsorted(at, dense - self.reach), 1)
+        np.add.at(cover, np.searchsorted(at, dense + self.reach, side="right"), -1)
         at = at[np.cumsum(cover[:-1]) > 0]
         where = np.searchsorted(self.keys, g[at])
         good = where < len(self.keys)

@@ -67,6 +67,35 @@ def test_against_brute_force(spark):
     assert want and got == want
 
 
+@pytest.mark.parametrize("size", [100, 400])
+def test_full_budget_beside_a_much_shorter_item(spark, size):
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    short, long = ("".join(rng.choice(letters) for _ in range(n)) for n in (60, size))
+    budget = int(size * 0.06)
+    docs = []
+    for gap in (8, 9, 10, 12, size // budget):
+        for first in (4, size - 1 - gap * (budget - 1) - 4):
+            text = list(long)
+            for k in range(budget):
+                text[first + k * gap] = "0"
+            docs.append((len(docs), "1234567890" * 30 + "".join(text) + "0987654321" * 30))
+    for _ in range(20):
+        text = list(long)
+        for k in rng.sample(range(size), budget):
+            text[k] = "0"
+        docs.append((len(docs), "".join(text)))
+    items = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in find_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    want = {}
+    for d, text in docs:
+        for i, item in ((1, short), (2, long)):
+            n = best_edits(normalised(item), normalised(text))
+            if n <= len(item) * 0.06:
+                want[d, i] = n
+    assert {d for d, i in want if i == 2} == set(range(len(docs))) and got == want
+
+
 def test_query_finds_every_exact_passage(spark):
     folder = "/root/testdata/sf0.01"
     found = {(r["doc_id"], r["item_id"]) for r in plans.op4_decontamination(spark, folder).where("edits = 0").collect()}
