@@ -113,6 +113,19 @@ def test_long_dialogues_are_segments(spark):
         assert all(r["text"][s["start"]:s["end"]].endswith("<|im_end|>") for s in r["spans"])
 
 
+def test_repeated_turns_are_cut_by_rank(spark):
+    rows = [(None, t % 21 if t % 7 else None, "ab"[t % 2], f"w{t % 90}") for t in range(3000)] + [(1, 0, "a", "same")] * 1500 + [(2, t, "c", "x") for t in range(600, 1100)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.rotate_perspectives(table).collect()
+    assert max(r["n_turns"] for r in got) <= 512
+    assert sorted((r["segment"], r["n_turns"]) for r in got if r["conv_id"] == 2) == [(1, 424), (2, 76)]
+    for conv, speaker in ((None, "a"), (None, "b"), (1, "a")):
+        parts = sorted((r["segment"], r["text"]) for r in got if r["conv_id"] == conv and r["speaker"] == speaker)
+        turns = sorted((t is None, t or 0, role, said) for c, t, role, said in rows if c == conv)
+        said = [f"<|im_start|>{'assistant' if role == speaker else 'user name=' + role}\n{text}<|im_end|>\n" for _, _, role, text in turns]
+        assert [k for k, _ in parts] == list(range(-(-len(turns) // 512))) and "".join(t for _, t in parts) == "".join(said)
+
+
 def test_sources_state_no_forbidden_calls():
     for path in glob.glob("tableloom/llm/*.py"):
         assert not any(word in open(path).read() for word in ("localCheckpoint(", "crossJoin(", "tempfile"))
