@@ -19,8 +19,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents stays, that with the smallest doc_id."""
-    return jaccard_join.keep_one(docs)
+    """One row of each component of linked documents stays, that with the smallest doc_id (nulls last)."""
+    return jaccard_join.keep_one_row(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,6 +145,24 @@ class ItemIndex:
                 yield i, found[1], found[2], found[0]
 
 
+def _blocks(items: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple[int, bytes]]]:
+    """Items in blocks of at most ``BLOCK`` bytes, one after the other."""
+    block: list[tuple[int, bytes]] = []
+    size = 0
+    rows = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null")
+    for r in rows.distinct().toLocalIterator():  # a block of items at a time
+        text = normalised(r["t"])
+        if len(text) < Q:
+            continue
+        if block and size + len(text) > BLOCK:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], text))
+        size += len(text)
+    if block:
+        yield block
+
+
 def find_items(
     docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
@@ -163,8 +181,6 @@ def find_items(
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     result = None
-    block: list[tuple[int, bytes]] = []
-    size = 0
 
     def search(block: list[tuple[int, bytes]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(ItemIndex.build(block, rate))
@@ -189,18 +205,7 @@ def find_items(
 
         return texts.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits int")
 
-    rows = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null")
-    for r in rows.distinct().toLocalIterator():  # a block of items at a time
-        text = normalised(r["t"])
-        if len(text) < Q:
-            continue
-        if block and size + len(text) > BLOCK:
-            found = search(block)
-            result = found if result is None else result.unionByName(found)
-            block, size = [], 0
-        block.append((r["i"], text))
-        size += len(text)
-    if block:
+    for block in _blocks(items, item_col, item_text_col):
         found = search(block)
         result = found if result is None else result.unionByName(found)
     if result is None:
@@ -209,6 +214,26 @@ def find_items(
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item occurs; a null identifier is treated as one identifier."""
-    bad = find_items(docs, items, rate, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs``, with all their columns, in whose own text no item occurs; identifiers play no part."""
+    context, left = docs.sparkSession.sparkContext, docs
+
+    def search(block: list[tuple[int, bytes]], rest: DataFrame) -> DataFrame:
+        shared = context.broadcast(ItemIndex.build(block, rate))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            lap = 2 * max(map(len, index.texts)) + 2
+
+            def clean(text: str | None) -> bool:
+                data = normalised(text)
+                return not any(True for k in range(0, max(1, len(data)), PART) for _ in index.hits(data[k:k + PART + lap]))
+
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col))
+                yield batch.filter(pa.array([clean(t.as_py()) for t in texts], pa.bool_()))
+
+        return rest.mapInArrow(run, docs.schema)
+
+    for block in _blocks(items, "item_id", "text"):
+        left = search(block, left)
+    return left

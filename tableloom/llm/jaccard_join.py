@@ -360,3 +360,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     linked = link_documents(docs, id_col, text_col)
     leave = linked.where("doc_id != component_id").select(F.col("doc_id").alias("__leaves")).distinct()
     return docs.join(leave, F.col(id_col).cast("long") == F.col("__leaves"), "left_anti")
+
+
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked rows, that with the smallest identifier (nulls last, then any one); rows without links stay.
+
+    Rows are told apart by a key stored with them, so null and repeated identifiers take no other row with them.
+    """
+    spark = docs.sparkSession
+    folder = shared_folder(spark, "rows")
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    keyed = spark.read.parquet(folder)
+    linked = store(link_documents(keyed, "__row", text_col).select(F.col("doc_id").alias("__row"), "component_id"))
+    ids = keyed.select("__row", F.col(id_col).cast("long").alias("__id"))
+    first = F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first")
+    stay = linked.join(ids, "__row").groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row"))
+    leave = linked.select("__row").join(stay, "__row", "left_anti")
+    return keyed.join(leave, "__row", "left_anti").drop("__row")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tableloom.llm import language, plans, toxicity
+from tableloom.llm import decontaminate, jaccard_join, language, plans, toxicity
 from tableloom.llm.features import PART, linear_svm, ngram_counts
 
 SF = "/root/testdata/sf0.1"
@@ -93,3 +93,20 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.collect()}
     assert corpus_pipeline.run(spark, folder).count() == packed.count()
+
+
+def test_filtering_stages_decide_per_row(spark):
+    item = "what is the capital of that small country in the north"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = [f"clean words number {k} about gardens and rain" for k in range(6)]
+    rows = [(None, f"so {item} then"), (None, clean[0]), (None, clean[1]), (7, item.upper()), (7, clean[2]), (7, clean[3]), (8, clean[4]), (None, None)]
+    left = decontaminate.remove_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted((r["text"] or "") for r in left.collect()) == sorted(["", *clean[:5]])
+    near = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, near), (None, near + " x"), (3, near + " y"), (3, "z " + near), (3, clean[0]), (None, clean[1]), (None, clean[2]), (4, None), (None, None),
+            (5, clean[3]), (5, clean[3]), (None, clean[4]), (None, clean[4])]
+    left = jaccard_join.keep_one_row(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left if "w0" not in (r["text"] or "")) == sorted(
+        [(3, clean[0]), (0, clean[1]), (0, clean[2]), (4, ""), (0, ""), (5, clean[3]), (0, clean[4])]
+    )
+    assert [r["doc_id"] for r in left if "w0" in (r["text"] or "")] == [3]
