@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, jaccard_join, language, packing, token_store, toxicity, url_filter, warc
+from . import chat, decontaminate, exact_dedup, filter_audit, jaccard_join, language, packing, token_store, toxicity, url_filter, warc
 from .common import shared_folder
 
 
@@ -92,7 +92,12 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_language, op3_url_filter, op4_decontamination, op5_packing, op6_toxicity, op7_warc, op8_exact_dedup, op9_ngram_join, op10_chat_formatting)}
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    masks = filter_audit.failure_masks(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return filter_audit.audit_orders(masks).drop("filter")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_language, op3_url_filter, op4_decontamination, op5_packing, op6_toxicity, op7_warc, op8_exact_dedup, op9_ngram_join, op10_chat_formatting, op11_filter_audit)}
 
 ORACLES = {
     "op8_exact_dedup": """
@@ -120,4 +125,35 @@ ORACLES = {
                coalesce(string_agg(s || '-' || (s + length(body)), ',' ORDER BY turn, role, said) FILTER (WHERE own), '') AS mask_spans,
                CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS INTEGER) AS masked_chars
         FROM placed GROUP BY conv_id, speaker, segment""",
+    "op11_filter_audit": r"""
+        WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+        orders AS (
+            SELECT letter AS filter_order FROM letters
+            UNION ALL SELECT filter_order || letter FROM orders JOIN letters ON NOT contains(filter_order, letter)),
+        steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s] AS letter FROM orders, range(1, 6) r(s) WHERE length(filter_order) = 5),
+        plain AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        labelled AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        failing AS (
+            SELECT p.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+                   CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN p.doc_id > min(p.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+            FROM plain p LEFT JOIN labelled l ON p.doc_id = l.doc_id),
+        judged AS (
+            SELECT part, good, toxic, filter_order, step, letter, contains(fails, letter) AS failed, fails = letter AS alone,
+                   len(list_filter(range(1, step), lambda k: contains(fails, filter_order[k]))) > 0 AS gone
+            FROM failing, steps),
+        counted AS (
+            SELECT part, filter_order, step, letter, count(*) FILTER (NOT gone AND NOT failed) AS kept, count(*) FILTER (failed AND NOT gone) AS removed,
+                   count(*) FILTER (failed AND gone) AS redundant, count(*) FILTER (alone) AS unique_fails,
+                   count(*) FILTER (failed AND NOT gone AND good) AS good_lost, count(*) FILTER (failed AND NOT gone AND toxic) AS toxic_lost
+            FROM judged GROUP BY part, filter_order, step, letter)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM counted""",
 }
