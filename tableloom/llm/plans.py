@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, filter_audit, jaccard_join, language, packing, token_store, toxicity, url_filter, warc
-from .common import shared_folder
+from . import chat, class_lm, decontaminate, exact_dedup, filter_audit, jaccard_join, language, packing, prefix_trie, token_store, toxicity, url_filter, warc
+from .common import shared_folder, store
 
 
 #: The rules of the URL query.
@@ -97,7 +97,18 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit_orders(masks).drop("filter")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_language, op3_url_filter, op4_decontamination, op5_packing, op6_toxicity, op7_warc, op8_exact_dedup, op9_ngram_join, op10_chat_formatting, op11_filter_audit)}
+def op12_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    scored = class_lm.score_documents(_table(spark, folder, "documents"), ~held)
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = store(prefix_trie.order_turns(_table(spark, folder, "conversations")))
+    return prefix_trie.build_trie(store(prefix_trie.graft_beginnings(turns)), turns.select("conv_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_language, op3_url_filter, op4_decontamination, op5_packing, op6_toxicity, op7_warc, op8_exact_dedup, op9_ngram_join, op10_chat_formatting, op11_filter_audit, op12_class_lm, op13_prefix_trie)}
 
 ORACLES = {
     "op8_exact_dedup": """
@@ -156,4 +167,31 @@ ORACLES = {
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
                CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
         FROM counted""",
+    "op13_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS said,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                       sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+            FROM conversations WHERE conv_id IS NOT NULL),
+        original AS (SELECT c, list({'role': role, 'said': said} ORDER BY k) AS said FROM turns GROUP BY c),
+        sized AS (
+            SELECT c, said, c - c % 5 AS base, xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                lambda crc, x: list_reduce([xor(crc, x)]::BIGINT[] || range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h
+            FROM original),
+        rebuilt AS (
+            SELECT s.c, coalesce(o.said[1:h], []) || s.said[h + 1:] AS said FROM sized s LEFT JOIN original o ON o.c = s.base),
+        prefixes AS (SELECT c, d, said[1:d] AS said FROM rebuilt, LATERAL (SELECT unnest(range(0, len(said) + 1)) AS d)),
+        members AS (SELECT c, d, min(c) OVER (PARTITION BY d, said) AS m, said[d].said AS last FROM prefixes),
+        nodes AS (SELECT m, d, count(*) AS n_convs, (count(*) - 1) * coalesce(strlen(any_value(last)), 0) AS saved FROM members GROUP BY m, d),
+        tree AS (SELECT n.*, up.m AS pm FROM nodes n LEFT JOIN members up ON up.c = n.m AND up.d = n.d - 1),
+        children AS (SELECT pm AS m, d - 1 AS d, count(*) AS n FROM tree WHERE pm IS NOT NULL GROUP BY pm, d),
+        below AS (
+            SELECT top.m, top.d, sum(n.saved) AS saved_tokens, count(*) FILTER (c.n IS NULL) AS n_leaves
+            FROM nodes n JOIN members top ON top.c = n.m AND top.d <= n.d LEFT JOIN children c ON c.m = n.m AND c.d = n.d GROUP BY top.m, top.d),
+        ends AS (
+            SELECT x.m, x.d, sha256(string_agg(CAST(x.c AS VARCHAR), ',' ORDER BY x.c)) AS h
+            FROM members x JOIN rebuilt r ON r.c = x.c AND x.d = len(r.said) GROUP BY x.m, x.d)
+        SELECT t.m AS conv_id, t.d AS depth, t.pm AS parent_conv_id, t.n_convs, coalesce(c.n, 0) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+               CAST(b.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+        FROM tree t JOIN below b ON b.m = t.m AND b.d = t.d LEFT JOIN children c ON c.m = t.m AND c.d = t.d LEFT JOIN ends e ON e.m = t.m AND e.d = t.d""",
 }
