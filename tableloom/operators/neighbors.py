@@ -20,6 +20,10 @@ from .windows import top_per_key, with_position
 
 BLOCK = 128
 FAN = 32
+#: Boxes prune in a few columns only; in more of them ``nearest`` refuses and ``nearest_rows`` turns to the forest.
+EXACT_COLUMNS = 8
+#: Columns that the grid of ``within`` uses, and rows of a cell that meet its neighbours in one share.
+GRID_COLUMNS, SHARE_ROWS = 3, 1000
 
 
 def curve_key(columns: Sequence[str], low: Sequence[float], high: Sequence[float]) -> Column:
@@ -85,9 +89,12 @@ def nearest(
     """(id, neighbour, distance, rank): the ``k`` nearest points of every query row.
 
     Without ``queries`` every point is a query and is not its own neighbour. Ties go to the
-    smaller key. Rows with a missing coordinate are left out.
+    smaller key. Rows with a missing coordinate are left out. More than ``EXACT_COLUMNS`` columns
+    are refused, as every row would be compared with every other.
     """
     d = len(columns)
+    if d > EXACT_COLUMNS:
+        raise ValueError(f"exact neighbours in more than {EXACT_COLUMNS} columns compare all pairs: use nearest_approximate")
     names = [f"x{j}" for j in range(d)]
     own = queries is None
     m = k + 1 if own else k
@@ -161,6 +168,45 @@ def nearest(
     )
 
 
+def nearest_rows(points: DataFrame, key: str, columns: Sequence[str], k: int, queries: DataFrame | None = None, query_key: str | None = None) -> DataFrame:
+    """``nearest`` for up to ``EXACT_COLUMNS`` columns, ``nearest_approximate`` for more."""
+    if len(columns) <= EXACT_COLUMNS:
+        return nearest(points, key, columns, k, queries, query_key)
+    from .approximate import nearest_approximate
+
+    return nearest_approximate(points, key, columns, k, queries, query_key)
+
+
+def within(points: DataFrame, key: str, columns: Sequence[str], eps: float) -> DataFrame:
+    """(id, neighbour, distance) of all pairs of rows, id < neighbour, that lie within ``eps`` of each other.
+
+    Rows meet by the cells of a grid of width ``eps`` over the first columns (three at most), each pair of cells once;
+    the distance in all columns decides. A cell with many rows is dealt out in shares, each of which meets the rows
+    around it apart, so a dense spot is no hot key. Keys are unique; rows with a missing coordinate are left out.
+    """
+    if eps < 0:
+        raise ValueError("a distance is not negative")
+    names = [f"x{j}" for j in range(len(columns))]
+    grid = names[:GRID_COLUMNS]
+    width = max(eps, 1e-12) * (1 + 1e-9)  # so that rounding puts no pair two cells apart
+    rows = points.dropna(subset=list(columns)).select(
+        F.col(key).alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)]
+    ).withColumn("cell", F.array(*[F.floor(F.col(n) / width) for n in grid]))
+    counts = cut_lineage(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SHARE_ROWS).cast("int").alias("shares")))
+    dealt = rows.join(counts, "cell").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares"))).drop("shares")
+    steps = [[]]
+    for _ in grid:
+        steps = [s + [i] for s in steps for i in (-1, 0, 1)]
+    steps = [s for s in steps if s >= [0] * len(grid)]  # a cell itself and those after it: the others look back
+    around = F.array(*[F.array(*[F.col("cell")[j] + i for j, i in enumerate(s)]) for s in steps])
+    moved = rows.select(F.col("id").alias("other"), F.col("cell").alias("own"), *[F.col(n).alias(f"y{j}") for j, n in enumerate(names)], F.explode(around).alias("cell"))
+    moved = moved.join(counts, "cell").select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).drop("shares")
+    d2 = _squared([F.col(n) for n in names], [F.col(f"y{j}") for j in range(len(names))])
+    met = dealt.withColumnRenamed("cell", "home").join(moved, (F.col("home") == F.col("cell")) & (dealt["share"] == moved["share"]))
+    met = met.where((F.col("home") != F.col("own")) | (F.col("id") < F.col("other"))).withColumn("d2", d2).where(F.col("d2") <= float(eps) ** 2)
+    return met.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("neighbour"), F.sqrt("d2").alias("distance"))
+
+
 def _within(rows: DataFrame, nodes: Column, names, xs) -> DataFrame:
     close = F.filter(nodes, lambda n: _box_distance(xs, n) <= F.col("bound"))
     return rows.select(*names, "bound", F.explode(F.transform(close, lambda n: n["node"])).alias("node"))
@@ -187,7 +233,7 @@ def _bound_from_ancestors(rows: DataFrame, levels: Sequence[DataFrame], xs: Sequ
 
 def knn_predict(train: DataFrame, rows: DataFrame, key: str, features: Sequence[str], target: str, k: int = 5, classify: bool = False) -> DataFrame:
     """Mean (or most frequent, ties to the smaller) target of the k nearest training rows."""
-    pairs = nearest(train, key, features, k, queries=rows, query_key=key)
+    pairs = nearest_rows(train, key, features, k, queries=rows, query_key=key)
     labelled = pairs.join(train.select(F.col(key).alias("neighbour"), F.col(target).alias("_y")), "neighbour")
     if not classify:
         out = labelled.groupBy("id").agg(F.avg("_y").alias("prediction"))

@@ -64,6 +64,28 @@ def q06(t):
     return out.select(F.col("id"), F.col("neighbour"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("q06_within_distance", """
+SELECT a.c_custkey AS id, b.c_custkey AS neighbour, round(sqrt((a.c_acctbal - b.c_acctbal) ** 2 + (a.c_nationkey - b.c_nationkey) ** 2), 6) AS distance
+FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey
+ AND (a.c_acctbal - b.c_acctbal) * (a.c_acctbal - b.c_acctbal) + (a.c_nationkey - b.c_nationkey) * (a.c_nationkey - b.c_nationkey)::DOUBLE <= 25""")
+def q06_within(t):
+    """All pairs of rows within a distance, met by the cells of a grid."""
+    from ..operators.neighbors import within
+
+    out = within(t.customer, "c_custkey", ["c_acctbal", "c_nationkey"], 5.0)
+    return out.select("id", "neighbour", F.round("distance", 6).alias("distance"))
+
+
+@query("q06_nearest_wide")
+def q06_wide(t):
+    """About the ten nearest rows over all 64 coordinates, by random-projection trees, and the rows each was compared with."""
+    from ..operators.approximate import nearest_approximate
+
+    wide = t.embeddings.select("vec_id", *[F.col("embedding")[j].alias(f"e{j}") for j in range(64)])
+    out = nearest_approximate(wide, "vec_id", [f"e{j}" for j in range(64)], k=10, visited=True)
+    return out.select("id", "neighbour", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"), "visited")
+
+
 @query("q07_present_keys", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def q07(t):
     return j.present(t.customer.select("c_custkey"), "c_custkey", t.orders, "o_custkey")
