@@ -31,8 +31,13 @@ def v01(t):
     return out.select("user_id", "event_id", "accepted")
 
 
-@query("v01_sliding_log_stream", _LIMITER)
+#: What the watermark (ten minutes, in whole milliseconds) has passed at the end of a replay.
+_PASSED = "(SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events WHERE {})"
+
+
+@query("v01_sliding_log_stream", _LIMITER + f" AND event_id IN (SELECT event_id FROM events WHERE epoch_us(ts) < {_PASSED.format('true')})")
 def v01_stream(t):
+    """Requests decided in event time, as far as the watermark has come."""
     return run_now(rates.sliding_log_stream(events_stream(t), "user_id", "event_id", most=2, seconds=28800), "v01")
 
 
@@ -108,7 +113,7 @@ def v05(t):
     return out.select("job_id", "started_at", "status", "duration_ms")
 
 
-@query("v05_job_lifecycle_stream", f"SELECT job_id, status, duration_ms FROM ({_JOBS}) WHERE status <> 'running'")
+@query("v05_job_lifecycle_stream", f"SELECT job_id, status, duration_ms FROM ({_JOBS.replace('FROM events', f'FROM events WHERE epoch_us(ts) < {_PASSED.format("event_type != $click$")} AND').replace('AND WHERE', 'AND').replace('$', chr(39))}) WHERE status <> 'running'")
 def v05_stream(t):
     e = events_stream(t)
     return run_now(lc.jobs_stream(job_events(e).unionByName(closings(e))), "v05").select("job_id", "status", "duration_ms")
@@ -257,8 +262,8 @@ def v13(t):
     return lc.uptime(switches(t.events), "user_id", "event_id", "up")
 
 
-@query("v13_uptime_stream", _UPTIME)
+@query("v13_uptime_stream", f"SELECT * FROM ({_UPTIME.replace('WHERE event_type IN', f'WHERE epoch_us(ts) < {_PASSED.format("event_type IN ($signup$, $error$)")} AND event_type IN').replace('$', chr(39))}) WHERE spans > 0")
 def v13_stream(t):
-    out = run_now(lc.uptime_stream(switches(events_stream(t)), "user_id", "event_id", "up"), "v13", "update")
-    last = out.groupBy("user_id").agg(F.max_by(F.struct("uptime_ms", "spans"), "_batch").alias("s"))
-    return last.select("user_id", "s.uptime_ms", "s.spans")
+    """Uptime from the spans that the watermark has passed."""
+    out = run_now(lc.uptime_stream(switches(events_stream(t)), "user_id", "event_id", "up"), "v13")
+    return out.groupBy("user_id").agg(F.sum("span_ms").alias("uptime_ms"), F.count(F.lit(1)).alias("spans"))

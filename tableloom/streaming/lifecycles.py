@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.scalars import elapsed_ms, label_by
 from ..operators.windows import frame_window, running_sum
+from .ordered import in_order
 
 # Heartbeat tick and availability bands.
 HEARTBEAT = "30 seconds"
@@ -65,32 +66,39 @@ def jobs(events: DataFrame, disconnects: DataFrame, job: str = "job_id", connect
     )
 
 
-def jobs_stream(stream: DataFrame, job: str = "job_id", connection: str = "connection_id", ts: str = "ts") -> DataFrame:
-    """Finished jobs as they end. The state of a connection is its jobs with start times, negative once ended.
+def jobs_stream(
+    stream: DataFrame, job: str = "job_id", connection: str = "connection_id", ts: str = "ts", late: str = "10 minutes", remember: str = "1 day",
+) -> DataFrame:
+    """Finished jobs as they end, decided in event time once the watermark has passed the event.
 
-    ``stream`` holds job events and ``disconnected`` events (job null) of one schema.
+    ``stream`` holds job events and ``disconnected`` events (job null) of one schema. The state of a connection is its
+    events that the watermark has not passed, its open jobs with start times, and for ``remember`` the jobs that
+    ended, so that a repeated start opens none of them again. A connection without open jobs is forgotten after that.
     """
-    rows = stream.select(F.col(connection).cast("string").alias("c"), F.col(job).cast("string").alias("j"), "status", F.unix_micros(ts).alias("us"))
-    out = "connection_id string, job_id string, status string, duration_ms bigint"
-    kept = "jobs array<string>, starts array<bigint>"
-
-    def step(name, batches, state):
-        opened = dict(zip(*state.get)) if state.exists else {}
-        for b in batches:
-            ended = []
-            order = b["status"].map({"started": 0, "disconnected": 2}).fillna(1)
-            for e in b.assign(order=order).sort_values(["us", "order"]).itertuples(index=False):
-                if e.status == "started":
-                    opened.setdefault(e.j, int(e.us))
-                    continue
-                over = [j for j, at in opened.items() if 0 <= at < e.us] if e.status == "disconnected" else [e.j] if e.status in TERMINAL and opened.get(e.j, -1) >= 0 else []
-                for j in over:
-                    ended.append((name[0], j, DISCONNECTED if e.status == "disconnected" else e.status, int(e.us) // 1000 - opened[j] // 1000))
-                    opened[j] = -1
-            yield pd.DataFrame(ended, columns=["connection_id", "job_id", "status", "duration_ms"])
-        state.update((list(opened), list(opened.values())))
-
-    return rows.groupBy("c").applyInPandasWithState(step, out, kept, "append", "NoTimeout")
+    keep = int(pd.Timedelta(remember).total_seconds() * 1_000_000)
+    rank = F.when(F.col("status") == "started", 0).when(F.col("status") == "disconnected", 2).otherwise(1)
+    rows = stream.select(F.col(connection).cast("string").alias("c"), F.col(ts), rank.alias("rank"), F.col(job).cast("string").alias("j"), "status")
+
+    def step(name, events, kept, now):
+        opened, ended = (dict(zip(kept[0], kept[1])), dict(zip(kept[2], kept[3]))) if kept else ({}, {})
+        out = []
+        for us, _, j, status in events:
+            if status == "started":
+                if j not in opened and j not in ended:
+                    opened[j] = us
+                continue
+            over = [k for k, at in opened.items() if at < us] if status == "disconnected" else [j] if status in TERMINAL and j in opened else []
+            for k in over:
+                out.append((name[0], k, DISCONNECTED if status == "disconnected" else status, us // 1000 - opened.pop(k) // 1000))
+                ended[k] = us
+        ended = {k: at for k, at in ended.items() if now - at < keep}
+        if not opened and not ended:
+            return out, None, None
+        value = list(opened), [int(v) for v in opened.values()], list(ended), [int(v) for v in ended.values()]
+        return out, value, min(ended.values()) + keep if ended else None
+
+    kept = "jobs array<string>, starts array<bigint>, ended array<string>, ends array<bigint>"
+    return in_order(rows, "c", ts, late, ["rank", "j", "status"], kept, "connection_id string, job_id string, status string, duration_ms bigint", step)
 
 
 def request_pairs(starts: DataFrame, ends: DataFrame, key: str, ts: str = "ts", within: str = "60 seconds", late: str | None = None) -> DataFrame:
@@ -158,39 +166,49 @@ def uptime(df: DataFrame, key: str, order: str, connected: str, ts: str = "ts",
     return spans.groupBy(key).agg(F.coalesce(F.sum(ms), F.lit(0)).cast("bigint").alias("uptime_ms"), F.count("_from").alias("spans"))
 
 
-def uptime_stream(stream: DataFrame, key: str, order: str, connected: str, ts: str = "ts") -> DataFrame:
-    """Running uptime per key; the state is the open connect time, the total and the spans."""
-    rows = stream.select(F.col(key), F.col(order), F.col(connected).alias("up"), F.unix_micros(ts).alias("us"))
-    kind = {f.name: f.dataType for f in stream.schema.fields}[key]
-    out = T.StructType([T.StructField(key, kind), T.StructField("uptime_ms", T.LongType()), T.StructField("spans", T.LongType())])
-
-    def step(name, batches, state):
-        since, total, spans = state.get if state.exists else (None, 0, 0)
-        for b in batches:
-            for e in b.sort_values(["us", order]).itertuples(index=False):
-                if e.up:
-                    since = int(e.us)
-                elif since is not None:
-                    total, spans, since = total + int(e.us) // 1000 - since // 1000, spans + 1, None
-        state.update((since, int(total), int(spans)))
-        yield pd.DataFrame({key: [name[0]], "uptime_ms": [total], "spans": [spans]})
-
-    return rows.groupBy(key).applyInPandasWithState(step, out, "since bigint, total bigint, spans bigint", "update", "NoTimeout")
-
+def uptime_stream(stream: DataFrame, key: str, order: str, connected: str, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """Closed spans (key, span_ms, ended_us) as the watermark passes their ends; their sums are the uptime.
 
-def recent_checks_stream(stream: DataFrame, model: str, ts: str = "ts", value: str = "value", kept: int = 100) -> DataFrame:
-    """Per model the count and mean of its last ``kept`` checks, kept as list state."""
-    rows = stream.select(F.col(model), F.unix_micros(ts).alias("us"), F.col(value).cast("double").alias("v"))
+    A span runs from the last connect before a disconnect. The state of a key is its events that the watermark has not
+    passed and, while it is connected, the time of the connect; nothing is kept of a key that is not.
+    """
+    def step(name, events, kept, now):
+        since, out = kept[0] if kept else None, []
+        for us, _, up in events:
+            if up:
+                since = us
+            elif since is not None:
+                out.append((name[0], us // 1000 - since // 1000, us))
+                since = None
+        return out, None if since is None else (int(since),), None
+
+    kind = stream.schema[key].dataType.simpleString()
+    return in_order(stream, key, ts, late, [order, connected], "since bigint", f"{key} {kind}, span_ms bigint, ended_us bigint", step)
+
+
+def recent_checks_stream(
+    stream: DataFrame, model: str, ts: str = "ts", value: str = "value", kept: int = 100, late: str = "10 minutes", idle: str = "90 days",
+) -> DataFrame:
+    """Per model the count and mean of its last ``kept`` checks by event time.
+
+    The state of a model is those checks, in whatever order they arrive; it goes when the watermark is ``idle`` past the latest of them.
+    """
+    rest = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = stream.withWatermark(ts, late).select(F.col(model), F.col(ts), F.unix_micros(ts).alias("us"), F.col(value).cast("double").alias("v"))
     kind = {f.name: f.dataType for f in stream.schema.fields}[model]
     out = T.StructType([T.StructField(model, kind), T.StructField("checks", T.LongType()), T.StructField("mean", T.DoubleType())])
 
     def step(name, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         times, values = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
         for b in batches:
             times, values = times + b["us"].tolist(), values + b["v"].tolist()
             keep = sorted(range(len(times)), key=times.__getitem__)[-kept:]
             times, values = [times[i] for i in keep], [values[i] for i in keep]
         state.update(([int(t) for t in times], [float(v) for v in values]))
+        state.setTimeoutTimestamp(max(max(times) // 1000 + rest, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({model: [name[0]], "checks": [len(values)], "mean": [sum(values) / len(values)]})
 
-    return rows.groupBy(model).applyInPandasWithState(step, out, "times array<bigint>, vals array<double>", "update", "NoTimeout")
+    return rows.groupBy(model).applyInPandasWithState(step, out, "times array<bigint>, vals array<double>", "update", "EventTimeTimeout")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
+from .ordered import in_order
 
 # Fixed values: (window, allowed requests) per limiter, and the per-user sliding log.
 LIMITS = {
@@ -112,23 +113,25 @@ def sliding_log(df: DataFrame, key: str, order: str, ts: str = "ts", most: int =
     return rows.mapInPandas(decide, out).drop("_us", "_part")
 
 
-def sliding_log_stream(stream: DataFrame, key: str, order: str, ts: str = "ts", most: int = USER_REQUESTS, seconds: int = USER_WINDOW_SECONDS) -> DataFrame:
-    """Stream form: the state of a key is the log of its accepted times, at most ``most``.
+def sliding_log_stream(
+    stream: DataFrame, key: str, order: str, ts: str = "ts", most: int = USER_REQUESTS, seconds: int = USER_WINDOW_SECONDS, late: str = "10 minutes",
+) -> DataFrame:
+    """Stream form: (key, order, accepted), decided in event time once the watermark has passed a request.
 
-    Requests are decided as they arrive; each Arrow batch of a key is put in time order.
+    The state of a key is its requests that the watermark has not passed and the log of its accepted times, at most
+    ``most``; a log is removed when its window has passed. Requests may arrive ``late`` in any order; what comes
+    later still is dropped.
     """
     width = seconds * 1_000_000
-    rows = stream.select(F.col(key), F.col(order), F.unix_micros(F.col(ts)).alias("_us"))
-    kinds = {f.name: f.dataType for f in stream.schema.fields}
-    out = T.StructType([T.StructField(key, kinds[key]), T.StructField(order, kinds[order]), T.StructField("accepted", T.BooleanType())])
-    kept = T.StructType([T.StructField("log", T.ArrayType(T.LongType()))])
 
-    def step(name, batches, state):
-        log = deque(state.get[0] if state.exists else ())
-        for b in batches:
-            b = b.sort_values(["_us", order])
-            marks = _admit(b["_us"].tolist(), log, most, width)
-            yield pd.DataFrame({key: b[key].to_numpy(), order: b[order].to_numpy(), "accepted": marks})
-        state.update(([int(v) for v in log],))
+    def step(name, rows, kept, now):
+        log = deque(kept[0] if kept else ())
+        marks = _admit([e[0] for e in rows], log, most, width)
+        while log and now - log[0] >= width:
+            log.popleft()
+        out = [(name[0], e[1], ok) for e, ok in zip(rows, marks)]
+        return out, ([int(v) for v in log],) if log else None, log[0] + width if log else None
 
-    return rows.groupBy(key).applyInPandasWithState(step, out, kept, "append", "NoTimeout")
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    output = f"{key} {kinds[key]}, {order} {kinds[order]}, accepted boolean"
+    return in_order(stream, key, ts, late, [order], "log array<bigint>", output, step)

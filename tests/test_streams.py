@@ -69,6 +69,6 @@ def test_jobs(spark):
 
 
 def test_stream_state_is_read_back_once_per_key(spark):
-    out = plans.QUERIES["v13_uptime_stream"](spark, SF)
+    out = plans.QUERIES["v13_uptime_stream"](spark, SF)  # spans added up per key
     assert out.count() == out.select("user_id").distinct().count()
     assert out.agg(F.min("uptime_ms")).collect()[0][0] >= 0
