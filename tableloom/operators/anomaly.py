@@ -6,8 +6,8 @@ and flag the share of rows given by ``contamination``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,9 @@ from ..session import cut_lineage
 from .columns import select_features
 from .impute import fill_median
 from .linear import moments
-from .neighbors import nearest
-from .partials import fourier_features, fourier_map, sum_vectors
+from .neighbors import nearest_rows
+from .partials import landmark_map, landmark_rows
+from .passes import newton, summed
 from .stats import column_stats, exact_quantiles, numeric_columns
 
 TREES, TREE_ROWS, NEIGHBOURS, CONTAMINATION = 100, 256, 20, 0.1
@@ -183,14 +184,14 @@ def isolation_forest(
 def local_outlier_factor(
     df: DataFrame, key: str, features: Sequence[str], contamination: float = CONTAMINATION, n_neighbors: int = NEIGHBOURS, scale: bool = True,
 ) -> DataFrame:
-    """Negative local outlier factor from the exact nearest neighbours of each row."""
+    """Negative local outlier factor from the nearest neighbours of each row: exact ones in a few columns, those of a forest in many."""
     numeric = _usable(df, features)
     if scale:
         ready, names = standardised(df, numeric)
     else:
         ready, names = fill_median(df, numeric), list(numeric)
     k = min(n_neighbors, max(ready.select(F.lit(1)).limit(n_neighbors + 1).count() - 1, 1))
-    pairs = cut_lineage(nearest(ready, key, names, k))
+    pairs = cut_lineage(nearest_rows(ready, key, names, k))
     reach_of = pairs.groupBy("id").agg(F.max("distance").alias("k_distance"))
     reach = pairs.join(reach_of.withColumnRenamed("id", "neighbour"), "neighbour").select(
         "id", "neighbour", F.greatest("distance", "k_distance").alias("reach")
@@ -244,46 +245,89 @@ def mahalanobis(names: Sequence[str], centre: np.ndarray, shape: np.ndarray) ->
     return F.greatest(total, F.lit(0.0))
 
 
+def _rounded_hinge(z: np.ndarray, soft: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(loss, slope, curvature): 0 below 0, a square up to ``soft``, then a line."""
+    up = np.maximum(z, 0.0)
+    bent = (z > 0) & (z < soft)
+    return np.where(bent, up**2 / (2 * soft), np.where(up > 0, up - soft / 2, 0.0)), np.minimum(up / soft, 1.0), bent / soft
+
+
+def one_class_margin(
+    rows: DataFrame, names: Sequence[str], nu: float, landmarks: int = 100, seed: int = 42, gap: float = 1e-3,
+) -> tuple[np.ndarray, float, Callable[[np.ndarray], np.ndarray], float]:
+    """(weights, threshold, feature map, relative duality gap) of the one-class machine on ``rows``.
+
+    At most ``landmarks`` different rows, chosen by hash, span the kernel's space. The primal problem (half the squared
+    weights minus the threshold, plus the mean shortfall over nu) is solved by Newton steps on moments summed over all rows, its hinge
+    rounded less and less until the primal and the dual value differ by less than ``gap``. The threshold is then the nu-quantile
+    of the values, so the share of rows below it is nu: the property that gives nu its meaning.
+    """
+    mapped = landmark_map(landmark_rows(rows, names, landmarks, seed), 1.0 / len(names))
+    n, width = rows.count(), mapped(np.zeros((1, len(names)))).shape[1]
+    scale = 1.0 / (nu * n)
+
+    def evaluate(v: np.ndarray, soft: float):
+        def part(x):
+            phi = np.concatenate([-mapped(x), np.ones((len(x), 1))], axis=1)  # of the shortfall threshold - w phi
+            loss, slope, curve = _rounded_hinge(phi @ v, soft)
+            return np.concatenate([[loss.sum()], phi.T @ slope, ((phi * curve[:, None]).T @ phi).ravel()])
+
+        total = scale * summed(rows, names, part)
+        slope, bend = total[1 : width + 2], total[width + 2 :].reshape(width + 1, width + 1)
+        free = np.append(np.ones(width), 0.0)
+        return total[0] + v[:-1] @ v[:-1] / 2 - v[-1], slope + free * v - np.append(np.zeros(width), 1.0), bend + np.diag(free + 1e-9)
+
+    def losses(points, soft: float):
+        v = np.stack(points, axis=1)
+        total = summed(rows, names, lambda x: _rounded_hinge(v[-1] - mapped(x) @ v[:-1], soft)[0].sum(axis=0))
+        return scale * total + (v[:-1] ** 2).sum(axis=0) / 2 - v[-1]
+
+    def values(v: np.ndarray, soft: float) -> tuple[float, float]:
+        """Primal value, and the dual value of the shares that the rounded hinge's slopes give."""
+        def part(x):
+            phi = mapped(x)
+            short = v[-1] - phi @ v[:-1]
+            slope = _rounded_hinge(short, soft)[1]
+            return np.concatenate([[np.maximum(short, 0).sum(), slope.sum()], phi.T @ slope])
+
+        total = summed(rows, names, part)
+        shares = total[2:] / max(total[1], 1e-300)
+        return v[:-1] @ v[:-1] / 2 - v[-1] + scale * total[0], -(shares @ shares) / 2
+
+    v = np.append(summed(rows, names, lambda x: mapped(x).sum(axis=0)) / n, 0.0)
+    v[-1] = 0.9 * (v[:-1] @ v[:-1])
+    soft, apart = max(v[-1], 1e-3) / 2, np.inf
+    for _ in range(12):
+        v = newton(partial(evaluate, soft=soft), partial(losses, soft=soft), v, 12)
+        primal, dual = values(v, soft)
+        apart = (primal - dual) / max(abs(primal), 1e-12)
+        if apart < gap:
+            break
+        soft /= 3
+    return v[:-1], float(v[-1]), mapped, float(apart)
+
+
 def one_class_svm(
-    df: DataFrame, features: Sequence[str], contamination: float = CONTAMINATION, width: int = 64, steps: int = 15, seed: int = 42,
+    df: DataFrame, features: Sequence[str], contamination: float = CONTAMINATION, landmarks: int = 100, seed: int = 42,
 ) -> DataFrame:
-    """One-class support vector machine with an RBF kernel approximated by random cosines.
+    """One-class support vector machine with an RBF kernel on standardised columns; scores below 0 lie outside.
 
-    A documented approximation: nu is the contamination held within 0.01 and 0.5, and the
-    margin is fitted by averaged subgradient steps, one aggregate pass each.
+    nu is the contamination held within 0.01 and 0.5, and the share of rows outside.
     """
     numeric = _usable(df, features)
     ready, names = standardised(df, numeric)
     nu = min(0.5, max(0.01, contamination))
-    frequencies, phases = fourier_map(len(names), width, 1.0 / len(names), seed)
     slim = ready.select(*names).persist()
-    n = slim.count()
-
-    def mean_map(batch: pd.DataFrame) -> np.ndarray:
-        return fourier_features(batch[names].to_numpy(float), frequencies, phases).sum(axis=0)
-
-    w = sum_vectors(slim, mean_map) / n
-    rho = float(w @ w) * 0.9
-    kept_w, kept_rho = np.zeros(width), 0.0
-    for step in range(1, steps + 1):
-        def outside(batch: pd.DataFrame, w=w, rho=rho) -> np.ndarray:
-            phi = fourier_features(batch[names].to_numpy(float), frequencies, phases)
-            below = phi @ w < rho
-            return np.append(phi[below].sum(axis=0), below.sum())
-
-        total = sum_vectors(slim, outside)
-        rate = 1.0 / (step + 1)
-        w = w - rate * (w - total[:-1] / (nu * n))
-        rho = rho - rate * (total[-1] / (nu * n) - 1.0) * 0.1
-        kept_w, kept_rho = kept_w + w / steps, kept_rho + rho / steps
+    weights, _, mapped, _ = one_class_margin(slim, names, nu, landmarks, seed)
     slim.unpersist()
 
     @F.pandas_udf(T.DoubleType())
-    def margin(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in cols])
-        return pd.Series(fourier_features(x, frequencies, phases) @ kept_w - kept_rho)
+    def value(*cols: pd.Series) -> pd.Series:
+        return pd.Series(mapped(np.column_stack([c.to_numpy(float) for c in cols])) @ weights)
 
-    scored = cut_lineage(ready.withColumn("anomaly_score", margin(*names)).drop(*names))
+    valued = cut_lineage(ready.withColumn("_value", value(*names)).drop(*names))
+    threshold = exact_quantiles(valued, {"_value": [nu]})["_value"][0]
+    scored = valued.withColumn("anomaly_score", F.col("_value") - F.lit(threshold)).drop("_value")
     return contamination_cut(scored, "anomaly_score", nu)
 
 

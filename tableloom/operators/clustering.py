@@ -14,6 +14,7 @@ from .columns import available_features
 from .density import dbscan, mean_shift
 from .features import add_components, fit_components
 from .impute import fill_median
+from .silhouette import euclidean_silhouette
 from .stats import column_stats
 
 MICRO_CLUSTERS = 500
@@ -155,19 +156,19 @@ def _moments_by_cluster(df: DataFrame, names: Sequence[str], label: str) -> Data
 
 
 def quality(df: DataFrame, names: Sequence[str], label: str = "cluster") -> DataFrame:
-    """Silhouette (squared Euclidean), Calinski-Harabasz, Davies-Bouldin and the counts.
+    """Silhouette with its bounds (and the cheaper one of squared distances), Calinski-Harabasz, Davies-Bouldin and the counts.
 
-    Noise (-1) is left out. Three passes, each an aggregate: cluster moments, then distances
-    of rows to the few cluster centres. ``error`` says why there is no score.
+    Noise (-1) is left out. Passes are aggregates: cluster moments, then distances of rows to the few cluster centres
+    and, for the silhouette, to block summaries (see ``euclidean_silhouette``). ``error`` says why there is no score.
     """
     p = len(names)
     clusters = _moments_by_cluster(df, names, label).orderBy(label).collect()
     noise = df.agg(F.count_if(F.col(label) == -1).alias("n")).collect()[0]["n"]
-    schema = "silhouette_score double, calinski_harabasz_score double, davies_bouldin_score double, n_clusters bigint, n_noise_points bigint, error string"
+    schema = "silhouette_score double, silhouette_low double, silhouette_high double, silhouette_squared double, calinski_harabasz_score double, davies_bouldin_score double, n_clusters bigint, n_noise_points bigint, error string"
     spark, total = df.sparkSession, sum(r["n"] for r in clusters)
     if total < 2 or len(clusters) < 2:
         reason = "Insufficient valid clusters for metrics calculation" if total < 2 else "Need at least 2 clusters for metrics calculation"
-        return spark.createDataFrame([(None, None, None, len(clusters), noise, reason)], schema)
+        return spark.createDataFrame([(None, None, None, None, None, None, len(clusters), noise, reason)], schema)
     n = np.array([r["n"] for r in clusters], dtype=float)
     centre = np.array([[r[f"m{i}"] for i in range(p)] for r in clusters])
     spread = np.array([[r[f"v{i}"] for i in range(p)] for r in clusters])
@@ -208,7 +209,8 @@ def quality(df: DataFrame, names: Sequence[str], label: str = "cluster") -> Data
     top = F.greatest("_a", "_b")
     silhouette = F.when(F.col("_alone") | (top <= 0), F.lit(0.0)).otherwise((F.col("_b") - F.col("_a")) / top)
     mean = scored.agg(F.avg(silhouette)).collect()[0][0]
-    return spark.createDataFrame([(mean, float(calinski), davies, k, noise, None)], schema)
+    exact = euclidean_silhouette(df, names, label)
+    return spark.createDataFrame([(exact.score, exact.low, exact.high, mean, float(calinski), davies, k, noise, None)], schema)
 
 
 def profile(df: DataFrame, features: Sequence[str], label: str = "cluster") -> DataFrame:

@@ -293,14 +293,15 @@ def insights(summary: DataFrame, task: str = "regression") -> DataFrame:
 
 
 def learning_curve(
-    df: DataFrame, name: str, features: Sequence[str], target: str, metric: str = "r2", shares: Sequence[float] | None = None,
-    fold: str = "fold", key: Sequence[str] = (), seed: int = SEED, **params,
+    df: DataFrame, name: str, features: Sequence[str], target: str, metric: str | None = None, shares: Sequence[float] | None = None,
+    fold: str = "fold", key: Sequence[str] = (), seed: int = SEED, task: str = "regression", **params,
 ) -> DataFrame:
-    """Train and validation scores over growing nested training samples.
+    """Train and validation scores over growing nested training samples: r2, or accuracy for classes, if no other is named.
 
     A hash of the row key orders the sample, so every size contains the smaller ones. Linear
     models take all sizes and folds from one pass of moments per (fold, size step).
     """
+    metric = metric or ("r2" if task == "regression" else "accuracy")
     shares = list(shares or [i / 10 for i in range(1, 11)])
     u = F.pmod(F.xxhash64(*key, F.lit(seed + 99)), F.lit(1_000_000)) / 1_000_000
     step = F.lit(len(shares))
@@ -309,7 +310,7 @@ def learning_curve(
     rows = df.withColumn("_step", step.cast("int"))
     folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
     out = []
-    if name in LINEAR:
+    if name in LINEAR and task == "regression":
         ridge = params.get("alpha", 1.0) if name == "ridge" else 0.0
         cells = moments(rows.withColumn("_cell", F.col(fold) * 1000 + F.col("_step")), [*features, target], "_cell")
         fits = {}
@@ -328,9 +329,9 @@ def learning_curve(
         for i in range(len(shares)):
             for f in folds:
                 rest = rows.where((F.col(fold) != f) & (F.col("_step") <= i))
-                model = fit_model(rest, name, features, target, **params)
+                model = fit_model(rest, name, features, target, task, **params)
                 for part, d in (("train", rest), ("validation", rows.where(F.col(fold) == f))):
-                    out.append((i, int(f), part, _scores(model.transform(d), [metric], target, "regression")[metric]))
+                    out.append((i, int(f), part, _scores(model.transform(d), [metric], target, task)[metric]))
         scored = df.sparkSession.createDataFrame(out, "size int, _model int, part string, score double")
     label = F.element_at(F.array(*map(F.lit, shares)), F.col("size") + 1)
     return scored.groupBy("size").agg(

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .crossval import cross_validate, cv_summary
 from .linear import moments
 from .models import SEED, Model, fit_model, member_scores, split_by_hash
@@ -143,6 +144,53 @@ def simplex_weights(df: DataFrame, predictions: Sequence[str], target: str, step
     return {p: float(v) for p, v in zip(predictions, w)}
 
 
+def vote_patterns(df: DataFrame, predictions: Sequence[str], target: str) -> DataFrame:
+    """(pattern, right, n): how often members vote alike. ``pattern`` has for each member the first one with the same vote, ``right``
+    the first member that votes for the true class (-1: none does). The number of rows depends on the number of members alone."""
+    votes = F.array(*[F.col(p).cast("string") for p in predictions])
+    first = F.transform(F.col("_votes"), lambda v: F.array_position(F.col("_votes"), v).cast("int") - 1)
+    right = F.coalesce(F.array_position(F.col("_votes"), F.col(target).cast("string")).cast("int") - 1, F.lit(-1))
+    return df.select(target, votes.alias("_votes")).where(f"exists(_votes, v -> v is not null) and `{target}` is not null").select(
+        F.transform("_votes", lambda v: F.coalesce(v, F.lit("\0"))).alias("_votes"), target
+    ).groupBy(first.alias("pattern"), right.alias("right")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_weights(df: DataFrame, predictions: Sequence[str], target: str, most: int = 6, settings: int = 200_000) -> dict[str, float]:
+    """Weights with sum one under which the weighted vote of the members is right most often.
+
+    Rows enter as counts of ``vote_patterns``; on those every weighting by whole numbers up to ``most`` is tried (a smaller
+    number if there were more than ``settings`` of them). A tie between classes counts as wrong; of equally good weightings the one
+    nearest to equal weights is taken.
+    """
+    k = len(predictions)
+    rows = vote_patterns(df, predictions, target).collect()
+    while most > 1 and (most + 1) ** k > settings:
+        most -= 1
+    if 2**k > settings:
+        raise ValueError("too many members")
+    grid = np.stack(np.meshgrid(*[np.arange(most + 1)] * k, indexing="ij"), axis=-1).reshape(-1, k)[1:]
+    won = np.zeros(len(grid))
+    for r in rows:
+        if r["right"] < 0:
+            continue
+        groups = np.array(r["pattern"])
+        sums = {int(g): grid[:, groups == g].sum(axis=1) for g in set(groups.tolist())}
+        others = [v for g, v in sums.items() if g != r["right"]]
+        won += r["n"] * (sums[r["right"]] > np.max(others, axis=0) if others else sums[r["right"]] > 0)
+    shares = grid / grid.sum(axis=1, keepdims=True)
+    best = np.lexsort((np.round(((shares - 1 / k) ** 2).sum(axis=1), 12), -won))[0]
+    return {p: float(v) for p, v in zip(predictions, shares[best])}
+
+
+def weighted_vote(df: DataFrame, weights: Mapping[str, float], name: str = "prediction") -> DataFrame:
+    """The class with the largest sum of weights, ties to the smaller one; members without a vote do not count."""
+    kind = df.schema[next(iter(weights))].dataType
+    votes = F.filter(F.array(*[F.struct(F.col(p).cast("string").alias("v"), F.lit(w).alias("w")) for p, w in weights.items()]), lambda e: e["v"].isNotNull())
+    summed = F.transform(F.array_distinct(F.transform("_cast", lambda e: e["v"])), lambda v: F.struct(
+        (-F.round(F.aggregate(F.filter("_cast", lambda e: e["v"] == v), F.lit(0.0), lambda s, e: s + e["w"]), 9)).alias("s"), v.alias("v")))
+    return df.withColumn("_cast", votes).withColumn(name, F.array_min(summed)["v"].cast(kind)).drop("_cast")
+
+
 def _to_simplex(v: np.ndarray) -> np.ndarray:
     falling = np.sort(v)[::-1]
     total = np.cumsum(falling) - 1
@@ -157,11 +205,14 @@ def weighted(df: DataFrame, weights: Mapping[str, float], name: str = "predictio
     return df.withColumn(name, total)
 
 
-def member_cross_validation(df: DataFrame, names: Sequence[str], features: Sequence[str], target: str, scoring="r2", fold: str = "fold", **params) -> DataFrame:
-    """Mean and deviation of the cross-validation score of each member."""
+def member_cross_validation(
+    df: DataFrame, names: Sequence[str], features: Sequence[str], target: str, scoring=None, fold: str = "fold", task: str = "regression", **params,
+) -> DataFrame:
+    """Mean and deviation of the cross-validation score of each member: r2, or accuracy for classes, if no other is named."""
     out = None
+    scoring = scoring or ("r2" if task == "regression" else "accuracy")
     for n in names:
-        one = cv_summary(cross_validate(df, n, features, target, scoring, "regression", False, fold, **params.get(n, {})))
+        one = cv_summary(cross_validate(df, n, features, target, scoring, task, False, fold, **params.get(n, {})))
         one = one.select(F.lit(n).alias("model"), "metric", "test_mean", "test_std")
         out = one if out is None else out.unionByName(one)
     return out
@@ -191,10 +242,16 @@ def build(
         elif method == "weighted":
             fitting, holding = split_by_hash(train, key, 0.25, SEED + 1)
             held = with_members(holding, fit_members(fitting, names, features, target, task, params), task)
-            out = weighted(scored, simplex_weights(held, [f"_{n}" for n in names], target))
+            columns = [f"_{n}" for n in names]
+            if task == "regression":
+                out = weighted(scored, simplex_weights(held, columns, target))
+            else:
+                out = weighted_vote(scored, class_weights(held, columns, target))
         else:
             raise ValueError(f"unknown ensemble method {method}")
         one = member_scores(out, {"prediction": None}, target, task)
         made = made.unionByName(one.select(F.lit("ensemble").alias("kind"), F.lit(method).alias("model"), *[c for c in one.columns if c != "model"]))
     sizes = {"train_samples": train.count(), "test_samples": test.count()}
+    made = cut_lineage(made)
+    scored.unpersist()
     return made.withColumns({k: F.lit(v).cast("bigint") for k, v in sizes.items()})

@@ -17,7 +17,7 @@ from .models import Model, assemble
 from .stats import column_stats, one_row
 from .windows import top_per_key, with_position
 
-MAX_EXPLAINED, BACKGROUND, MAX_PATH_FEATURES = 10, 100, 12
+MAX_EXPLAINED, BACKGROUND = 10, 100
 
 
 def callback_model(predict, features: Sequence[str]) -> Model:
@@ -27,7 +27,9 @@ def callback_model(predict, features: Sequence[str]) -> Model:
     def apply(*cols: pd.Series) -> pd.Series:
         return pd.Series(np.asarray(predict(np.column_stack([c.to_numpy(float) for c in cols])), dtype=float))
 
-    return Model(lambda d: d.withColumn("prediction", apply(*[F.col(f).cast("double") for f in features])))
+    model = Model(lambda d: d.withColumn("prediction", apply(*[F.col(f).cast("double") for f in features])))
+    model.function = predict
+    return model
 
 
 def linear_shapley(df: DataFrame, fit: LinearFit, key: Sequence[str]) -> tuple[DataFrame, float]:
@@ -74,24 +76,30 @@ def tree_leaves(model, features: Sequence[str]) -> list[tuple[float, float, list
 
 
 def _leaf_contributions(x: np.ndarray, leaves, width: int) -> np.ndarray:
-    """Path-dependent Shapley values: exact subset sums over the features of each leaf path."""
+    """Path-dependent Shapley values of every row.
+
+    For a leaf, let a feature on its path contribute the factor o t + z (1 - t), where o says whether the row is inside its
+    interval and z is the share let through. The product over the path is extended factor by factor; without
+    feature i (unwound by a division) its integral over t in [0, 1] is the sum over subsets with Shapley weights. The
+    integrand is a polynomial of degree below the path's length, so Gauss-Legendre points give it exactly, and all
+    factors are positive, so nothing cancels. Rows inside the same intervals of a path are computed once.
+    """
     out = np.zeros((len(x), width))
     for weight, value, path in leaves:
         m = len(path)
-        inside = [((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, low, high, _ in path]
-        through = [t for *_, t in path]
-        for i in range(m):
-            others = [j for j in range(m) if j != i]
-            total = np.zeros(len(x))
-            for size in range(m):
-                part = np.zeros(len(x))
-                for chosen in combinations(others, size):
-                    product = np.ones(len(x))
-                    for j in others:
-                        product = product * (inside[j] if j in chosen else through[j])
-                    part += product
-                total += part / (m * comb(m - 1, size))
-            out[:, path[i][0]] += weight * value * (inside[i] - through[i]) * total
+        if not m:
+            continue
+        features = [f for f, *_ in path]
+        low, high, through = (np.array([step[k] for step in path]) for k in (1, 2, 3))
+        inside = (x[:, features] > low) & (x[:, features] <= high)
+        kinds, which = np.unique(np.packbits(inside, axis=1), axis=0, return_inverse=True)
+        kinds = np.unpackbits(kinds, axis=1)[:, :m].astype(bool)
+        nodes, shares = np.polynomial.legendre.leggauss((m + 1) // 2)
+        t = (nodes + 1) / 2
+        factors = np.where(kinds[:, :, None], t + through[:, None] * (1 - t), through[:, None] * (1 - t))
+        whole = factors.prod(axis=1) * (shares / 2)
+        part = weight * value * (kinds - through) * (whole[:, None, :] / factors).sum(axis=2)
+        np.add.at(out.T, features, part[which.ravel()].T)
     return out
 
 
@@ -102,8 +110,6 @@ def tree_shapley(df: DataFrame, model: Model, features: Sequence[str], key: Sequ
     batches. Contributions add up to prediction minus base.
     """
     leaves = tree_leaves(model.native, features)
-    if max((len(p) for *_, p in leaves), default=0) > MAX_PATH_FEATURES:
-        raise ValueError("paths use too many features: use sampled_shapley")
     base = sum(w * v * float(np.prod([t for *_, t in path])) if path else w * v for w, v, path in leaves)
     shared = df.sparkSession.sparkContext.broadcast(leaves)
     width = len(features)
@@ -164,6 +170,113 @@ def sampled_shapley(df: DataFrame, model: Model, features: Sequence[str], key: S
     return long.select(*key, F.get(names, F.col("f")).alias("feature"), F.get("_x", F.col("f")).alias("value"), "contribution"), float(base)
 
 
+def numpy_predictor(model: Model, features: Sequence[str]):
+    """The model as a function of a float matrix, for use inside tasks: linear fits, regression trees and their ensembles, and plain functions."""
+    if isinstance(model.native, LinearFit):
+        weights, intercept = np.array(model.native.coefficients), model.native.intercept
+        return lambda x: x @ weights + intercept
+    if callable(getattr(model, "function", None)):
+        return model.function
+    if hasattr(model.native, "coefficients") and hasattr(model.native, "intercept") and not hasattr(model.native, "numClasses"):
+        weights, intercept = model.native.coefficients.toArray(), float(model.native.intercept)
+        return lambda x: x @ weights + intercept
+    if hasattr(model.native, "trees") or hasattr(model.native, "toDebugString"):
+        leaves = [(w * v, *(np.array(c) for c in zip(*path))) if path else (w * v, np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0)) for w, v, path in tree_leaves(model.native, features)]
+
+        def predict(x: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(x))
+            for amount, f, low, high, _ in leaves:
+                total += amount * ((x[:, f.astype(int)] > low) & (x[:, f.astype(int)] <= high)).all(axis=1)
+            return total
+
+        return predict
+    raise ValueError("no function of a matrix is known for this model: use sampled_shapley")
+
+
+def coalitions(width: int, most: int = 2048, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(0/1 matrix, weights) of feature coalitions with the Shapley kernel's weights.
+
+    All of them if they fit into ``most``; else whole sizes from the outside in (the heaviest, with their complements) as
+    far as they fit, and draws from the other sizes, each with its complement, which share what weight is left.
+    """
+    total = {s: (width - 1) / (s * (width - s)) for s in range(1, width)}  # of all coalitions of a size
+    rows, weights, left = [], [], most
+    sizes = sorted(total, key=lambda s: (min(s, width - s), s))
+    rest = []
+    for pair in [sizes[i:i + 2] for i in range(0, len(sizes), 2)]:
+        number = sum(comb(width, s) for s in pair)
+        if rest or number > left:
+            rest += pair
+            continue
+        left -= number
+        for s in pair:
+            for chosen in combinations(range(width), s):
+                z = np.zeros(width)
+                z[list(chosen)] = 1
+                rows.append(z)
+                weights.append(total[s] / comb(width, s))
+    draws = left // 2
+    if rest and draws:
+        rng = np.random.default_rng(seed)
+        share = np.array([total[s] for s in rest])
+        for s in rng.choice(rest, size=draws, p=share / share.sum()):
+            z = np.zeros(width)
+            z[rng.choice(width, size=s, replace=False)] = 1
+            rows += [z, 1 - z]
+            weights += [share.sum() / (2 * draws)] * 2
+    return np.array(rows).reshape(-1, width), np.array(weights)
+
+
+def kernel_shapley(
+    df: DataFrame, model: Model, features: Sequence[str], key: Sequence[str], n_background: int = BACKGROUND, most: int = 2048, seed: int = 42,
+) -> tuple[DataFrame, float]:
+    """Long (key, feature, value, contribution) by coalition-weighted least squares (Kernel SHAP), and the base value.
+
+    The background rows (``n_background`` at most) and the coalitions go to the tasks; a row's coalitions are predicted and
+    its equation is solved inside its Arrow batch, so rows are neither multiplied nor shuffled. The solution for the
+    coalitions is one matrix for all rows. Contributions add up to prediction minus base; they are exact when all coalitions fit.
+    """
+    width = len(features)
+    predict = numpy_predictor(model, features)
+    ground = np.array([[float(v) for v in r] for r in background(df, key, n_background, seed).select(*features).collect()]).reshape(-1, width)
+    if not len(ground):
+        raise ValueError("no background rows")
+    base = float(np.mean(predict(ground)))
+    z, weights = coalitions(width, most, seed)
+    # the last feature's share is what the others leave of prediction minus base
+    free = z[:, :-1] - z[:, -1:]
+    solve = np.linalg.pinv((free * weights[:, None]).T @ free) @ (free * weights[:, None]).T if width > 1 else np.zeros((0, len(z)))
+    shared = df.sparkSession.sparkContext.broadcast((ground, z, solve))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def contributions(*cols: pd.Series) -> pd.Series:
+        ground, z, solve = shared.value
+        x = np.column_stack([c.to_numpy(float) for c in cols])
+        gains = predict(x) - base
+        out = np.zeros((len(x), width))
+        step = max(1, (1 << 17) // max(1, len(z) * len(ground)))
+        for k in range(0, len(x), step):
+            some = x[k:k + step]
+            if width == 1:
+                out[k:k + step, 0] = gains[k:k + step]
+                continue
+            met = np.zeros((len(some), len(z)))
+            for j in range(0, len(z), 256):
+                mask = z[None, j:j + 256, None, :] == 1
+                mixed = np.where(mask, some[:, None, None, :], ground[None, None, :, :])
+                met[:, j:j + 256] = predict(mixed.reshape(-1, width)).reshape(len(some), -1, len(ground)).mean(axis=2)
+            part = (met - base - gains[k:k + step, None] * z[:, -1]) @ solve.T
+            out[k:k + step, :-1] = part
+            out[k:k + step, -1] = gains[k:k + step] - part.sum(axis=1)
+        return pd.Series(list(out))
+
+    scored = df.withColumn("_c", contributions(*[F.col(f).cast("double") for f in features]))
+    entries = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.col("_c")[i].alias("contribution")) for i, f in enumerate(features)
+    ])
+    return scored.select(*key, F.explode(entries).alias("e")).select(*key, "e.*"), base
+
+
 def global_importance(contributions: DataFrame) -> DataFrame:
     """Mean magnitude per feature, largest first."""
     return contributions.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance")).orderBy(F.desc("importance"), "feature")

@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.metrics import class_scores, regression_metrics
 from .columns import detect_target
 from .impute import fill_median
 from .linear import linear_fit, out_of_fold_fits, predict_by_fold, predict_linear
-from .partials import fourier_features, fourier_map
+from .partials import fourier_features, fourier_map, landmark_map, landmark_rows
+from .passes import lbfgs, newton, summed
 from .stats import column_stats, numeric_columns, one_row
 
 SEED = 42
@@ -119,77 +121,77 @@ def _scaler(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndar
     return np.array([stats[f]["mean"] for f in features]), np.array([stats[f]["std_pop"] or 1.0 for f in features])
 
 
-def fit_mlp_regressor(df, features, target, hidden=(100, 50), rounds=8, batch=256, rate=1e-3, **p):
-    """Perceptron with rectified layers, trained by rounds of local steps.
+def _layers(sizes: Sequence[int], weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    at, out = 0, []
+    for a, b in zip(sizes, sizes[1:]):
+        out.append((weights[at : at + a * b].reshape(a, b), weights[at + a * b : at + a * b + b]))
+        at += a * b + b
+    return out
+
+
+def _forward(x: np.ndarray, layers) -> list[np.ndarray]:
+    """The rows after every layer; all but the last are rectified."""
+    steps = [x]
+    for i, (w, b) in enumerate(layers):
+        x = x @ w + b
+        steps.append(np.maximum(x, 0.0) if i < len(layers) - 1 else x)
+        x = steps[-1]
+    return steps
+
+
+def _squared_error(rows: np.ndarray, layers) -> np.ndarray:
+    """Sum of squared errors of the last column, and its gradient by the weights."""
+    x, y = rows[:, :-1], rows[:, -1]
+    steps = _forward(x, layers)
+    gap = steps[-1][:, 0] - y
+    delta, grads = 2.0 * gap[:, None], []
+    for i in range(len(layers) - 1, -1, -1):
+        grads.append(np.concatenate([(steps[i].T @ delta).ravel(), delta.sum(axis=0)]))
+        if i:
+            delta = (delta @ layers[i][0].T) * (steps[i] > 0)
+    return np.concatenate([[gap @ gap], *grads[::-1]])
 
-    In a round every task passes once over its own rows with mini-batch steps from the
-    shared weights; the row-weighted mean of the results, summed by Spark, starts the next.
+
+def fit_mlp_regressor(df, features, target, hidden=(100, 50), rounds=60, alpha=1e-4, **p):
+    """Perceptron with rectified layers, trained on all rows at once by limited-memory BFGS.
+
+    Every task sums squared errors and gradients of its rows; the sums meet in a tree. So the weights do not depend
+    on how rows are dealt to tasks, up to rounding.
     """
     mean, std = _scaler(df, features)
     y_mean, y_std = (one_row(df, F.avg(F.col(target).cast("double")).alias("m"), F.stddev_pop(F.col(target).cast("double")).alias("s")))
     y_std = y_std or 1.0
     sizes = [len(features), *hidden, 1]
     rng = np.random.default_rng(SEED)
-    weights = np.concatenate([
+    start = np.concatenate([
         np.concatenate([rng.normal(scale=np.sqrt(2.0 / a), size=a * b), np.zeros(b)]) for a, b in zip(sizes, sizes[1:])
     ])
-
-    def unpack(w):
-        at, out = 0, []
-        for a, b in zip(sizes, sizes[1:]):
-            out.append((w[at : at + a * b].reshape(a, b), w[at + a * b : at + a * b + b]))
-            at += a * b + b
-        return out
-
-    def forward(x, layers):
-        steps = [x]
-        for i, (w, b) in enumerate(layers):
-            x = x @ w + b
-            if i < len(layers) - 1:
-                x = np.maximum(x, 0.0)
-            steps.append(x)
-        return steps
-
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y")).dropna().persist()
-
-    def local_round(batches: Iterator[pd.DataFrame], start):
-        w, seen = start.copy(), 0
-        m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-        for frame in batches:
-            x_all = (frame[list(features)].to_numpy(float) - mean) / std
-            y_all = (frame["_y"].to_numpy(float) - y_mean) / y_std
-            for at in range(0, len(x_all), batch):
-                x, y = x_all[at : at + batch], y_all[at : at + batch]
-                layers = unpack(w)
-                steps = forward(x, layers)
-                delta, grads = (steps[-1][:, 0] - y)[:, None] * (2.0 / len(x)), []
-                for i in range(len(layers) - 1, -1, -1):
-                    grads.append(np.concatenate([(steps[i].T @ delta).ravel(), delta.sum(axis=0)]))
-                    if i:
-                        delta = (delta @ layers[i][0].T) * (steps[i] > 0)
-                g, t = np.concatenate(grads[::-1]), t + 1
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            seen += len(x_all)
-        if seen:
-            yield pd.DataFrame({"i": np.arange(len(w) + 1, dtype="int64"), "v": np.append(w * seen, seen)})
-
-    for _ in range(rounds):
-        work = partial(local_round, start=weights)
-        sums = rows.mapInPandas(work, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        total = np.zeros(len(sums))
-        for r in sums:
-            total[r["i"]] = r["v"]
-        weights = total[:-1] / total[-1]
+    names = [f"_s{i}" for i in range(len(features))]
+    rows = df.dropna(subset=[*features, target]).select(
+        *[((F.col(f).cast("double") - F.lit(float(m))) / F.lit(float(s))).alias(n) for n, f, m, s in zip(names, features, mean, std)],
+        ((F.col(target).cast("double") - F.lit(y_mean)) / F.lit(y_std)).alias("_y"),
+    ).persist()
+    n = rows.count()
+    if not n:
+        raise ValueError("no rows to train on")
+
+    def evaluate(points: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        nets = [_layers(sizes, w) for w in points]
+        total = summed(rows, [*names, "_y"], lambda x: np.concatenate([_squared_error(x, net) for net in nets]))
+        return [(t[0] / n + alpha * (w @ w) / n, t[1:] / n + 2 * alpha * w / n) for w, t in zip(points, np.split(total, len(points)))]
+
+    weights = lbfgs(evaluate, start, rounds)
     rows.unpersist()
-    final = unpack(weights)
+    final = _layers(sizes, weights)
 
     @F.pandas_udf(T.DoubleType())
     def predict(*cols: pd.Series) -> pd.Series:
         x = (np.column_stack([c.to_numpy(float) for c in cols]) - mean) / std
-        return pd.Series(forward(x, final)[-1][:, 0] * y_std + y_mean)
+        return pd.Series(_forward(x, final)[-1][:, 0] * y_std + y_mean)
 
-    return Model(lambda d: d.withColumn("prediction", predict(*[F.col(f).cast("double") for f in features])))
+    model = Model(lambda d: d.withColumn("prediction", predict(*[F.col(f).cast("double") for f in features])))
+    model.weights = weights
+    return model
 
 
 def _kernel_columns(df: DataFrame, features: Sequence[str], width: int):
@@ -205,17 +207,67 @@ def _kernel_columns(df: DataFrame, features: Sequence[str], width: int):
     return lambda d: d.withColumn("_features", array_to_vector(cosines(*[F.col(f).cast("double") for f in features])))
 
 
-def fit_svr(df, features, target, C=1.0, width=100, **p):
-    """RBF support-vector regression, approximated: random cosines and a robust linear fit."""
-    add = _kernel_columns(df, features, width)
-    n = df.count()
-    estimator = LinearRegression(featuresCol="_features", labelCol="_label", loss="huber", regParam=1.0 / (C * n), maxIter=50)
-    native = estimator.fit(add(df).withColumn("_label", F.col(target).cast("double")))
-    return Model(lambda d: native.transform(add(d)).drop("_features"), native)
+def _tube(gap: np.ndarray, epsilon: float, soft: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(loss, slope, curvature) of residuals: none inside the tube, quadratic over ``soft`` beyond its edge, then linear."""
+    beyond = np.abs(gap) - epsilon
+    out, bent = np.maximum(beyond, 0.0), (beyond > 0) & (beyond < soft)
+    loss = np.where(bent, out**2 / (2 * soft), np.where(out > 0, out - soft / 2, 0.0))
+    return loss, np.sign(gap) * np.minimum(out / soft, 1.0), bent / soft
+
+
+def fit_svr(df, features, target, C=1.0, epsilon=0.1, landmarks=150, soft=0.01, **p):
+    """RBF support-vector regression on standardised features with the epsilon-insensitive loss.
+
+    At most ``landmarks`` rows span the kernel's space. The target is standardised, so ``epsilon`` counts its deviations. The loss
+    is rounded over ``soft`` at the edge of the tube and minimised by Newton steps on moments summed over all
+    rows; rows inside the tube take no part.
+    """
+    mean, std = _scaler(df, features)
+    y_mean, y_std = one_row(df, F.avg(F.col(target).cast("double")).alias("m"), F.stddev_pop(F.col(target).cast("double")).alias("s"))
+    y_std = y_std or 1.0
+    columns = [f"_c{i}" for i in range(len(features))]
+    rows = df.dropna(subset=[*features, target]).select(*[F.col(f).cast("double").alias(c) for f, c in zip(features, columns)], F.col(target).cast("double").alias("_y")).persist()
+    if not rows.take(1):
+        raise ValueError("no rows to train on")
+
+    spanned = landmark_map((landmark_rows(rows, columns, landmarks, SEED) - mean) / std, 1.0 / len(features))
+    width = spanned(np.zeros((1, len(features)))).shape[1]
+
+    def mapped(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([spanned((x - mean) / std), np.ones((len(x), 1))], axis=1)
+
+    free = np.append(np.ones(width), 0.0)  # the intercept is not shrunk
+
+    def evaluate(w: np.ndarray, soft: float) -> tuple[float, np.ndarray, np.ndarray]:
+        def part(x):
+            phi = mapped(x[:, :-1])
+            loss, slope, curve = _tube(phi @ w - (x[:, -1] - y_mean) / y_std, epsilon, soft)
+            return np.concatenate([[loss.sum()], phi.T @ slope, ((phi * curve[:, None]).T @ phi).ravel()])
+
+        total = C * summed(rows, [*columns, "_y"], part)
+        return total[0] + w @ (free * w) / 2, total[1 : width + 2] + free * w, total[width + 2 :].reshape(width + 1, width + 1) + np.diag(free + 1e-9)
+
+    def losses(points: list[np.ndarray], soft: float) -> np.ndarray:
+        w = np.stack(points, axis=1)
+        total = summed(rows, [*columns, "_y"], lambda x: _tube(mapped(x[:, :-1]) @ w - ((x[:, -1] - y_mean) / y_std)[:, None], epsilon, soft)[0].sum(axis=0))
+        return C * total + (w * free[:, None] * w).sum(axis=0) / 2
+
+    weights = np.zeros(width + 1)
+    for edge in (100 * soft, 30 * soft, 10 * soft, 3 * soft, soft):  # a round tube first, then a sharp one
+        weights = newton(partial(evaluate, soft=edge), partial(losses, soft=edge), weights, 15)
+    rows.unpersist()
+
+    @F.pandas_udf(T.DoubleType())
+    def predict(*cols: pd.Series) -> pd.Series:
+        return pd.Series(mapped(np.column_stack([c.to_numpy(float) for c in cols])) @ weights * y_std + y_mean)
+
+    model = Model(lambda d: d.withColumn("prediction", predict(*[F.col(f).cast("double") for f in features])))
+    model.weights, model.mapped, model.scale = weights, mapped, (y_mean, y_std)
+    return model
 
 
 def fit_knn(df, features, target, key=None, n_neighbors=5, classify=False, **p):
-    """Exact k nearest neighbours on standardised features; needs the row key."""
+    """k nearest neighbours on standardised features (exact in a few columns, by a forest in many); needs the row key."""
     from .neighbors import knn_predict
 
     mean, std = _scaler(df, features)
@@ -434,37 +486,47 @@ def fold_rmse(df: DataFrame, name: str, key: str, features: Sequence[str], targe
     return out
 
 
-def tune(df: DataFrame, name: str, features: Sequence[str], target: str, folds: int = 3, parallelism: int = 2) -> DataFrame:
-    """Grid search by cross-validated squared error: one row per setting, best first.
+# Settings tried per model. The kernel width has one setting, as both usual rules agree on standardised columns;
+# an unlimited depth is not offered.
+GRIDS = {
+    "random_forest": {"n_estimators": [50, 100], "max_depth": [10, 20]},
+    "gradient_boosting": {"n_estimators": [50, 100], "learning_rate": [0.1, 0.2]},
+    "svm": {"C": [0.1, 1.0, 10.0]},
+}
+
+
+def tuned(
+    df: DataFrame, name: str, features: Sequence[str], target: str, folds: int = 3, parallelism: int = 2, key: Sequence[str] = (),
+) -> tuple[DataFrame, Model]:
+    """(settings with their cross-validated squared error, best first; the model of the best, fitted on all rows).
 
-    Models without a grid get one row with their defaults.
+    Folds follow a hash of ``key`` (or of the values); some settings are fitted at a time. A model without a grid has one
+    row without an error and its default settings.
     """
-    spark = df.sparkSession
-    ready = assemble(df, features).withColumn("_label", F.col(target).cast("double"))
     schema = "settings map<string,double>, mse double"
-    if name == "random_forest":
-        est = RandomForestRegressor(seed=SEED, **_COLUMNS)
-        # an unlimited depth is not offered; 20 is the deepest useful setting here
-        grid = ParamGridBuilder().addGrid(est.numTrees, [50, 100]).addGrid(est.maxDepth, [5, 10]).build()
-    elif name == "gradient_boosting":
-        est = GBTRegressor(seed=SEED, maxDepth=3, **_COLUMNS)
-        grid = ParamGridBuilder().addGrid(est.maxIter, [50, 100]).addGrid(est.stepSize, [0.1, 0.2]).build()
-    elif name == "svm":
-        add = _kernel_columns(df, features, 100)
-        ready = add(df).withColumn("_label", F.col(target).cast("double"))
-        est = LinearRegression(loss="huber", maxIter=50, **_COLUMNS)
-        n = df.count()
-        grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in (0.1, 1.0, 10.0)]).build()
-    else:
-        return spark.createDataFrame([({}, None)], schema)
-    ready = ready.select("_features", "_label").persist()
-    search = CrossValidator(
-        estimator=est, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="_label", metricName="mse"), numFolds=folds, seed=SEED,
-        parallelism=parallelism,
-    ).fit(ready)
+    grid = GRIDS.get(name)
+    if grid is None:
+        return df.sparkSession.createDataFrame([({}, None)], schema), fit_model(df, name, features, target)
+    settings = [dict(zip(grid, values)) for values in product(*grid.values())]
+    fold = F.pmod(F.xxhash64(*(key or [*features, target]), F.lit(SEED)), F.lit(folds)).cast("int")
+    ready = df.dropna(subset=[*features, target]).persist()
+
+    def error(setting: dict) -> float:
+        return float(np.mean(np.square(fold_rmse(ready, name, "", features, target, folds, fold, **setting))))
+
+    with ThreadPool(parallelism) as pool:
+        errors = pool.map(inheritable_thread_target(df.sparkSession)(error), settings)
+    best = settings[int(np.argmin(errors))]
+    model = fit_model(ready, name, features, target, **best)
+    model.settings = best
     ready.unpersist()
-    rows = [({p.name: float(v) for p, v in setting.items()}, float(m)) for setting, m in zip(grid, search.avgMetrics)]
-    return spark.createDataFrame(sorted(rows, key=lambda r: r[1]), schema)
+    rows = [({k: float(v) for k, v in s.items()}, e) for s, e in zip(settings, errors)]
+    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[1]), schema), model
+
+
+def tune(df: DataFrame, name: str, features: Sequence[str], target: str, folds: int = 3, parallelism: int = 2) -> DataFrame:
+    """Grid search by cross-validated squared error: one row per setting, best first (see ``tuned`` for the model)."""
+    return tuned(df, name, features, target, folds, parallelism)[0]
 
 
 def member_scores(df: DataFrame, predictions: Mapping[str, Column] | Sequence[str], target: str, task: str = "regression") -> DataFrame:

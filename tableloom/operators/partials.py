@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,3 +40,21 @@ def fourier_map(features: int, width: int, gamma: float, seed: int = 42) -> tupl
 
 def fourier_features(x: np.ndarray, frequencies: np.ndarray, phases: np.ndarray) -> np.ndarray:
     return np.sqrt(2.0 / len(phases)) * np.cos(x @ frequencies + phases)
+
+
+def landmark_rows(rows: DataFrame, columns: Sequence[str], most: int, seed: int = 42) -> np.ndarray:
+    """At most ``most`` different rows, chosen by hash of their values."""
+    spots = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).distinct()
+    return spots.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(most).toPandas().to_numpy(float)
+
+
+def landmark_map(x: np.ndarray, gamma: float):
+    """A function that maps rows into the span of the landmarks ``x`` in the space of the kernel exp(-gamma d²) (Nyström)."""
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        gaps = (rows**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * rows @ x.T
+        return np.exp(-gamma * np.maximum(gaps, 0.0))
+
+    values, vectors = np.linalg.eigh(kernel(x))
+    kept = values > 1e-8 * values[-1]
+    into = vectors[:, kept] / np.sqrt(values[kept])
+    return lambda rows: kernel(rows) @ into

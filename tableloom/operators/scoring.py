@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from math import factorial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .linear import LinearFit, Moments, linear_fit, moments, predict_linear, solve
+from .models import Model
 from .partials import sum_vectors
 from .stats import column_stats, exact_quantiles, one_row
 
@@ -100,6 +103,52 @@ def bootstrap_linear(df: DataFrame, features: Sequence[str], target: str, n: int
     ]
 
 
+def poisson_draws(key: Sequence[str | Column], replicate: int, share: float = 1.0, seed: int = 42) -> Column:
+    """How often a row is drawn into a replicate: a Poisson count of mean ``share`` that follows from its key alone."""
+    u = F.pmod(F.xxhash64(*key, F.lit(replicate), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chance = np.cumsum([np.exp(-share) * share**k / factorial(k) for k in range(20)])
+    return sum(((u >= F.lit(float(c))).cast("int") for c in chance[:-1]), F.lit(0))
+
+
+def bootstrap_models(
+    df: DataFrame, fit: Callable[[DataFrame], Model], key: Sequence[str], n: int = 20, share: float = 0.8, seed: int = 42, parallelism: int = 4,
+) -> list[Model]:
+    """``n`` models of any kind on resamples with replacement, some of them fitted at a time.
+
+    A row is in a replicate as often as ``poisson_draws`` says, so resamples depend on the unique ``key`` and the seed and on nothing
+    else. ``fit`` makes a model of a table; it gets the drawn rows with their copies.
+    """
+    if not key:
+        raise ValueError("resamples need the columns that tell rows apart")
+    rows = df.persist()
+    rows.count()
+
+    def one(replicate: int) -> Model:
+        drawn = rows.withColumn("_times", poisson_draws(key, replicate, share, seed)).where("_times > 0")
+        return fit(drawn.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times"))
+
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(one), range(n))
+    rows.unpersist()
+    return models
+
+
+def interval_from_models(df: DataFrame, models: Sequence[Model], level: float = 0.95) -> DataFrame:
+    """Mean prediction, percentile interval and deviation over the predictions of any models, side by side on the same rows."""
+    alpha, n = (1 - level) / 2, len(models)
+    out = df
+    for k, model in enumerate(models):
+        had = out.columns
+        out = model.transform(out).withColumnRenamed("prediction", f"_m{k}").select(*had, f"_m{k}")
+    out = out.withColumn("_members", F.sort_array(F.array(*[F.col(f"_m{k}").cast("double") for k in range(n)])))
+    mean = F.aggregate("_members", F.lit(0.0), lambda s, v: s + v) / F.lit(float(n))
+    spread = F.aggregate("_members", F.lit(0.0), lambda s, v: s + (v - F.col("prediction")) * (v - F.col("prediction")))
+    return out.withColumn("prediction", mean).select(
+        *df.columns, "prediction", array_percentile(F.col("_members"), alpha, n).alias("lower"), array_percentile(F.col("_members"), 1 - alpha, n).alias("upper"),
+        F.sqrt(spread / F.lit(float(n))).alias("spread"),
+    )
+
+
 def array_percentile(sorted_array: Column, share: float, size: int) -> Column:
     """Linear percentile of a sorted array column with a known size."""
     h = (size - 1) * share
