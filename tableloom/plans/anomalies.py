@@ -34,10 +34,30 @@ def d02(t):
     return out.select("event_id", F.round("anomaly_score", 2).alias("anomaly_score"), "is_anomaly")
 
 
-@query("d03_isolation_forest")
+#: One row in fifty lies far outside in two columns; the detectors have to find nearly all of them.
+PLANTED_SQL = "(SELECT *, l_orderkey % 50 = 0 AS planted FROM lineitem)"
+FOUND_SQL = f"SELECT count(*) AS n, count(*) FILTER (WHERE planted) AS planted, true AS share_is_kept, true AS planted_are_found FROM {PLANTED_SQL}"
+
+
+def planted(t):
+    far = F.col("l_orderkey") % 50 == 0
+    return t.lineitem.select(
+        *LINE_KEY, far.alias("planted"), F.when(far, F.col("l_quantity") + 300).otherwise(F.col("l_quantity")).alias("quantity"),
+        F.when(far, F.col("l_discount") - 3).otherwise(F.col("l_discount")).alias("discount"), "l_tax",
+    )
+
+
+def found(t, algorithm):
+    """Whether the flagged share is that of ``contamination``, and nearly all planted rows are among the flagged."""
+    out = an.detect(planted(t), ["quantity", "discount", "l_tax"], algorithm, contamination=0.05)
+    share = F.abs(F.avg(F.col("is_anomaly").cast("double")) - 0.05) < 0.02
+    hit = F.count_if(F.col("planted") & F.col("is_anomaly")) >= 0.98 * F.count_if(F.col("planted"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("planted")).alias("planted"), share.alias("share_is_kept"), hit.alias("planted_are_found"))
+
+
+@query("d03_isolation_forest", FOUND_SQL)
 def d03(t):
-    out = an.detect(t.lineitem, FEATURES, "isolation_forest")
-    return out.select(*LINE_KEY, "anomaly_score", "is_anomaly")
+    return found(t, "isolation_forest")
 
 
 _K = 20
@@ -58,16 +78,14 @@ def d04(t):
     return out.select("c_custkey", F.round("anomaly_score", 4).alias("anomaly_score"), "is_anomaly")
 
 
-@query("d05_elliptic_envelope")
+@query("d05_elliptic_envelope", FOUND_SQL)
 def d05(t):
-    out = an.detect(t.lineitem, FEATURES, "elliptic_envelope")
-    return out.select(*LINE_KEY, "anomaly_score", "is_anomaly")
+    return found(t, "elliptic_envelope")
 
 
-@query("d06_one_class_svm")
+@query("d06_one_class_svm", FOUND_SQL)
 def d06(t):
-    out = an.detect(t.lineitem, FEATURES, "one_class_svm")
-    return out.select(*LINE_KEY, "anomaly_score", "is_anomaly")
+    return found(t, "one_class_svm")
 
 
 @query("d07_anomaly_summary", " UNION ALL ".join(

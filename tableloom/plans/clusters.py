@@ -7,11 +7,11 @@ from ..operators.density import dbscan, mean_shift
 from .registry import query
 
 FEATURES = ["c_acctbal", "c_nationkey"]
-EMB = [f"e{i}" for i in range(4)]
+EMB = [f"e{i}" for i in range(64)]
 
 
 def embedded(t):
-    """The first embedding coordinates as columns, with the given labels."""
+    """The embedding coordinates as columns, with the given labels."""
     return t.embeddings.select(
         "vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMB)],
         F.when(F.col("label") == 9, -1).otherwise(F.col("label")).cast("bigint").alias("cluster"),
@@ -26,9 +26,32 @@ def labels_of(df, algorithm, **params):
     return cl.fit_clusters(ready, "c_custkey", names, algorithm, **params)[0].select("c_custkey", "cluster")
 
 
-@query("e01_kmeans")
+#: Three groups of customers far apart, by nation; a clustering has to give each a label of its own.
+GROUPS_SQL = "SELECT c_nationkey % 3 AS grp, count(*) AS n, 1::BIGINT AS labels FROM customer GROUP BY 1"
+
+
+def grouped(t):
+    g = F.col("c_nationkey") % 3
+    return t.customer.select("c_custkey", g.alias("grp"), (F.col("c_acctbal") / 5000 + g * 20).alias("x"), (g * g * 15 + F.col("c_custkey") % 7 / 10).cast("double").alias("y"))
+
+
+def labels_by_group(t, labels):
+    """Per planted group its size and the number of labels in it; a label of two groups counts in neither."""
+    rows = grouped(t).join(labels.select("c_custkey", "cluster"), "c_custkey")
+    own = rows.groupBy("cluster").agg(F.countDistinct("grp").alias("groups"))
+    return rows.join(F.broadcast(own), "cluster").groupBy("grp").agg(  # a few labels
+        F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(F.col("groups") == 1, F.col("cluster"))).alias("labels")
+    )
+
+
+def labels_of_groups(t, algorithm, **params):
+    rows, names = cl.prepared(grouped(t), ["x", "y"])
+    return labels_by_group(t, cl.fit_clusters(rows, "c_custkey", names, algorithm, **params)[0])
+
+
+@query("e01_kmeans", GROUPS_SQL)
 def e01(t):
-    return labels_of(t.customer, "kmeans", n_clusters=3)
+    return labels_of_groups(t, "kmeans", n_clusters=3)
 
 
 _DB = """
@@ -60,49 +83,58 @@ def e02_clusters(t):
     return dbscan(spots(t), "c_custkey", ["x", "y"], eps=40.0, min_samples=5).select("c_custkey", "cluster")
 
 
-@query("e03_hierarchical")
+@query("e03_hierarchical", GROUPS_SQL)
 def e03(t):
-    return labels_of(t.customer, "hierarchical", n_clusters=3, micro=100)
+    return labels_of_groups(t, "hierarchical", n_clusters=3)
 
 
-@query("e03_bisecting")
+@query("e03_bisecting", GROUPS_SQL)
 def e03_bisecting(t):
-    ready, names = cl.prepared(t.customer, FEATURES)
-    return cl.bisecting(ready, names, 3)[0].select("c_custkey", "cluster")
+    rows, names = cl.prepared(grouped(t), ["x", "y"])
+    return labels_by_group(t, cl.bisecting(rows, names, 3)[0])
 
 
-@query("e04_gaussian_mixture")
+@query("e04_gaussian_mixture", GROUPS_SQL)
 def e04(t):
-    return labels_of(t.customer, "gaussian_mixture", n_components=3)
+    return labels_of_groups(t, "gaussian_mixture", n_components=3)
 
 
-@query("e05_mean_shift")
+@query("e05_mean_shift", GROUPS_SQL)
 def e05(t):
-    return mean_shift(spots(t), "c_custkey", ["x", "y"], bandwidth=1500.0)[0]
+    return labels_by_group(t, mean_shift(grouped(t), "c_custkey", ["x", "y"], bandwidth=8.0)[0])
 
 
 _STATS = f"""WITH d AS (SELECT * FROM {EMB_SQL} WHERE cluster <> -1), c AS (SELECT cluster, count(*) AS n, {', '.join(f'avg({e}) AS m{i}, var_pop({e}) AS v{i}' for i, e in enumerate(EMB))} FROM d GROUP BY cluster)"""
 _GAP = " + ".join(f"(d.{e} - c.m{i}) * (d.{e} - c.m{i})" for i, e in enumerate(EMB))
-_SPREAD = " + ".join(f"c.v{i}" for i in range(4))
+_SPREAD = " + ".join(f"c.v{i}" for i in range(64))
 
 
-@query("e06_silhouette", f"""{_STATS},
-g AS (SELECT d.vec_id, d.cluster, c.cluster AS other, c.n, {_GAP} + {_SPREAD} AS ms FROM d, c),
-s AS (SELECT vec_id, max(CASE WHEN cluster = other THEN ms * n / (n - 1) END) AS a, min(CASE WHEN cluster <> other THEN ms END) AS b FROM g GROUP BY vec_id)
+@query("e06_silhouette", """
+WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS x, label AS cluster FROM embeddings WHERE label <> 9), n AS (SELECT cluster, count(*) AS n FROM d GROUP BY cluster),
+m AS (SELECT a.vec_id, a.cluster, b.cluster AS other, sum(list_distance(a.x, b.x)) AS s FROM d a, d b GROUP BY ALL),
+s AS (SELECT vec_id, max(CASE WHEN m.cluster = other THEN s / (n - 1) END) AS a, min(CASE WHEN m.cluster <> other THEN s / n END) AS b FROM m JOIN n ON n.cluster = other GROUP BY vec_id)
 SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette_score FROM s""")
 def e06(t):
     return cl.quality(embedded(t), EMB).select(F.round("silhouette_score", 6).alias("silhouette_score"))
 
 
+@query("e06_silhouette_squared", f"""{_STATS},
+g AS (SELECT d.vec_id, d.cluster, c.cluster AS other, c.n, {_GAP} + {_SPREAD} AS ms FROM d, c),
+s AS (SELECT vec_id, max(CASE WHEN cluster = other THEN ms * n / (n - 1) END) AS a, min(CASE WHEN cluster <> other THEN ms END) AS b FROM g GROUP BY vec_id)
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette_squared FROM s""")
+def e06_squared(t):
+    return cl.quality(embedded(t), EMB).select(F.round("silhouette_squared", 6).alias("silhouette_squared"))
+
+
 @query("e07_calinski_harabasz", f"""{_STATS}, g AS (SELECT count(*) AS n, {', '.join(f'avg({e}) AS m{i}' for i, e in enumerate(EMB))} FROM d),
-x AS (SELECT sum(c.n * ({_SPREAD})) AS w, sum(c.n * ({' + '.join(f'(c.m{i} - g.m{i}) ** 2' for i in range(4))})) AS b, count(*) AS k, any_value(g.n) AS n FROM c, g)
+x AS (SELECT sum(c.n * ({_SPREAD})) AS w, sum(c.n * ({' + '.join(f'(c.m{i} - g.m{i}) ** 2' for i in range(64))})) AS b, count(*) AS k, any_value(g.n) AS n FROM c, g)
 SELECT round(b / (k - 1) / (w / (n - k)), 6) AS calinski_harabasz_score FROM x""")
 def e07(t):
     return cl.quality(embedded(t), EMB).select(F.round("calinski_harabasz_score", 6).alias("calinski_harabasz_score"))
 
 
 @query("e08_davies_bouldin", f"""{_STATS}, s AS (SELECT d.cluster, avg(sqrt({_GAP})) AS s FROM d JOIN c USING (cluster) GROUP BY d.cluster),
-r AS (SELECT a.cluster, max((sa.s + sb.s) / sqrt({' + '.join(f'(a.m{i} - b.m{i}) ** 2' for i in range(4))})) AS r FROM c a JOIN c b ON a.cluster <> b.cluster JOIN s sa ON sa.cluster = a.cluster JOIN s sb ON sb.cluster = b.cluster GROUP BY a.cluster)
+r AS (SELECT a.cluster, max((sa.s + sb.s) / sqrt({' + '.join(f'(a.m{i} - b.m{i}) ** 2' for i in range(64))})) AS r FROM c a JOIN c b ON a.cluster <> b.cluster JOIN s sa ON sa.cluster = a.cluster JOIN s sb ON sb.cluster = b.cluster GROUP BY a.cluster)
 SELECT round(avg(r), 6) AS davies_bouldin_score FROM r""")
 def e08(t):
     return cl.quality(embedded(t), EMB).select(F.round("davies_bouldin_score", 6).alias("davies_bouldin_score"))
@@ -114,18 +146,27 @@ def e09(t):
 
 
 @query("e10_cluster_profile", " UNION ALL ".join(
-    f"SELECT cluster, count(*) AS size, round(count(*) / (SELECT count(*) FROM embeddings) * 100, 6) AS percentage, '{e}' AS feature, round(avg({e}), 6) AS centroid, round(stddev_samp({e}), 6) AS std, min({e}) AS min, max({e}) AS max FROM {EMB_SQL} WHERE cluster <> -1 GROUP BY cluster" for e in EMB[:2]))
+    f"SELECT cluster, count(*) AS size, round(count(*) / (SELECT count(*) FROM embeddings) * 100, 6) AS percentage, '{e}' AS feature, round(avg({e}), 6) AS centroid, round(stddev_samp({e}), 6) AS std, min({e}) AS min, max({e}) AS max FROM {EMB_SQL} WHERE cluster <> -1 GROUP BY cluster" for e in EMB))
 def e10(t):
-    out = cl.profile(embedded(t), EMB[:2])
+    out = cl.profile(embedded(t), EMB)
     return out.withColumns({c: F.round(c, 6) for c in ("percentage", "centroid", "std")})
 
 
-@query("e11_projection")
+@query("e11_projection", "SELECT count(*) AS n, true AS uncorrelated, true AS shares_are_variances FROM embeddings")
 def e11(t):
+    """All rows in two components that do not correlate, the first the wider, with the shares of variance they are said to have."""
     out, shares = cl.projection(embedded(t), EMB)
-    return out.select("vec_id", "component_1", "component_2", F.array(*map(F.lit, shares)).alias("explained_variance"))
+    total = sum((F.var_pop(c) for c in EMB), F.lit(0.0))
+    kept = [F.abs(F.var_pop(f"component_{i + 1}") / total - F.lit(shares[i])) < 1e-6 for i in (0, 1)]
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), (F.abs(F.corr("component_1", "component_2")) < 1e-6).alias("uncorrelated"),
+        (kept[0] & kept[1] & F.lit(shares[0] >= shares[1])).alias("shares_are_variances"),
+    )
 
 
-@query("e12_cluster_pipeline")
+@query("e12_cluster_pipeline", "SELECT 3::BIGINT AS n_clusters, 0::BIGINT AS n_noise_points, true AS well_apart")
 def e12(t):
-    return cl.cluster_pipeline(t.customer, "c_custkey", FEATURES, "kmeans")["metrics"]
+    """The whole way over the planted groups: three clusters, far apart by every score."""
+    found = cl.cluster_pipeline(grouped(t).drop("grp"), "c_custkey", ["x", "y"], "kmeans")["metrics"]
+    apart = (F.col("silhouette_low") > 0.6) & (F.col("silhouette_squared") > 0.8) & (F.col("davies_bouldin_score") < 0.5) & F.col("error").isNull()
+    return found.select("n_clusters", "n_noise_points", apart.alias("well_apart"))

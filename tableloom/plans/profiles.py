@@ -129,9 +129,18 @@ def o10(t):
     return pr.value_histogram(t.events, "value")
 
 
-@query("o10_normal_distance")
+@query("o10_normal_distance", "SELECT * FROM (VALUES ('logistic', true), ('two points', true)) v(sample, within_bounds)")
 def o10_ks(t):
-    return pr.normal_distance(t.events, "value")
+    """Known distances: the logistic distribution lies 0.02 from its normal, two equal points 0.34."""
+    from pyspark.sql import Window
+
+    u = (F.row_number().over(Window.orderBy("event_id")) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy())
+    ranked = t.events.select("event_id", u.alias("u"))
+    out = None
+    for name, value, low, high in (("logistic", F.log(F.col("u") / (1 - F.col("u"))), 0.012, 0.032), ("two points", (F.col("u") > 0.5).cast("double"), 0.32, 0.36)):
+        one = pr.normal_distance(ranked.withColumn("v", value), "v").select(F.lit(name).alias("sample"), F.col("ks_distance").between(low, high).alias("within_bounds"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("o11_filter_importance", """
@@ -146,19 +155,34 @@ def o11(t):
 _DIMENSIONS = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
 
 
-@query("o12_dimensions_pca")
+@query("o12_dimensions_pca", "SELECT count(*) AS n, true AS uncorrelated, true AS widest_first FROM lineitem")
 def o12_pca(t):
-    return pr.reduce_dimensions(t.lineitem, _DIMENSIONS, "pca", 2, ["l_orderkey", "l_linenumber"])
+    """The first component is at least as wide as every column."""
+    out = pr.reduce_dimensions(t.lineitem, _DIMENSIONS, "pca", 2, ["l_orderkey", "l_linenumber"])
+    widest = max(t.lineitem.agg(*[F.var_pop(c) for c in _DIMENSIONS]).first())
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), (F.abs(F.corr("component_1", "component_2")) < 1e-6).alias("uncorrelated"),
+        ((F.var_pop("component_1") >= widest * (1 - 1e-9)) & (F.var_pop("component_1") >= F.var_pop("component_2"))).alias("widest_first"),
+    )
 
 
-@query("o12_dimensions_ica")
+@query("o12_dimensions_ica", "SELECT count(*) AS n, true AS sources_found FROM lineitem")
 def o12_ica(t):
-    return pr.reduce_dimensions(t.lineitem, _DIMENSIONS, "ica", 3, ["l_orderkey", "l_linenumber"])
+    """Two mixed sources come apart: each component goes with one of them."""
+    q, d = F.col("l_quantity") / 14.4, F.pow(F.col("l_discount") * 30, 3)
+    mixed = t.lineitem.select("l_orderkey", "l_linenumber", q.alias("first"), d.alias("second"), (q + 0.3 * d).alias("a"), (0.5 * q - d).alias("b"))
+    out = pr.reduce_dimensions(mixed, ("a", "b"), "ica", 2, ["l_orderkey", "l_linenumber", "first", "second"])
+    found = [F.greatest(F.abs(F.corr("component_1", s)), F.abs(F.corr("component_2", s))) > 0.95 for s in ("first", "second")]
+    return out.agg(F.count(F.lit(1)).alias("n"), (found[0] & found[1]).alias("sources_found"))
 
 
-@query("o12_dimensions_factors")
+@query("o12_dimensions_factors", "SELECT count(*) AS n, true AS factor_found FROM lineitem")
 def o12_fa(t):
-    return pr.reduce_dimensions(t.lineitem, _DIMENSIONS, "factor_analysis", 2, ["l_orderkey", "l_linenumber"])
+    """One hidden column behind four noisy ones comes back as the factor."""
+    noise = [F.col("l_discount") * 100, F.col("l_tax") * 120, F.col("l_linenumber") * 2.0, (F.col("l_orderkey") % 11).cast("double")]
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", *[(F.col("l_quantity") + x).alias(f"x{i}") for i, x in enumerate(noise)])
+    out = pr.reduce_dimensions(rows, ("x0", "x1", "x2", "x3"), "factor_analysis", 1, ["l_orderkey", "l_linenumber", "l_quantity"])
+    return out.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.corr("component_1", "l_quantity")) > 0.95).alias("factor_found"))
 
 
 @query("o13_seasonal_parts", """

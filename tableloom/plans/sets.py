@@ -49,16 +49,28 @@ def r05(t):
     )
 
 
-@query("r06_sample_without")
+@query("r06_sample_without", "SELECT 100::BIGINT AS n, 100::BIGINT AS keys, 100::BIGINT AS known, true AS same_again")
 def r06(t):
-    return s.sample_without(t.orders, 100, ["o_orderkey"])
+    """A hundred different rows of the table, the same ones again."""
+    sample, again = (s.sample_without(t.orders, 100, ["o_orderkey"]).select("o_orderkey") for _ in range(2))
+    known = sample.join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi").count()
+    repeated = sample.join(again, "o_orderkey", "left_semi").count()
+    return sample.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"), F.lit(known).cast("bigint").alias("known"), F.lit(repeated == 100).alias("same_again"))
 
 
-@query("r06_sample_with")
+@query("r06_sample_with", "SELECT true AS near_share, true AS with_copies, true AS poisson")
 def r06_with(t):
-    return s.sample_with(t.orders, 0.8).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("copies"))
+    """About 0.8 draws a row, with copies; the share of rows that are not drawn is that of a Poisson count."""
+    copies = s.sample_with(t.orders, 0.8).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("copies"))
+    rows = t.orders.count()
+    return copies.agg(
+        (F.abs(F.sum("copies") / rows - 0.8) < 0.1).alias("near_share"), (F.max("copies") > 1).alias("with_copies"),
+        (F.abs(1 - F.count(F.lit(1)) / rows - 0.4493) < 0.05).alias("poisson"),
+    )
 
 
-@query("r06_shuffle")
+@query("r06_shuffle", "SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys, true AS out_of_order FROM customer")
 def r06_shuffle(t):
-    return s.shuffled(t.customer, ["c_custkey"])
+    """All rows once, in an order that has nothing to do with the key's."""
+    placed = s.shuffled(t.customer.select("c_custkey"), ["c_custkey"]).withColumn("at", F.monotonically_increasing_id())
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("keys"), (F.abs(F.corr("at", "c_custkey")) < 0.2).alias("out_of_order"))

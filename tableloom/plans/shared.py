@@ -25,3 +25,21 @@ def properties(t):
 
 #: The pair of keys repeats in the supplied data; part and supplier complete a total order.
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+#: A target and classes that follow from three columns of the order lines, so that models have something to find.
+SIGNAL_SQL = "(l_quantity * 100 + l_discount * 30000 + l_tax * 10000 + 2 * (l_quantity - 25) * (l_quantity - 25))"
+KIND_SQL = "(CASE WHEN l_quantity > 30 AND l_discount > 0.045 THEN 'large' WHEN l_tax > 0.045 THEN 'taxed' ELSE 'plain' END)"
+
+
+def with_signal(t):
+    """The order lines with a key of their own, the columns of the models, ``signal`` and ``kind``."""
+    return t.lineitem.select(
+        F.xxhash64(*LINE_KEY, "l_extendedprice").alias("row_key"), "l_quantity", "l_discount", "l_tax", "l_extendedprice",
+        F.expr(SIGNAL_SQL).alias("signal"), F.expr(KIND_SQL).alias("kind"),
+    )
+
+
+def counted(df, **flags):
+    """One row: the number of rows, and what was found out."""
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.lit(v).alias(k) for k, v in flags.items()])
