@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,6 +22,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for files below ``spark.checkpoint.dir``."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
@@ -29,6 +40,27 @@ def store(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside: whole texts take much room, in Spark and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release() -> None:
+    """Give back what a task of this Python worker no longer uses; idle workers stay for later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that ``shared_folder`` named and nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

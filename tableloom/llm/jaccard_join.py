@@ -14,9 +14,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
-from .common import LOWER_BYTES, forget, remove, shared_folder, spread, store
+from .common import arrow_rows, forget, free_name, release, remove, shared_folder, spread, store
+from .shingles import shingle_sets
 
-WORDS = 5
 #: Similarity asked for, as intersection * DEN >= NUM * union.
 NUM, DEN = 4, 5
 SALTS = 64
@@ -27,37 +27,9 @@ RARE = 112
 #: Bits that mark the documents whose shingles a later pass needs.
 MARK_BITS = 24
 BANDS = 4
-_ODD = np.array([2 * int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=7).digest(), "big") + 1 for i in range(2 * BANDS + WORDS)], dtype=np.uint64)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a whole text in UTF-8; none without words."""
-    words = (text or b"").translate(LOWER_BYTES).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    span = min(WORDS, len(w))
-    h = np.full(len(w) - span + 1, span, dtype=np.uint64)
-    for j in range(span):
-        h = h * _ODD[-1 - j] + w[j:len(w) - span + 1 + j]
-    return np.unique(_mixed(h))
+#: Times that a class is compared with one class of another group before the matrix is made.
+PIVOT_ROUNDS = 1
+_ODD = np.array([2 * int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=7).digest(), "big") + 1 for i in range(2 * BANDS)], dtype=np.uint64)
 
 
 def prefix_length(n: int) -> int:
@@ -67,22 +39,24 @@ def prefix_length(n: int) -> int:
 
 def _band_keys(s: np.ndarray) -> list[int]:
     """A key for each pair of minimum hashes, as signed integers."""
-    least = [int((s * m).min()) for m in _ODD[: 2 * BANDS]]
+    least = [int((s * m).min()) for m in _ODD]
     return [xxhash.xxh3_64_intdigest(f"{b} {least[2 * b]} {least[2 * b + 1]}") - (1 << 63) for b in range(BANDS)]
 
 
 def _scan(docs: DataFrame, columns: list[str], schema: str, steps: Callable, batch_rows: int = 1024) -> DataFrame:
-    """Rows from whole texts. ``steps()`` gives a task its two functions: one from (other columns, text) to a row or None, one for rows at its end."""
+    """Rows from the shingle sets of whole texts. ``steps()`` gives a task its three functions: from the other columns of a batch to a mask
+    of the rows it wants (or None for all), from (other columns, set) of a row to a result row or None, and to rows at the task's end."""
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, finish = steps()
+        pick, start, finish = steps()
         rows = []
         for batch in batches:
-            texts = batch.column(0)
+            wanted = pick(batch) if pick else None
+            batch = batch if wanted is None else batch.filter(wanted)
             others = [batch.column(c).to_pylist() for c in range(1, batch.num_columns)]
-            for k, text in enumerate(texts):
-                got = start([c[k] for c in others], text)
+            for k, shingles in enumerate(shingle_sets(batch.column(0))):
+                got = start([c[k] for c in others], shingles)
                 if got is not None:
                     rows.append(got)
                 if len(rows) >= batch_rows:
@@ -91,6 +65,7 @@ def _scan(docs: DataFrame, columns: list[str], schema: str, steps: Callable, bat
         rows += finish()
         if rows:
             yield _batch(rows)
+        release()
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     types = [kinds[p.split()[1]] for p in schema.split(", ")]
@@ -109,26 +84,17 @@ def _describe(docs: DataFrame) -> DataFrame:
     """(doc_id, n, sig, keys) of every document, and with ``slice`` set the task's part of the frequency sketch."""
 
     def start():
-        counts, waiting = np.zeros(1 << SKETCH_BITS, np.uint32), []
-
-        def add():
-            if waiting:
-                counts[:] += np.bincount(np.concatenate(waiting), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                waiting.clear()
-
-        def row(other, text):
-            s = shingle_set(text.as_py())
-            waiting.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-            if len(waiting) >= 4096:
-                add()
+        counts, one = np.zeros(1 << SKETCH_BITS, np.uint32), np.uint32(1)
+
+        def row(other, s):
+            np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), one)
             return other[0], len(s), _signature(s), _band_keys(s) if len(s) else [], None, None, None
 
         def finish():
-            add()
             part = TaskContext.get().partitionId()
             return [(None, None, None, None, k, part, zlib.compress(c.astype(np.uint64).tobytes(), 1)) for k, c in enumerate(np.split(counts, SLICES))] if counts.any() else []
 
-        return row, finish
+        return None, row, finish
 
     return _scan(docs, ["doc_id"], "doc_id long, n int, sig binary, keys array<long>, slice int, part int, counts binary", start)
 
@@ -166,15 +132,14 @@ def _prefixes(docs: DataFrame, levels: bytes) -> DataFrame:
     def start():
         level = np.frombuffer(table.value, np.uint8)
 
-        def row(other, text):
-            s = shingle_set(text.as_py())
+        def row(other, s):
             if not len(s):
                 return None
             of = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             first = np.argsort(of, kind="stable")[: prefix_length(len(s))]
             return _signature(s), int((of[first] < RARE).sum()), s[first].view(np.int64).tolist()
 
-        return row, list
+        return None, row, list
 
     return _scan(docs, [], "sig binary, rare int, prefix array<long>", start)
 
@@ -186,18 +151,19 @@ def _sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     found = words.toArrow()  # at most 2 ** MARK_BITS / 64 rows
     marks = np.zeros((1 << MARK_BITS) // 64, np.int64)
     marks[found.column("w").to_numpy()] = found.column("bits").to_numpy()
-    table = docs.sparkSession.sparkContext.broadcast(np.unpackbits(marks.view(np.uint8), bitorder="little").tobytes())
+    table = docs.sparkSession.sparkContext.broadcast(marks.tobytes())  # a bit for each mark
 
     def start():
-        wanted = table.value
+        bits = np.frombuffer(table.value, np.int64)
 
-        def row(other, text):
-            if not wanted[other[0]]:
-                return None
-            s = shingle_set(text.as_py())
+        def pick(batch):
+            m = batch.column(1).to_numpy()
+            return pa.array((bits[m >> 6] >> (m & 63)) & 1 == 1)
+
+        def row(other, s):
             return (_signature(s), s.tobytes()) if len(s) else None
 
-        return row, list
+        return pick, row, list
 
     return _scan(docs.withColumn("m", mark), ["m"], "sig binary, members binary", start, batch_rows=256)
 
@@ -260,33 +226,66 @@ def _pivots(classes: DataFrame) -> DataFrame:
 
 def _components(links: DataFrame) -> DataFrame:
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    return store(connected_components(nodes, links).select(F.col("node").alias("cid"), F.col("component").alias("g")))
+    found = store(connected_components(nodes, links).select(F.col("node").alias("cid"), F.col("component").alias("g")))
+    forget(links.sparkSession)
+    return found
 
 
-def _candidates(docs: DataFrame, levels: bytes, grouped: DataFrame) -> DataFrame:
-    """(a, b) of classes in different groups that may be linked, by the token-group matrix."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "matrix")
+def _with_groups(shared: DataFrame, reach: DataFrame, links: DataFrame) -> DataFrame:
+    """``shared`` with ``reach`` and the present group ``g`` of each class; classes that cannot reach any other go."""
+    groups = reach.join(_components(links), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
+    return shared.join(groups, "cid")
+
+
+def _shared_tokens(docs: DataFrame, levels: bytes, classes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(token, cid, n, left, low, rest) of the prefixes, without rare shingles that only one class has, and (cid, reach): the shingles of a
+    class that another class may have.
+
+    Rare shingles (``low``) fill a counter of the sketch by no more than its usual share, so a window per shingle holds few rows;
+    frequent ones are dealt by class as well, as they stay in any case.
+    """
     prefixes = _prefixes(docs, levels).groupBy("sig").agg(F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
-    known = prefixes.join(grouped.select("sig", "cid"), "sig")
-    by_token = Window.partitionBy("token")
-    tokens = known.select("cid", F.posexplode("prefix").alias("pos", "token"), "rare").select(
-        "token", "cid", F.when(F.col("pos") < F.col("rare"), F.col("pos")).otherwise(-1 - F.col("pos")).alias("pos"), "rare"
-    )
-    several = tokens.withColumns({"_least": F.min("cid").over(by_token), "_most": F.max("cid").over(by_token)}).where("_least < _most")
-    low = F.col("pos") >= 0
-    several.select("token", "cid", "rare", low.alias("low"), F.when(low, F.col("pos")).otherwise(-1 - F.col("pos")).alias("pos")).join(
-        grouped.select("cid", "g", "n"), "cid"
-    ).select("token", "cid", "g", "n", (F.col("n") - F.col("pos")).alias("left"), "low", (F.col("n") - F.col("rare")).alias("rest")).write.parquet(f"{folder}/shared")
-    shared = spark.read.parquet(f"{folder}/shared")
-    sizes = shared.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    shared.groupBy("token", "g").agg(F.max("left").alias("left"), F.first("low").alias("low"), F.count(F.lit(1)).alias("size")).withColumns(
-        {"_least": F.min("g").over(by_token), "_most": F.max("g").over(by_token)}
-    ).where("_least < _most").drop("_least", "_most").join(sizes, "g").write.parquet(f"{folder}/matrix")
+    tokens = prefixes.join(classes.select("sig", "cid", "n"), "sig").select("cid", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.withColumn("low", F.col("pos") < F.col("rare")).withColumn("salt", F.when(F.col("low"), F.lit(-1)).otherwise(F.pmod("cid", F.lit(SALTS))))
+    by_token = Window.partitionBy("token", "salt")
+    several = tokens.withColumns({"_least": F.min("cid").over(by_token), "_most": F.max("cid").over(by_token)}).where(~F.col("low") | (F.col("_least") < F.col("_most")))
+    several.select("token", "cid", "n", (F.col("n") - F.col("pos")).alias("left"), "low", (F.col("n") - F.col("rare")).alias("rest")).write.parquet(f"{folder}/shared")
+    shared = docs.sparkSession.read.parquet(f"{folder}/shared")
+    reach = shared.groupBy("cid").agg((F.first("rest") + F.count_if(F.col("low"))).alias("reach"), F.first("n").alias("n"))
+    return shared, store(reach.where(F.col("reach") * DEN >= F.col("n") * NUM).select("cid", "reach"))
+
+
+def _can_meet(reach: str, x: str, y: str) -> Column:
+    """Whether ``reach`` shingles are enough for an intersection of sets of x and y shingles."""
+    return F.col(reach) * (NUM + DEN) >= (F.col(x) + F.col(y)) * NUM
+
+
+def _prefix_pivots(tokens: DataFrame) -> DataFrame:
+    """(a, b): for a class the one of another group to compare it with. Of the classes that share a shingle the pivot is the one with the largest share
+    of shingles within reach, the least changed of a family; of several pivots that which shares the most."""
+    salted = tokens.withColumn("salt", F.pmod("cid", F.lit(SALTS)))
+    order = F.struct((F.col("reach") / F.col("n")).alias("clean"), (-F.col("cid")).alias("o"), "cid", "g", "n", "left", "reach")
+    pivots = spread(salted, ["token"], "salt", [F.max(order).alias("_p")], [F.max("_p").alias("p")])
+    p = F.col("p")
+    met = salted.join(pivots, ["token", "salt"]).select("low", "cid", "n", "left", "reach", *[p[c].alias(f"p_{c}") for c in ("cid", "n", "left", "reach")], (F.col("g") != p["g"]).alias("apart"))
+    met = met.where(F.col("apart") & _sizes_fit("n", "p_n") & _can_meet("reach", "n", "p_n") & _can_meet("p_reach", "n", "p_n"))
+    met = met.where(F.col("low") | (_can_meet("left", "n", "p_n") & _can_meet("p_left", "n", "p_n")))
+    counted = met.groupBy("cid", "p_cid").agg(F.count(F.lit(1)).alias("k"))
+    return counted.groupBy("cid").agg(F.max_by("p_cid", F.struct("k", (-F.col("p_cid")).alias("o"))).alias("b")).select(F.col("cid").alias("a"), "b")
+
+
+def _candidates(tokens: DataFrame, folder: str) -> DataFrame:
+    """(a, b) of classes in different groups that may be linked, by the token-group matrix of (token, cid, g, n, left, low, rest, reach)."""
+    spark = tokens.sparkSession
+    sizes = tokens.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.max("reach").alias("reach"))
+    cells = tokens.groupBy("token", "g").agg(F.max("left").alias("left"), F.first("low").alias("low"), F.count(F.lit(1)).alias("size"))
+    several = cells.groupBy(F.col("token").alias("_t")).agg(F.min("g").alias("_least"), F.max("g").alias("_most")).where("_least < _most")
+    cells.join(several, F.col("token") == F.col("_t")).select("token", "g", "left", "low", "size").join(sizes, "g").write.parquet(f"{folder}/matrix")
     matrix = spark.read.parquet(f"{folder}/matrix")
-    one, two = (matrix.select("token", F.col("low").alias(f"low{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "size", "least", "most", "left", "rest"))) for k in (1, 2))
+    one, two = (matrix.select("token", F.col("low").alias(f"low{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("g", "size", "least", "most", "left", "rest", "reach"))) for k in (1, 2))
     meeting = one.join(two, "token").where("g1 < g2").where(
         (F.col("most1") * DEN >= F.col("least2") * NUM) & (F.col("most2") * DEN >= F.col("least1") * NUM) & _in_time("low1", "least1", "least2")
+        & _can_meet("reach1", "least1", "least2") & _can_meet("reach2", "least1", "least2")
     )
     opened = meeting.groupBy("g1", "g2").agg(*_counts("low1", "least1", "least2")).where(_within_reach("least1", "least2")).select("g1", "g2")
     # the smaller side of a shingle comes first, so that a large group only meets what its own bounds let through
@@ -295,16 +294,16 @@ def _candidates(docs: DataFrame, levels: bytes, grouped: DataFrame) -> DataFrame
         "token", F.when(turned, F.col("g2")).otherwise(F.col("g1")).alias("g1"), F.when(turned, F.col("g1")).otherwise(F.col("g2")).alias("g2")
     )
     ours, theirs = (
-        shared.select("token", F.col("g").alias(f"g{k}"), F.col("cid").alias(c), *(F.col(x).alias(f"{x}{k}") for x in ("n", "left", "rest", "low"))) for k, c in ((1, "a"), (2, "b"))
+        tokens.select("token", F.col("g").alias(f"g{k}"), F.col("cid").alias(c), *(F.col(x).alias(f"{x}{k}") for x in ("n", "left", "rest", "low", "reach"))) for k, c in ((1, "a"), (2, "b"))
+    )
+    members = inside.join(ours, ["token", "g1"]).join(theirs, ["token", "g2"]).where(
+        _sizes_fit("n1", "n2") & _in_time("low1", "n1", "n2") & _can_meet("reach1", "n1", "n2") & _can_meet("reach2", "n1", "n2")
     )
-    members = inside.join(ours, ["token", "g1"]).join(theirs, ["token", "g2"]).where(_sizes_fit("n1", "n2") & _in_time("low1", "n1", "n2"))
     members = members.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "low1",
         (F.col("n1") + F.col("n2")).alias("n1"), F.lit(0).alias("n2"), F.greatest("rest1", "rest2").alias("rest1"), F.lit(0).alias("rest2"),
     )
-    found = store(members.groupBy("a", "b").agg(*_counts("low1", "n1", "n2")).where(_within_reach("n1", "n2")).select("a", "b"))
-    remove(spark, folder)
-    return found
+    return store(members.groupBy("a", "b").agg(*_counts("low1", "n1", "n2")).where(_within_reach("n1", "n2")).select("a", "b"))
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,10 +313,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole sequence if it is shorter.
 
     1. Documents with equal sets are one class; only classes are compared.
-    2. Groups: a class is compared with one class that shares its minimum-hash keys; groups are the components of the links
-       found so. However many near copies there are, each is compared once.
+    2. Groups: a class is compared with one class that shares its minimum-hash keys, then with one class of another group
+       that shares rare shingles, the least changed of its family; groups are the components of the links found so. However many
+       near copies there are, each is compared twice.
     3. Token-group matrix: for every class the rarest shingles, of which a linked class must have one; for every group
-       their union. Two groups that share c rare ones can only hold a linked pair if c and what lies beyond the rare prefixes
+       their union. Shingles that no other class has cannot be shared, so a class with too many of them meets nobody. Two groups that share c rare ones can only hold a linked pair if c and what lies beyond the rare prefixes
        reach the intersection asked for, or if a frequent one is shared early enough to be the first they share. Only such groups
        are opened, and their members are held to the same bounds.
     4. What is left is compared exactly. Pairs within a group are not looked at: they are in one component already.
@@ -327,20 +327,25 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     never name a component with others; repeated rows give repeated results; an empty table gives an empty result;
     other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = store(_describe(docs))
-    rows = described.where("slice is null").select("doc_id", "n", "sig", "keys")
-    classes = store(
-        rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-        .withColumn("cid", F.monotonically_increasing_id())
-    )
-    stars = _verified(_pivots(classes), classes, docs)
-    grouped = classes.drop("keys").join(_components(stars), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
-    forget(docs.sparkSession)
-
-    candidates = _candidates(docs, _frequency_levels(described), grouped)
-    forget(docs.sparkSession)
-    links = store(stars.unionByName(_verified(candidates, classes, docs)))
+    spark = docs.sparkSession
+    with arrow_rows(spark, 1024):
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        described = store(_describe(docs))
+        rows = described.where("slice is null").select("doc_id", "n", "sig", "keys")
+        classes = store(
+            rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+            .withColumn("cid", F.monotonically_increasing_id())
+        )
+        links = _verified(_pivots(classes), classes, docs)
+        folder = shared_folder(spark, "matrix")
+        shared, reach = _shared_tokens(docs, _frequency_levels(described), classes, folder)
+        forget(spark)
+        for _ in range(PIVOT_ROUNDS):
+            links = store(links.unionByName(_verified(_prefix_pivots(_with_groups(shared, reach, links)), classes, docs)))
+        _with_groups(shared, reach, links).write.parquet(f"{folder}/tokens")
+        links = store(links.unionByName(_verified(_candidates(spark.read.parquet(f"{folder}/tokens"), folder), classes, docs)))
+        remove(spark, folder)
+        forget(spark)
 
     labels = _components(links)
     named = classes.select("cid", "sig", "rep").join(labels, "cid", "left").withColumn("g", F.coalesce("g", "cid"))
@@ -356,7 +361,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose identifier names their component; repeated rows and null identifiers stay."""
+    """The rows of ``docs`` whose identifier names their component; repeated rows and null identifiers stay, as do null and empty texts.
+
+    An empty table gives an empty result; other columns are kept.
+    """
     linked = link_documents(docs, id_col, text_col)
     leave = linked.where("doc_id != component_id").select(F.col("doc_id").alias("__leaves")).distinct()
     return docs.join(leave, F.col(id_col).cast("long") == F.col("__leaves"), "left_anti")
@@ -365,15 +373,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of linked rows, that with the smallest identifier (nulls last, then any one); rows without links stay.
 
-    Rows are told apart by a key stored with them, so null and repeated identifiers take no other row with them.
+    Rows are told apart by a key stored with them, so null and repeated identifiers take no other row with them; the key's name is one that
+    no column has. Null and empty texts have no links; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "rows")
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    row = free_name(docs, "__row")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
     keyed = spark.read.parquet(folder)
-    linked = store(link_documents(keyed, "__row", text_col).select(F.col("doc_id").alias("__row"), "component_id"))
-    ids = keyed.select("__row", F.col(id_col).cast("long").alias("__id"))
-    first = F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first")
-    stay = linked.join(ids, "__row").groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row"))
-    leave = linked.select("__row").join(stay, "__row", "left_anti")
-    return keyed.join(leave, "__row", "left_anti").drop("__row")
+    linked = store(link_documents(keyed, row, text_col).select(F.col("doc_id").alias(row), "component_id"))
+    ids = keyed.select(row, F.col(id_col).cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", F.col(row).alias("row"))).alias("first")
+    stay = linked.join(ids, row).groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
+    leave = linked.select(row).join(stay, row, "left_anti")
+    return keyed.join(leave, row, "left_anti").drop(row)
