@@ -18,6 +18,7 @@ from .silhouette import euclidean_silhouette
 from .stats import column_stats
 
 MICRO_CLUSTERS = 500
+AWAY = 10.0
 
 
 def prepared(df: DataFrame, features: Sequence[str] | None, standardise: bool = True) -> tuple[DataFrame, list[str]]:
@@ -128,9 +129,15 @@ def link(centres: np.ndarray, weights: np.ndarray, n_clusters: int, linkage: str
 
 
 def bisecting(df: DataFrame, names: Sequence[str], n_clusters: int = 3, seed: int = 42):
-    """The top-down relative of agglomeration."""
-    model = BisectingKMeans(k=n_clusters, seed=seed).fit(_vectors(df, names).select("features"))
-    return nearest_centre(df, names, [list(map(float, c)) for c in model.clusterCenters()]), model.clusterCenters()
+    """The top-down relative of agglomeration.
+
+    Spark parts a cluster from two points near its centre, as far apart as the centre is from zero; standardised rows have their centre
+    there and would not be parted. So the fit is made on rows moved away from zero, and its centres are moved back.
+    """
+    moved = _vectors(df.withColumns({n: F.col(n) + F.lit(AWAY) for n in names}), names)
+    model = BisectingKMeans(k=n_clusters, seed=seed).fit(moved.select("features"))
+    centres = [np.asarray(c) - AWAY for c in model.clusterCenters()]
+    return nearest_centre(df, names, [list(map(float, c)) for c in centres]), centres
 
 
 def fit_clusters(df: DataFrame, key: str, names: Sequence[str], algorithm: str = "kmeans", **params) -> tuple[DataFrame, list]:

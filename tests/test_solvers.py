@@ -309,3 +309,14 @@ def test_class_scores_of_members_and_learning_curves(df):
     assert set(scores["metric"]) == {"accuracy"} and (scores["test_mean"] > 0.7).all()
     curve = learning_curve(rows, "decision_tree", XS, "kind", shares=[0.2, 1.0], key=["id"], task="classification").toPandas().sort_values("train_share")
     assert (curve["validation_mean"] > 0.7).all() and curve["validation_mean"].iloc[1] >= curve["validation_mean"].iloc[0] - 0.05
+
+
+def test_bisecting_parts_standardised_rows(spark):
+    """Rows around zero are parted too."""
+    from tableloom.operators.clustering import bisecting
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.1, size=(60, 2)) for c in (-3, 0, 3)])
+    rows = spark.createDataFrame(pd.DataFrame(x - x.mean(axis=0), columns=["p", "q"]).assign(g=np.repeat([0, 1, 2], 60)))
+    labelled, centres = bisecting(rows, ["p", "q"], 3)
+    assert len(centres) == 3 and labelled.select("g", "cluster").distinct().count() == 3
