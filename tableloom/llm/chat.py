@@ -5,32 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.windows import with_position
-from .common import store
 
 SALTS = 64
 #: Turns per segment: what one row may gather.
 SEGMENT_TURNS = 512
-#: Segments that turns without a number are dealt to by hash; they come after the numbered ones.
-LOOSE_SEGMENTS = 1024
-LAST = 1 << 40
-#: So many conversation identifiers at most are broadcast.
-FEW_IDS = 100_000
-
-
-def _cut_by_rank(turns: DataFrame, segment_turns: int) -> DataFrame:
-    """``turns`` with new segments for conversations of which some segment holds more than ``segment_turns`` rows: those go by row rank."""
-    full = turns.groupBy("conv_id", "segment").count().where(F.col("count") > segment_turns)
-    full = store(full.select(F.col("conv_id").alias("_full")).distinct())
-    n = full.count()
-    if not n:
-        return turns
-    full = F.broadcast(full) if n <= FEW_IDS else full
-    is_full = F.col("conv_id").eqNullSafe(F.col("_full"))
-    # equal rows are told apart by ``row``, so that they spread over range partitions too
-    crowded = store(turns.join(full, is_full, "left_semi").withColumn("row", F.monotonically_increasing_id()))
-    placed = with_position(crowded, [F.col("turn").asc_nulls_last(), "role", "said", "row"], ["conv_id"], "at", plain_rows=0)
-    ranked = placed.withColumn("segment", F.floor(F.col("at") / segment_turns)).select(*turns.columns)
-    return turns.join(full, is_full, "left_anti").unionByName(ranked)
 
 
 def rotate_perspectives(
@@ -43,13 +21,11 @@ def rotate_perspectives(
     name, and ``narrator`` turns stay system turns; ``spans`` are the character ranges [start, end)
     of ``text`` to train on: the participant's own words and the end mark after them.
 
-    A row holds the turns whose number lies in one range of ``segment_turns``: dialogues up to
-    that long are one row, longer ones go on in the next segments. If turn numbers repeat so often that
-    a segment of a conversation had more than ``segment_turns`` rows, the segments of that conversation are
-    ranges of its row rank instead, so no row gathers more than ``segment_turns`` turns, whatever repeats.
-    Concatenating the segments in order gives the whole rendering. Ties in the turn number go by role, then text.
-    Null turns come last, in hash-dealt segments (in rank order where rank cuts); a null role is
-    the speaker ``unknown``; a null text is empty; a null conversation is one conversation of its own.
+    A row holds ``segment_turns`` turns by their rank in the dialogue: dialogues up to that long are one row, longer
+    ones go on in the next segments, whatever repeats. Concatenating the segments in order gives the whole
+    rendering. Turns are ranked by number, null last; ties go by role, then by text; ranks come from range partitions,
+    so a long dialogue is no hot key. A null role is the speaker ``unknown``; a null text is empty; a null
+    conversation is one conversation of its own; other columns are ignored; an empty table gives an empty result.
     Marks inside texts lose their bar (``<|`` becomes ``<``), so texts cannot forge turns. A
     conversation of narrator turns alone has no participant and no row.
     """
@@ -57,12 +33,10 @@ def rotate_perspectives(
     turns = conversations.select(
         F.col(conv_col).alias("conv_id"), turn.alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("said"),
-    ).withColumn(
-        "segment",
-        F.when(F.col("turn").isNotNull(), F.floor(F.col("turn") / segment_turns)).otherwise(LAST + F.pmod(F.xxhash64("role", "said"), F.lit(LOOSE_SEGMENTS))),
-    )
-    segments = _cut_by_rank(turns, segment_turns).groupBy("conv_id", "segment").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("loose"), "turn", "role", "said"))).alias("turns"), F.collect_set(F.when(F.col("role") != narrator, F.col("role"))).alias("here"),
+    ).withColumn("row", F.monotonically_increasing_id())  # so that equal rows spread over range partitions too
+    placed = with_position(turns, [F.col("turn").asc_nulls_last(), "role", "said", "row"], ["conv_id"], "at", plain_rows=0)
+    segments = placed.withColumn("segment", F.floor(F.col("at") / segment_turns)).groupBy("conv_id", "segment").agg(
+        F.sort_array(F.collect_list(F.struct("at", "role", "said"))).alias("turns"), F.collect_set(F.when(F.col("role") != narrator, F.col("role"))).alias("here"),
     )
     # the segments of one conversation are spread, each share with its own copy of the speakers
     segments = segments.withColumn("salt", F.pmod(F.col("segment"), F.lit(SALTS)))

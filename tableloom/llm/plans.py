@@ -118,22 +118,24 @@ ORACLES = {
         FROM plain""",
     "op10_chat_formatting": """
         WITH turns AS (
-            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said, CAST(floor(turn / 512) AS BIGINT) AS segment
-            FROM conversations),
+            SELECT *, k // 512 AS segment FROM (
+                SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said,
+                       row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS k
+                FROM conversations)),
         people AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
         pieces AS (
-            SELECT t.conv_id, p.speaker, t.segment, t.turn, t.role, t.said, t.role = p.speaker AS own,
+            SELECT t.conv_id, p.speaker, t.segment, t.k, t.role, t.said, t.role = p.speaker AS own,
                    '<|im_start|>' || CASE WHEN t.role = 'system' THEN 'system' WHEN t.role = p.speaker THEN 'assistant'
                         ELSE 'user name=' || replace(t.role, '<|', '<') END || chr(10) AS head,
                    replace(t.said, '<|', '<') || '<|im_end|>' AS body
-            FROM turns t JOIN people p USING (conv_id)),
+            FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
         placed AS (
             SELECT *, CAST(coalesce(sum(length(head) + length(body) + 1) OVER (
-                PARTITION BY conv_id, speaker, segment ORDER BY turn, role, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + length(head) AS s
+                PARTITION BY conv_id, speaker, segment ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + length(head) AS s
             FROM pieces)
         SELECT conv_id, speaker, segment, CAST(count(*) AS INTEGER) AS n_turns,
-               string_agg(head || body || chr(10), '' ORDER BY turn, role, said) AS text,
-               coalesce(string_agg(s || '-' || (s + length(body)), ',' ORDER BY turn, role, said) FILTER (WHERE own), '') AS mask_spans,
+               string_agg(head || body || chr(10), '' ORDER BY k) AS text,
+               coalesce(string_agg(s || '-' || (s + length(body)), ',' ORDER BY k) FILTER (WHERE own), '') AS mask_spans,
                CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS INTEGER) AS masked_chars
         FROM placed GROUP BY conv_id, speaker, segment""",
     "op11_filter_audit": r"""

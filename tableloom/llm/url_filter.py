@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import lower_ascii, spread, store
 
 SALTS = 64
-NUMBER, LONG, ANY, TAIL = "{n}", "{x}", "*", "**"
+NUMBER, ANY = "{n}", "*"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -30,13 +30,14 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tupl
     return rule, verdict
 
 
-def path_shape(path: Column, depth: int = 6, longest: int = 40) -> Column:
-    """Segments of a path: digit runs as ``{n}``, long ones as ``{x}``, all beyond ``depth`` as one ``**``."""
-    parts = F.transform(
-        F.split(F.regexp_replace(path, "^/", ""), "/"),
-        lambda s: F.when(F.length(s) > longest, F.lit(LONG)).otherwise(F.regexp_replace(s, "[0-9]+", NUMBER)),
-    )
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit(TAIL)))).otherwise(parts)
+def path_shape(path: Column) -> Column:
+    """All segments of a path, with digit runs as ``{n}``."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda s: F.regexp_replace(s, "[0-9]+", NUMBER))
+
+
+def _before(template: Column, place: Column) -> Column:
+    """What stands before a place of a template; a hash, as paths may be long."""
+    return F.xxhash64(F.slice(template, 1, place))
 
 
 def _variable_segments(shapes: DataFrame, few: int, share: float) -> DataFrame:
@@ -77,9 +78,9 @@ def _similar_branches(templates: DataFrame, distance: float, z: float) -> DataFr
         F.col("template"),
     ).select(
         "host", "place", "branch", "n", "good", "bad",
-        F.expr("array_join(slice(template, 1, place), '/')").alias("before"),
-        F.expr("array_join(slice(template, place + 2, 1000), '/')").alias("after"),
-    ).where(~F.col("branch").isin(ANY, TAIL, LONG))
+        _before(F.col("template"), F.col("place")).alias("before"),
+        F.xxhash64(F.slice(F.col("template"), F.col("place") + 2, F.size("template"))).alias("after"),
+    ).where(F.col("branch") != ANY)
     parent = ["host", "place", "before"]
     by_after = nodes.groupBy(*parent, "branch", "after").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     own = by_after.groupBy(*parent, "branch").agg(F.sum("n").alias("own_n"), F.sum("good").alias("own_good"), F.sum("bad").alias("own_bad"))
@@ -128,9 +129,9 @@ def judge_urls(
     base = (prior["bad"] or 0) / max(1, (prior["good"] or 0) + (prior["bad"] or 0))
     variable = store(_variable_segments(shapes, few, share))
     templates = variable.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    merged = _similar_branches(templates, distance, z).groupBy("host").agg(F.collect_set(F.concat_ws(" ", "place", "before", "branch")).alias("merged"))
+    merged = _similar_branches(templates, distance, z).groupBy("host").agg(F.collect_set(F.concat_ws(" ", F.col("place").cast("string"), F.col("before").cast("string"), "branch")).alias("merged"))
     final = F.transform("template", lambda s, i: F.when(
-        F.array_contains("merged", F.concat_ws(" ", i.cast("string"), F.array_join(F.slice(F.col("template"), 1, i), "/"), s)), ANY
+        F.array_contains("merged", F.concat_ws(" ", i.cast("string"), _before(F.col("template"), i).cast("string"), s)), ANY
     ).otherwise(s))
     named = templates.join(merged, "host", "left").withColumn("final", F.array_join(F.when(F.col("merged").isNull(), F.col("template")).otherwise(final), "/"))
     scores = named.groupBy("host", "final").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))

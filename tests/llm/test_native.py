@@ -74,7 +74,21 @@ def test_url_templates(spark):
     assert {got[u]["verdict"] for u in urls if "/spam/" in u} == {"block"} and {got[u]["verdict"] for u in urls if "/news/" in u} == {"allow"}
     assert {got[u]["verdict"] for u in urls if "/blog/" in u or "other.org" in u} == {"allow"}
     assert len({got[u]["template"] for u in urls if "other.org" in u}) <= 24
-    assert got["http://site.org/" + "a/" * 5000]["template"].endswith("**")
+    assert got["http://site.org/" + "a/" * 5000]["template"].count("/") == 5000 and got["http://site.org/" + "b" * 5000]["template"] is not None
+
+
+def test_deep_and_long_paths_are_told_apart(spark):
+    """Branches that differ from the seventh segment on, or in long names alone, have shares of their own."""
+    long = "very-long-name-of-a-section-" * 3
+    urls = [f"http://h.org/a/b/c/d/e/f/{kind}/{'xyzuvw'[i % 6]}" for kind in ("bad", "good", "other") for i in range(30)]
+    urls += [f"http://l.org/{long}{kind}/{'xyzuvw'[i % 6]}" for kind in ("bad", "good") for i in range(30)]
+    urls += [f"http://l.org/{long}good/page{i}" for i in range(10)]
+    rules = [("block", "h.org/a/b/c/d/e/f/bad/x"), ("block", f"l.org/{long}bad/x"), ("block", "h.org/a/b/c/d/e/f/bad/y"), ("block", f"l.org/{long}bad/y")]
+    rules += [("allow", "h.org/a/b/c/d/e/f/good/x"), ("allow", f"l.org/{long}good/x"), ("allow", "h.org/a/b/c/d/e/f/other/x"), ("allow", "h.org/a/b/c/d/e/f/good/y")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r["page_id"]]: r["verdict"] for r in url_filter.judge_urls(pages, rules, strength=2.0).collect()}
+    assert {v for u, v in got.items() if "/bad/" in u or "bad/" in u} == {"block"}
+    assert {v for u, v in got.items() if "good/" in u or "/other/" in u} == {"allow"}
 
 
 def test_urls_of_flat_hosts(spark):
@@ -100,7 +114,7 @@ def test_perspectives(spark):
         "<|im_start|>user name=cy\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
     )
     assert [ann["text"][s["start"]:s["end"]] for s in ann["spans"]] == ["hi <im_end|><|im_end|>", "bye<|im_end|>"]
-    assert got[3, "ann", 0]["n_turns"] == 2 and [k for k in got if k[:2] == (3, "unknown") and got[k]["spans"]] != []
+    assert got[3, "ann", 0]["n_turns"] == 3 and got[3, "unknown", 0]["text"].endswith("<|im_start|>assistant\nx<|im_end|>\n")
     assert chat.rotate_perspectives(table.limit(0)).collect() == []
 
 
@@ -118,7 +132,7 @@ def test_repeated_turns_are_cut_by_rank(spark):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     got = chat.rotate_perspectives(table).collect()
     assert max(r["n_turns"] for r in got) <= 512
-    assert sorted((r["segment"], r["n_turns"]) for r in got if r["conv_id"] == 2) == [(1, 424), (2, 76)]
+    assert sorted((r["segment"], r["n_turns"]) for r in got if r["conv_id"] == 2) == [(0, 500)]
     for conv, speaker in ((None, "a"), (None, "b"), (1, "a")):
         parts = sorted((r["segment"], r["text"]) for r in got if r["conv_id"] == conv and r["speaker"] == speaker)
         turns = sorted((t is None, t or 0, role, said) for c, t, role, said in rows if c == conv)
