@@ -198,7 +198,9 @@ def rewrite(resolved: DataFrame, folder: str) -> DataFrame:
         return pd.DataFrame(done + out.close(), columns=["archive", "records"])
 
     plain = resolved.select("archive", "at", "record_type", "refers_to_id", F.col("refers_to").cast("string").alias("refers_page"), "refers_to_url")
-    return store(plain.groupBy("archive").applyInPandas(write, FILES))
+    # a number of its own, so that small heads of many archives are not put together into one task
+    tasks = max(1, min(plain.select("archive").distinct().count(), 50_000))
+    return store(plain.repartition(tasks, "archive").groupBy("archive").applyInPandas(write, FILES))
 
 
 def deduplicate(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
