@@ -1,6 +1,7 @@
 """Benchmark items in documents against plain dynamic programming."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -110,13 +111,13 @@ def test_odd_rows(spark, monkeypatch):
     item = "what is the capital of that small country"
     items = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (2, None, "x"), (3, "short", "x"), (None, "no identifier here", "x"), (4, "another question about rivers", "x")], "item_id long, text string, doc_id string")
     long = "filler words go here " * 400 + item.upper().replace(" ", " \n ") + " and more " * 900
-    rows = [(1, None, 1), (2, "", 2), (3, long, 3), (3, long, 3), (None, item, 1), (5, "short", 1), (6, "clean text without anything", 1)]
+    rows = [(1, None, 1), (2, "", 2), (3, long, 3), (3, long, 3), (None, item, 1), (5, "short", 1), (6, "clean text without anything", 1), (7, "Short, but shorter", 1), (8, "there is No  identifier here", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
     at = normalised(long).find(item.encode())
-    got = sorted((r["doc_id"] or 0, r["item_id"], r["start"], r["end"], r["edits"]) for r in find_items(docs, items).collect())
-    assert got == [(0, 1, 0, len(item), 0), (3, 1, at, at + len(item), 0), (3, 1, at, at + len(item), 0)]
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["start"], r["end"], r["edits"]) for r in find_items(docs, items).collect())
+    assert got == [(0, 1, 0, len(item), 0), (3, 1, at, at + len(item), 0), (3, 1, at, at + len(item), 0), (5, 3, 0, 5, 0), (8, 0, 9, 27, 0)]
     left = remove_contaminated(docs, items)
-    assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 5, 6] and left.columns == docs.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 6, 7] and left.columns == docs.columns
     assert find_items(docs.limit(0), items).collect() == [] and find_items(docs, items.limit(0)).collect() == []
 
 
@@ -125,3 +126,28 @@ def test_shortest_items(spark, size):
     item = "abcdefghijklmnopqrst"[:size]
     docs = spark.createDataFrame([(1, f"zz {item} zz"), (2, "zz")], "doc_id long, text string")
     assert [r["doc_id"] for r in find_items(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [1]
+
+
+def test_repeated_characters_take_bounded_memory():
+    """An item of equal characters meets a long line of them at every place."""
+    index = decontaminate.ItemIndex.build([(1, b"=" * 400), (2, b"some other item")], 0.06)
+    tracemalloc.start()
+    found = list(index.hits(b"= " * 50 + b"=" * 100_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (0, 100, 500, 0) in found and {f[0] for f in found} == {0} and peak < 100 << 20
+
+
+@pytest.mark.parametrize("hits", [1, 50])
+def test_bands_counted_in_slices(monkeypatch, hits):
+    item, text = b"abab" * 10 + b"end of it", b"xx" + b"abab" * 30 + b"end of it"
+    index = decontaminate.ItemIndex.build([(1, item)], 0.06)
+    want = sorted(index.hits(text))
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    assert sorted(index.hits(text)) == want and want
+
+
+def test_short_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "Ab c"), (None, "é"), (2, " ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "AB  c"), (2, "xab c"), (3, "so ab c, é"), (4, "é"), (5, " "), (6, "ab c" * 3)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in find_items(docs, items).collect()) == [(1, 1), (3, 0), (4, 0)]
