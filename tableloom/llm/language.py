@@ -11,6 +11,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.windows import top_per_key
+from .common import release
 from .features import linear_svm, ngram_counts, unit_rows
 
 #: Families of closely related languages. A language not listed is a family of its own.
@@ -75,12 +77,14 @@ def _counted(texts: DataFrame, columns: list[str], bits: int) -> DataFrame:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, per_language: int = 600, bits: int = 12) -> LanguageModel | None:
-    """A model from a bounded sample of labelled rows: at most about ``per_language`` of each language, chosen by a hash of ``key``.
+    """A model from a bounded sample of labelled rows: at most ``per_language`` of each language, chosen by a hash of ``key`` and text.
 
-    All labelled rows are counted first; a rare language gives all its rows. None if no row has a label and a text.
+    All labelled rows are counted first, and a share of each language that makes up the number is taken by hash; of what is left the first
+    ``per_language`` stay, so null or repeated keys, however many, do not widen the sample. A rare language gives all its
+    rows. Null texts teach nothing; an empty text is a text without letters. None if no row has a label and a text.
     """
-    key = F.xxhash64(text_col) if key is None else key
-    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key")).where(
+    key = F.lit(0) if key is None else key
+    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key, F.col(text_col)).alias("hash")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -88,8 +92,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key:
         return None
     share = F.lit(0.0)
     for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20))
+        share = F.when(F.col("lang") == lang, min(1.0, 1.1 * per_language / n)).otherwise(share)
+    chosen = top_per_key(labelled.where(F.pmod("hash", F.lit(1 << 20)) < share * (1 << 20)), ["lang"], [F.col("hash")], per_language)
     table = _counted(chosen, ["lang"], bits).toArrow()
     if not table.num_rows:
         return None
@@ -140,17 +144,25 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
         for part, said in _parts(batches, "text", shared.value):
             arrays = [part.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score"])
+        release()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is in a language: those that ``identify`` finds ``und`` go."""
+    """The rows of ``docs``, with all their columns, whose text is in a language: those that ``identify`` finds ``und`` go.
+
+    These are null texts and texts without a letter, however long; that much is known without a model too. Rows are judged one
+    by one: ties, repeated rows, null identifiers and other columns change nothing; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, said in _parts(batches, text_col, shared.value):
-            yield part.filter(pa.array([s[0] != UNDETERMINED for s in said]))
+            texts = part.column(part.schema.get_field_index(text_col))
+            keep = [s[0] != UNDETERMINED for s in said] if shared.value else [bool(t.is_valid and _LETTER.search(t.as_py())) for t in texts]
+            yield part.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
