@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_ascii, store
+from .common import free_name, lower_ascii, store
 
 KEY = ["digest", "check", "size"]
 
@@ -60,12 +60,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that ``group_copies`` keeps, with all their columns.
 
     Rows are found again by identifier and digest. Only identifiers that several rows with equal text
-    share need a second look: one of those rows stays.
+    share need a second look: one of those rows stays. Null texts count as empty, long ones are compared whole; an empty
+    table gives an empty result; columns with any names are kept.
     """
     copies = group_copies(docs, id_col, text_col, keep, fan_in)
-    kept = copies.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("group_size").alias("__size"))
-    keyed = docs.withColumn("__own", _fingerprint(F.col(text_col))["digest"])
-    left = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")))
-    single = left.where("__size = 1")
-    several = left.where("__size > 1").dropDuplicates(["__id", "__digest"])
+    key, digest, size, own = (free_name(docs, n) for n in ("__id", "__digest", "__size", "__own"))
+    kept = copies.where("kept").select(F.col("doc_id").alias(key), F.col("digest").alias(digest), F.col("group_size").alias(size))
+    keyed = docs.withColumn(own, _fingerprint(F.col(text_col))["digest"])
+    left = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest)))
+    single = left.where(F.col(size) == 1)
+    several = left.where(F.col(size) > 1).dropDuplicates([key, digest])
     return single.unionByName(several).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Publisher, filesystem, store
+from .common import Publisher, arrow_rows, filesystem, store
 from .encoder import encoder
 
 MAGIC = b"TLTOKEN1"
@@ -19,6 +19,8 @@ MAGIC = b"TLTOKEN1"
 HEADER = struct.Struct("<8sQQQBxxxxxxxqQQ")
 _EF = struct.Struct("<QQB7x")
 SAMPLE = 256
+#: Numbers that are coded or decoded at once; a multiple of eight.
+PIECE = 4096
 
 
 class EliasFano:
@@ -38,11 +40,12 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         width = max(0, (top // n).bit_length() - 1) if n else 0
-        bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        places = np.arange(width, dtype=np.uint64)
+        low = [np.packbits(((values[k:k + PIECE, None] >> places) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for k in range(0, n, PIECE)]
         ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         marks = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
         marks[ones] = 1
-        return cls(n, width, np.packbits(bits.ravel(), bitorder="little"), np.packbits(marks, bitorder="little"), ones[::SAMPLE].astype("<u4"))
+        return cls(n, width, np.concatenate([np.zeros(0, np.uint8), *low]), np.packbits(marks, bitorder="little"), ones[::SAMPLE].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         return _EF.pack(self.n, len(self.high), self.width) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
@@ -60,8 +63,8 @@ class EliasFano:
         window = int.from_bytes(self.low[first // 8:(first + self.width + 7) // 8].tobytes(), "little")
         return (window >> (first % 8)) & ((1 << self.width) - 1)
 
-    def select(self, i: int) -> int:
-        """The i-th number (from 0)."""
+    def _place(self, i: int) -> int:
+        """Where the i-th one is."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
@@ -72,14 +75,30 @@ class EliasFano:
                 left, at = left - byte.bit_count(), at // 8 * 8 + 7
             else:
                 left -= byte & 1
-        return ((at - i) << self.width) | self._low(i)
+        return at
+
+    def select(self, i: int) -> int:
+        """The i-th number (from 0)."""
+        return ((self._place(i) - i) << self.width) | self._low(i)
+
+    def between(self, first: int, last: int) -> np.ndarray:
+        """Numbers [first, last) as unsigned 64-bit integers: the bits from one select to another, and no others, are decoded."""
+        last = min(last, self.n)
+        if first >= last:
+            return np.zeros(0, np.uint64)
+        begin, end = self._place(first), self._place(last - 1)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8:end // 8 + 1], bitorder="little")) + begin // 8 * 8
+        ones = ones[(ones >= begin) & (ones <= end)]
+        high = (ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.width)
+        if not self.width:
+            return high
+        at = first * self.width
+        bits = np.unpackbits(self.low[at // 8:(last * self.width + 7) // 8], bitorder="little")[at % 8:at % 8 + (last - first) * self.width]
+        return high + bits.reshape(-1, self.width).astype(np.uint64) @ (np.uint64(1) << np.arange(self.width, dtype=np.uint64))
 
     def values(self) -> np.ndarray:
         """All numbers."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        bits = np.unpackbits(self.low, count=self.n * self.width, bitorder="little").reshape(self.n, self.width).astype(np.int64)
-        low = bits @ (np.int64(1) << np.arange(self.width, dtype=np.int64)) if self.width else 0
-        return ((ones - np.arange(self.n)) << self.width) + low
+        return self.between(0, self.n)
 
 
 def pack_file(doc_ids: list[int | None], ends: np.ndarray, ids: bytes, id_bytes: int) -> list[bytes]:
@@ -106,8 +125,17 @@ class TokenFile:
         self.bounds = EliasFano.from_bytes(self.source.read_at(bounds, HEADER.size + names))
         self.body = HEADER.size + names + bounds
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_null + [int(v) + self.least for v in self.names.values()]
+    def doc_ids(self, first: int = 0, last: int | None = None) -> list[int | None]:
+        """Identifiers of the documents [first, last)."""
+        last = self.n_docs if last is None else min(last, self.n_docs)
+        nulls = max(0, min(last, self.n_null) - first)
+        known = self.names.between(max(0, first - self.n_null), max(0, last - self.n_null))
+        return [None] * nulls + [v + self.least for v in known.tolist()]
+
+    def edges(self, first: int, last: int) -> np.ndarray:
+        """Places in the file's ids where the documents [first, last) begin, and where the last one ends."""
+        ends = self.bounds.between(first, last).astype(np.int64)
+        return np.concatenate([[self.bounds.select(first - 1) if first else 0], ends])
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """Ids [first, last) of the file as unsigned 32-bit integers."""
@@ -126,12 +154,12 @@ class TokenFile:
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 1 << 23,
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_ids: int = 1 << 23, file_docs: int = 1 << 18,
 ) -> DataFrame:
     """Token files of ``docs`` in ascending identifier order, and their list (path, base, n_docs, n_ids).
 
     Range partitions by identifier are sorted and encoded by their tasks; each task writes files of about
-    ``file_ids`` ids (2 bytes an id if the vocabulary allows), a document never being cut. ``base`` is the number
+    ``file_ids`` ids (2 bytes an id if the vocabulary allows) and ``file_docs`` documents, a document never being cut. ``base`` is the number
     of ids before a file. Null texts are empty and have the end id only; null identifiers come first; equal identifiers are
     ordered by text hash; an empty table writes no file. Other columns are ignored.
     """
@@ -140,8 +168,6 @@ def write_token_files(
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        id_bytes = 2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4
         publisher, part = Publisher(folder), TaskContext.get().partitionId()
         names, ends, ids, total, number = [], [], [], 0, 0
 
@@ -155,19 +181,22 @@ def write_token_files(
             names, ends, ids, total, number = [], [], [], 0, number + 1
             return row
 
-        for batch in batches:
-            for doc_id, ids_of in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1))):
-                data = ids_of + end
-                names.append(doc_id)
-                ends.append(len(data) // 4)
-                total += ends[-1]
-                ids.append(np.frombuffer(data, "<u4").astype("<u2").tobytes() if id_bytes == 2 else data)
-                if total >= file_ids:
-                    yield flush()
-        if names:
-            yield flush()
-
-    files = store(ordered.mapInArrow(write, "part int, number int, path string, n_docs long, n_ids long"))
+        with encoder(tokenizer) as encode:
+            id_bytes = 2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4
+            for batch in batches:
+                for doc_id, ids_of in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1))):
+                    data = ids_of + end
+                    names.append(doc_id)
+                    ends.append(len(data) // 4)
+                    total += ends[-1]
+                    ids.append(np.frombuffer(data, "<u4").astype("<u2").tobytes() if id_bytes == 2 else data)
+                    if total >= file_ids or len(names) >= file_docs:
+                        yield flush()
+            if names:
+                yield flush()
+
+    with arrow_rows(docs.sparkSession, 2048):
+        files = store(ordered.mapInArrow(write, "part int, number int, path string, n_docs long, n_ids long"))
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("all"))  # one row per writing task
     before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")
@@ -187,13 +216,10 @@ def read_documents(spark: SparkSession, files: DataFrame, with_ids: bool = True)
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
                 with TokenFile(path) as file:
-                    ends = file.bounds.values()
-                    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                    names = file.doc_ids()
-                    for k in range(0, len(names), 4096):
-                        cut = slice(k, k + 4096)
-                        texts = [file.ids(int(a), int(b)).tobytes() for a, b in zip(starts[cut], ends[cut])]
-                        columns = [names[cut], starts[cut] + base, ends[cut] - starts[cut], [zlib.crc32(t) for t in texts]] + ([texts] if with_ids else [])
+                    for k in range(0, file.n_docs, PIECE):
+                        edges = file.edges(k, k + PIECE)
+                        texts = [file.ids(int(a), int(b)).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+                        columns = [file.doc_ids(k, k + PIECE), edges[:-1] + base, np.diff(edges), [zlib.crc32(t) for t in texts]] + ([texts] if with_ids else [])
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")

@@ -144,3 +144,40 @@ def test_packing_with_odd_rows_and_ids(spark, reference):
     for s in packing.sequences(packed).collect():
         assert len(s["ids"]) == 4 * s["n_tokens"] <= 256 and len(s["pieces"]) <= 5
     assert packing.pack(docs.limit(0), plans.tokenizer_file()).collect() == []
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [5, 5, 5], [0, 2**63, 2**64 - 1], list(range(0, 90_000, 9)), [7] * 9000])
+def test_ranges_of_coded_numbers(numbers):
+    coded = EliasFano.from_bytes(EliasFano.build(np.array(numbers, dtype=np.uint64)).to_bytes())
+    assert coded.values().tolist() == numbers
+    for first, last in ((0, 1), (1, 4), (4095, 4098), (8000, 99_999), (3, 3)):
+        assert coded.between(first, last).tolist() == numbers[first:last]
+    assert all(coded.select(i) == numbers[i] for i in range(0, len(numbers), 997))
+
+
+def test_identifiers_far_apart(spark):
+    """Identifiers over the whole range of a long come back, as do many documents in several files."""
+    ids = [-9 * 10**18, -(2**63), 5, 9 * 10**18, 2**63 - 1, -1, 0]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(None, "x")], "doc_id long, text string")
+    files = token_store.write_token_files(docs.coalesce(1), shared_folder(spark, "t"), plans.tokenizer_file(), file_docs=3)
+    assert files.count() >= 3
+    rows = sorted(token_store.read_documents(spark, files).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None, *sorted(ids)]
+    assert [r["start"] for r in rows] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in rows])[:-1]]).tolist()
+
+
+def test_many_documents_of_one_id():
+    from tableloom.llm.token_store import pack_file
+
+    n = 300_000
+    parts = pack_file(list(range(n)), np.arange(1, n + 1), b"\0\0" * n, 2)
+    assert sum(map(len, parts)) < 3.0 * n
+
+
+def test_memories_are_bounded_and_emptied(encode):
+    from tableloom.llm.encoder import encoder
+
+    with encoder(plans.tokenizer_file()) as one:
+        list(one.encode_all(pa.array([" ".join(f"word{i}" for i in range(200_000))])))
+        assert max(len(one.words), len(one.others), len(one.marks)) <= one.limit < 100_000
+    assert not one.words and not one.others and not one.marks
