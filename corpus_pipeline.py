@@ -9,27 +9,46 @@ from tableloom.llm.common import shared_folder
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language go: null texts and those without a letter."""
+    """Documents in no language go: null and empty texts and those without a letter, however long.
+
+    The model learns from labelled documents; without any, a letter is enough to stay. Ties, repeated rows and null identifiers change
+    nothing; other columns are kept; an empty table gives an empty result.
+    """
     return language.keep_identified(docs, plans.language_model(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, that with the largest doc_id."""
+    """One row of each group of equal texts stays, that with the largest doc_id.
+
+    Null texts count as empty; null identifiers lose to others, and of rows equal in identifier and text one stays; other columns are
+    kept; an empty table gives an empty result.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of linked documents stays, that with the smallest doc_id (nulls last)."""
+    """One row of each component of linked documents stays, that with the smallest doc_id (nulls last).
+
+    Null and empty texts have no links and stay; rows with one identifier, or none, are told apart; other columns are kept; an empty table
+    gives an empty result.
+    """
     return jaccard_join.keep_one_row(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item occurs go."""
+    """Documents in which a benchmark item occurs go, each by its own text.
+
+    Null and empty texts stay; without items all do; other columns are kept; an empty table gives an empty result.
+    """
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences of at most 2048 tokens."""
+    """What is left is packed into sequences of at most 2048 tokens: a row per piece.
+
+    Null texts are empty (one end mark); null and repeated identifiers are packed like others; only the columns of the packing are
+    returned; an empty table gives an empty result.
+    """
     return packing.pack(docs, plans.tokenizer_file())
 
 

@@ -6,16 +6,22 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release
+
 #: Letters and marks for which cutting a chunk is certain to agree with the tokenizer's own pattern.
 _MARKS = ".,;:!?"
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[tuple, "Encoder"] = {}
+#: An entry of a memory takes some 200 bytes: a memory holds about 16 MB.
+MEMORY_ENTRIES = (16 << 20) // 200
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -24,10 +30,10 @@ class Encoder:
     The pattern of such tokenizers starts a new word at every single space between two other
     characters, so a text may be cut there, chunks be encoded once by the library, and their ids be
     joined. A chunk that is a word and marks is cut once more between the two. Both memories hold about
-    ``limit`` entries at most and start anew when full. Special tokens' strings in a text are ordinary text.
+    ``limit`` entries at most, start anew when full, and are emptied by ``forget``. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = MEMORY_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -83,9 +89,15 @@ class Encoder:
             for memory, more in ((words, new), (others, seen)):
                 if len(memory) + len(more) > self.limit:
                     memory.clear()
-                memory.update(more)
+                memory.update(islice(more.items(), self.limit))
         return ids
 
+    def forget(self) -> None:
+        """Empty the memories, so that an idle worker holds none."""
+        for memory in (self.words, self.marks, self.others):
+            memory.clear()
+        release()
+
     def _mark(self, marks: str) -> bytes:
         if not marks:
             return b""
@@ -103,7 +115,7 @@ class Encoder:
         first, *rest = _SAFE_SPACE.split(text)
         return self._plain(first) + b"".join([self._plain(" " + c) if v is None else v for c, v in zip(rest, self._known(rest))])
 
-    def encode_all(self, texts: pa.Array, most: int = 8 << 20) -> Iterator[bytes]:
+    def encode_all(self, texts: pa.Array, most: int = 2 << 20) -> Iterator[bytes]:
         """Ids of many texts in order, null as none, some ``most`` bytes of text at a time.
 
         Chunks are split and told apart by Arrow, looked up once each, and put together by Arrow again.
@@ -139,8 +151,12 @@ def _sound(chunk: str) -> bool:
     return chunk != "" and not chunk[0].isspace() and not chunk[-1].isspace()
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker; later tasks find its memory filled."""
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The encoder of this Python worker, for one task: the file is read once, the memories go with the task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    try:
+        yield _ENCODERS[path]
+    finally:
+        _ENCODERS[path].forget()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import store
+from .common import arrow_rows, store
 from .encoder import encoder
 
 ITEM = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -117,28 +117,30 @@ def pack(
     schema = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, number long" + (", ids binary" if with_ids else "")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, numbers = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
+        part, numbers = TaskContext.get().partitionId(), defaultdict(int)
         rows: list[tuple] = []
 
         def batch_of() -> pa.RecordBatch:
             columns = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
-        for batch in batches:
-            for doc_id, ids_of in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1))):
-                data = ids_of + end
-                for piece, (start, n) in enumerate(cut_pieces(len(data) // 4, length)):
-                    ids = data[4 * start:4 * (start + n)]
-                    rows.append((part, doc_id, piece, start, n, zlib.crc32(ids), numbers[n]) + ((ids,) if with_ids else ()))
-                    numbers[n] += 1
-                if len(rows) >= 4096:
-                    yield batch_of()
-                    rows.clear()
+        with encoder(tokenizer) as encode:
+            for batch in batches:
+                for doc_id, ids_of in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1))):
+                    data = ids_of + end
+                    for piece, (start, n) in enumerate(cut_pieces(len(data) // 4, length)):
+                        ids = data[4 * start:4 * (start + n)]
+                        rows.append((part, doc_id, piece, start, n, zlib.crc32(ids), numbers[n]) + ((ids,) if with_ids else ()))
+                        numbers[n] += 1
+                    if len(rows) >= 4096:
+                        yield batch_of()
+                        rows.clear()
         if rows:
             yield batch_of()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = store(source.mapInArrow(encode, schema))
+    with arrow_rows(docs.sparkSession, 2048):
+        items = store(source.mapInArrow(encode, schema))
     counts = items.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -110,3 +110,49 @@ def test_filtering_stages_decide_per_row(spark):
         [(3, clean[0]), (0, clean[1]), (0, clean[2]), (4, ""), (0, ""), (5, clean[3]), (0, clean[4])]
     )
     assert [r["doc_id"] for r in left if "w0" in (r["text"] or "")] == [3]
+
+
+def test_sample_is_bounded_for_null_and_repeated_keys(spark):
+    """A quarter of the rows has no key, a third has one and the same, and many rows are equal."""
+    rows = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN 7 ELSE id END AS doc_id", "CASE WHEN id % 5 = 0 THEN 'der und die' ELSE concat('wort ', id % 999, ' und die') END AS text",
+        "CASE WHEN id % 2 = 0 THEN 'de' ELSE 'nl' END AS lang",
+    )
+    counted = []
+    before = language._counted
+
+    def watch(texts, columns, bits):
+        out = before(texts, columns, bits)
+        counted.append({r["lang"]: r["count"] for r in out.groupBy("lang").count().collect()})
+        return out
+
+    language._counted = watch
+    try:
+        assert language.train(rows, key=F.col("doc_id"), per_language=50, bits=8) is not None
+    finally:
+        language._counted = before
+    assert set(counted[0]) == {"de", "nl"} and all(20 <= n <= 50 for n in counted[0].values())
+
+
+def test_without_labels_texts_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", "k"), (2, None, "k"), (3, "12 34", "k"), (None, "é", "k"), (4, "x" * 300_000, "k"), (4, "", "k")], "doc_id long, text string, score string")
+    assert sorted(r["doc_id"] or 0 for r in language.keep_identified(docs, None).collect()) == [0, 1, 4]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and repeated identifiers, null and long texts, clashing columns, no labels, and an empty table."""
+    long = " ".join(f"word{i}" for i in range(3000))
+    item = "which river flows through the middle of the old town"
+    rows = [(1, long, "a"), (2, long, "a"), (None, None, "b"), (3, "", None), (4, "Ab c d e f", "a"), (4, "aB c d e f", "a"), (None, f"so {item} they asked", "a"), (5, "clean enough to stay", "a"), (5, "clean enough to stay here", "a")]
+    table = spark.createDataFrame([(d, t, None, s, 1, 2, 3) for d, t, s in rows], "doc_id long, text string, lang string, source string, __row long, m int, sequence_id int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for name, part in (("full", table), ("empty", table.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        part.write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        if name == "empty":
+            assert out.count() == 0
+            continue
+        kept = out.select("doc_id", "piece", "sequence_id").collect()
+        assert {r["doc_id"] for r in kept} == {2, 4, 5} and len([r for r in kept if r["doc_id"] == 5]) == 2
