@@ -187,27 +187,45 @@ class _Classes:
         return np.append(self.classes, self.k + 1).astype(np.int16)[numbers]
 
 
-def _context_counts(blocks: DataFrame, tasks: int, folder: str, found: _Classes) -> np.ndarray:
-    """(frequent word, left and right contexts): how often training documents have a frequent word beside each class."""
+def _write_lines(blocks: DataFrame, tasks: int, folder: str, found: _Classes) -> None:
+    """A file per block with the places of the training documents' tokens among the frequent words: m for other words, m + 1 for ends."""
     shared = blocks.sparkSession.sparkContext.broadcast(found)
-    m, c, slices = len(found.frequent), found.contexts, 16
-    rows = -(-m // slices) * slices
 
     def run(names: Iterator[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-        model, total = shared.value, np.zeros((2, (m + 1) * c), np.int64)
+        publisher, model = Publisher(folder), shared.value
+        m = len(model.frequent)
+        schema = pa.schema([("line", pa.uint16() if m + 1 < 1 << 16 else pa.int32())])
         for _, name in names:
-            numbers = model.numbers(folder, name)
-            classes = model.of(numbers)
+            numbers, batches = model.numbers(folder, name), []
             for batch in _read(folder, f"{name}.docs"):
                 ids, lengths, train = _tokens(batch)
-                word = _line(numbers, ids, lengths, m).astype(np.int64)
-                near = _line(classes, ids, lengths, model.k)
-                use = (word < m) & np.repeat(train, lengths + 1)
-                word = word[use] * c
-                total[0] += np.bincount(word + _shifted(near, model.k)[use], minlength=total.shape[1])
-                total[1] += np.bincount(word + np.append(near[1:], model.k)[use], minlength=total.shape[1])
+                line = _line(numbers, ids, lengths, m + 1)[np.repeat(train, lengths + 1)]
+                batches.append(pa.RecordBatch.from_arrays([pa.array(line, schema.field(0).type)], schema=schema))
+            _write(publisher, f"{name}.line", schema, batches)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    store(_by_block(blocks, tasks, run, "name string"))
+
+
+def _context_counts(blocks: DataFrame, tasks: int, folder: str, found: _Classes) -> np.ndarray:
+    """(frequent word, left and right contexts): how often training documents have a frequent word beside each class."""
+    shared = blocks.sparkSession.sparkContext.broadcast(found.classes)
+    m, c, k, slices = len(found.frequent), found.contexts, found.k, 64
+    rows = -(-m // slices) * slices
+
+    def run(names: Iterator[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+        classes = np.append(shared.value, [k + 1, k]).astype(np.uint8)
+        total = np.zeros((2, m * c), np.int64)
+        for _, name in names:
+            for batch in _read(folder, f"{name}.line"):
+                line = batch.column(0).to_numpy()
+                near = classes[line]
+                use = line < m
+                word = line[use].astype(np.int64) * c
+                total[0] += np.bincount(word + _shifted(near, k)[use], minlength=m * c)
+                total[1] += np.bincount(word + np.append(near[1:], np.uint8(k))[use], minlength=m * c)
         both = np.zeros((rows, 2 * c), np.int64)
-        both[:m, :c], both[:m, c:] = total[0].reshape(m + 1, c)[:m], total[1].reshape(m + 1, c)[:m]
+        both[:m, :c], both[:m, c:] = total[0].reshape(m, c), total[1].reshape(m, c)
         yield from _slices(both, slices)
 
     parts = _by_block(blocks, tasks, run, "slice int, part int, counts binary")
@@ -471,7 +489,7 @@ def score_documents(
     add-half unigram score, ``score`` the log10 probability under the class model: p(class | class before) p(word | class).
 
     1. Texts become blocks of word numbers with a dictionary each, in files of the shared folder; later passes read those.
-    2. Exchange clustering: all training documents are counted in every round; the ``clustered`` most frequent words move to
+    2. Exchange clustering: all training documents are counted in every round; the most frequent words, ``clustered`` at most, move to
        the class in which the bigram likelihood gains most. Then every other word, however rare, moves once, to the class that
        makes its own contexts most likely; those contexts are shuffled by word in compressed form.
     3. Class transitions and word emissions come from all training documents, with the final classes of all words. Unknown
@@ -497,12 +515,23 @@ def score_documents(
                 for a in range(0, batch.num_rows, 8192):
                     yield batch.slice(a, 8192).filter(pc.greater(batch.column(1).slice(a, 8192), 0))
 
-    words = _by_block(blocks, tasks, listed, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(clustered).collect()
+    _by_block(blocks, tasks, listed, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/words")
+    words = spark.read.parquet(f"{folder}/words")
+    # the most frequent words as far as whole grades of frequency, sixteen to an octave, go into ``clustered``
+    grade = F.floor(16 * F.log2("n"))
+    left, least = clustered, 0
+    for r in words.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("grade")).collect():  # a thousand at most
+        if r["words"] > left:
+            least = r["grade"] + 1
+            break
+        left -= r["words"]
+    top = words.where(grade >= least).orderBy(F.desc("n"), "word").collect()
     forget(spark)
     found = _Classes(classes, {bytes(r["word"]): i for i, r in enumerate(top)}, np.arange(len(top)) % classes)
     counts = np.array([r["n"] for r in top], np.int64)
     near = np.zeros((len(top), 2 * found.contexts), np.int64)
+    if top:
+        _write_lines(blocks, tasks, folder, found)
     for _ in range(rounds if top else 0):
         near = _context_counts(blocks, tasks, folder, found)
         found.classes = exchange(near, found.classes, classes)
