@@ -19,8 +19,8 @@ from .common import release
 _MARKS = ".,;:!?"
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: An entry of a memory takes some 200 bytes: a memory holds about 16 MB.
-MEMORY_ENTRIES = (16 << 20) // 200
+#: An entry of a memory takes some 200 bytes: a memory holds about 48 MB.
+MEMORY_ENTRIES = (48 << 20) // 200
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -29,8 +29,8 @@ class Encoder:
 
     The pattern of such tokenizers starts a new word at every single space between two other
     characters, so a text may be cut there, chunks be encoded once by the library, and their ids be
-    joined. A chunk that is a word and marks is cut once more between the two. Both memories hold about
-    ``limit`` entries at most, start anew when full, and are emptied by ``forget``. Special tokens' strings in a text are ordinary text.
+    joined. A chunk that is a word and marks is cut once more between the two. Both memories take
+    ``limit`` entries, then stay as they are, and are emptied by ``forget``. Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str, limit: int = MEMORY_ENTRIES):
@@ -87,9 +87,7 @@ class Encoder:
                 c = chunks[k]
                 ids[k] = (new[cores[c]] + self._mark(c[len(cores[c]):])) if c in cores else seen.get(c)
             for memory, more in ((words, new), (others, seen)):
-                if len(memory) + len(more) > self.limit:
-                    memory.clear()
-                memory.update(islice(more.items(), self.limit))
+                memory.update(islice(more.items(), max(0, self.limit - len(memory))))  # the first words of a task are the frequent ones
         return ids
 
     def forget(self) -> None:
@@ -115,7 +113,7 @@ class Encoder:
         first, *rest = _SAFE_SPACE.split(text)
         return self._plain(first) + b"".join([self._plain(" " + c) if v is None else v for c, v in zip(rest, self._known(rest))])
 
-    def encode_all(self, texts: pa.Array, most: int = 2 << 20) -> Iterator[bytes]:
+    def encode_all(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[bytes]:
         """Ids of many texts in order, null as none, some ``most`` bytes of text at a time.
 
         Chunks are split and told apart by Arrow, looked up once each, and put together by Arrow again.
