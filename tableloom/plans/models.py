@@ -230,7 +230,7 @@ def f23(t):
     rows = t.part.select("p_partkey", size.alias("size"), "p_retailprice", (size * 20 + (size - 25) * (size - 25) + F.col("p_retailprice") / 10).alias("y"))
     out = []
     for name in m.GRIDS:
-        tried, best = m.tuned(rows, name, ["size", "p_retailprice"], "y", key=["p_partkey"])
+        tried, best = m.tuned(rows, name, ["size", "p_retailprice"], "y", parallelism=4, key=["p_partkey"])
         r2 = best.transform(rows).agg(regression_metrics("y", "prediction")["r2"].alias("r2"), F.count(F.lit(1)).alias("n")).first()
         out.append((name, tried.where("mse is not null").count(), r2["n"], bool(r2["r2"] > 0.9)))
     return t.spark.createDataFrame(out, "model string, settings bigint, n bigint, best_fits boolean")
