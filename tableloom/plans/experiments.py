@@ -43,12 +43,12 @@ def k01(t):
 
 @query("k01_assign_hashed", "SELECT event_type, count(*) AS n, 1::BIGINT AS most_arms_of_a_user, true AS half FROM events GROUP BY event_type")
 def k01_hashed(t):
-    """Every user keeps one arm within an experiment, and the arms have about half of the users each."""
+    """Every user keeps one arm within an experiment, and the arms have half of the users each, within four standard errors."""
     share = ex.hashed_share(F.col("user_id"), F.col("event_type"))
     arms = t.events.select("user_id", "event_type", ex.assign_arm(share, 0.5).alias("arm"))
     users = arms.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("arm").alias("arms"), F.first("arm").alias("arm"))
     return users.groupBy("event_type").agg(
-        F.sum("rows").alias("n"), F.max("arms").alias("most_arms_of_a_user"), (F.abs(F.avg((F.col("arm") == "model_b").cast("double")) - 0.5) < 0.15).alias("half")
+        F.sum("rows").alias("n"), F.max("arms").alias("most_arms_of_a_user"), (F.abs(F.avg((F.col("arm") == "model_b").cast("double")) - 0.5) < 2 / F.sqrt(F.count(F.lit(1)))).alias("half")
     )
 
 
