@@ -19,7 +19,7 @@ from .impute import fill_median
 from .linear import moments
 from .neighbors import nearest_rows
 from .partials import landmark_map, landmark_rows
-from .passes import newton, summed
+from .passes import beginning, newton, summed, summed_here
 from .stats import column_stats, exact_quantiles, numeric_columns
 
 TREES, TREE_ROWS, NEIGHBOURS, CONTAMINATION = 100, 256, 20, 0.1
@@ -259,52 +259,69 @@ def one_class_margin(
 
     At most ``landmarks`` different rows, chosen by hash, span the kernel's space. The primal problem (half the squared
     weights minus the threshold, plus the mean shortfall over nu) is solved by Newton steps on moments summed over all rows, its hinge
-    rounded less and less until the primal and the dual value differ by less than ``gap``. The threshold is then the nu-quantile
-    of the values, so the share of rows below it is nu: the property that gives nu its meaning.
+    rounded less and less until the primal and the dual value differ by less than ``gap``. The steps down are made on some rows; from
+    where they end the same steps and the same test of the gap go on over all rows, of which only those short of the threshold are
+    mapped. The threshold is then the nu-quantile of the values, so the share of rows below it is nu: the property that gives nu its meaning.
     """
     mapped = landmark_map(landmark_rows(rows, names, landmarks, seed), 1.0 / len(names))
-    n, width = rows.count(), mapped(np.zeros((1, len(names)))).shape[1]
-    scale = 1.0 / (nu * n)
-
-    def evaluate(v: np.ndarray, soft: float):
-        def part(x):
-            phi = np.concatenate([-mapped(x), np.ones((len(x), 1))], axis=1)  # of the shortfall threshold - w phi
-            loss, slope, curve = _rounded_hinge(phi @ v, soft)
-            return np.concatenate([[loss.sum()], phi.T @ slope, ((phi * curve[:, None]).T @ phi).ravel()])
-
-        total = scale * summed(rows, names, part)
-        slope, bend = total[1 : width + 2], total[width + 2 :].reshape(width + 1, width + 1)
-        free = np.append(np.ones(width), 0.0)
-        return total[0] + v[:-1] @ v[:-1] / 2 - v[-1], slope + free * v - np.append(np.zeros(width), 1.0), bend + np.diag(free + 1e-9)
-
-    def losses(points, soft: float):
-        v = np.stack(points, axis=1)
-        total = summed(rows, names, lambda x: _rounded_hinge(v[-1] - mapped(x) @ v[:-1], soft)[0].sum(axis=0))
-        return scale * total + (v[:-1] ** 2).sum(axis=0) / 2 - v[-1]
-
-    def values(v: np.ndarray, soft: float) -> tuple[float, float]:
-        """Primal value, and the dual value of the shares that the rounded hinge's slopes give."""
-        def part(x):
-            phi = mapped(x)
-            short = v[-1] - phi @ v[:-1]
-            slope = _rounded_hinge(short, soft)[1]
-            return np.concatenate([[np.maximum(short, 0).sum(), slope.sum()], phi.T @ slope])
-
-        total = summed(rows, names, part)
-        shares = total[2:] / max(total[1], 1e-300)
-        return v[:-1] @ v[:-1] / 2 - v[-1] + scale * total[0], -(shares @ shares) / 2
-
-    v = np.append(summed(rows, names, lambda x: mapped(x).sum(axis=0)) / n, 0.0)
+    n, width = rows.count(), mapped.into.shape[1]
+    some = beginning(rows, names, n, seed)
+
+    def problem(sums: Callable, n: int) -> tuple[Callable, Callable, Callable]:
+        scale = 1.0 / (nu * n)
+
+        def evaluate(v: np.ndarray, soft: float):
+            into = mapped.into @ v[:-1]
+
+            def part(x):
+                kernel = mapped.kernel(x)
+                loss, slope, curve = _rounded_hinge(v[-1] - kernel @ into, soft)
+                short = slope > 0  # the other rows take no part
+                phi = np.concatenate([-(kernel[short] @ mapped.into), np.ones((int(short.sum()), 1))], axis=1)  # of the shortfall threshold - w phi
+                bent = curve[short] > 0
+                return np.concatenate([[loss.sum()], phi.T @ slope[short], (phi[bent].T @ phi[bent] / soft).ravel()])
+
+            total = scale * sums(part)
+            slope, bend = total[1 : width + 2], total[width + 2 :].reshape(width + 1, width + 1)
+            free = np.append(np.ones(width), 0.0)
+            return total[0] + v[:-1] @ v[:-1] / 2 - v[-1], slope + free * v - np.append(np.zeros(width), 1.0), bend + np.diag(free + 1e-9)
+
+        def losses(points, soft: float):
+            v = np.stack(points, axis=1)
+            into = mapped.into @ v[:-1]
+            total = sums(lambda x: _rounded_hinge(v[-1] - mapped.kernel(x) @ into, soft)[0].sum(axis=0))
+            return scale * total + (v[:-1] ** 2).sum(axis=0) / 2 - v[-1]
+
+        def apart(v: np.ndarray, soft: float) -> float:
+            """The relative gap of the primal value and the dual value of the shares that the rounded hinge's slopes give."""
+            into = mapped.into @ v[:-1]
+
+            def part(x):
+                kernel = mapped.kernel(x)
+                short = v[-1] - kernel @ into
+                slope = _rounded_hinge(short, soft)[1]
+                on = slope > 0
+                return np.concatenate([[np.maximum(short, 0).sum(), slope.sum()], mapped.into.T @ (kernel[on].T @ slope[on])])
+
+            total = sums(part)
+            shares = total[2:] / max(total[1], 1e-300)
+            primal, dual = v[:-1] @ v[:-1] / 2 - v[-1] + scale * total[0], -(shares @ shares) / 2
+            return (primal - dual) / max(abs(primal), 1e-12)
+
+        return evaluate, losses, apart
+
+    v = np.append(mapped(some).mean(axis=0), 0.0)
     v[-1] = 0.9 * (v[:-1] @ v[:-1])
-    soft, apart = max(v[-1], 1e-3) / 2, np.inf
-    for _ in range(12):
-        v = newton(partial(evaluate, soft=soft), partial(losses, soft=soft), v, 12)
-        primal, dual = values(v, soft)
-        apart = (primal - dual) / max(abs(primal), 1e-12)
-        if apart < gap:
-            break
-        soft /= 3
-    return v[:-1], float(v[-1]), mapped, float(apart)
+    soft, left = max(v[-1], 1e-3) / 2, np.inf
+    for sums, count in ((partial(summed_here, some), len(some)), (partial(summed, rows, names), n)):  # a start on some rows, then all
+        evaluate, losses, apart = problem(sums, count)
+        for _ in range(12):
+            v = newton(partial(evaluate, soft=soft), partial(losses, soft=soft), v, 12, enough=1e-2 * gap)
+            left = apart(v, soft)
+            if left < gap:
+                break
+            soft /= 3
+    return v[:-1], float(v[-1]), mapped, float(left)
 
 
 def one_class_svm(

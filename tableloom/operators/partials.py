@@ -48,13 +48,23 @@ def landmark_rows(rows: DataFrame, columns: Sequence[str], most: int, seed: int
     return spots.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(most).toPandas().to_numpy(float)
 
 
-def landmark_map(x: np.ndarray, gamma: float):
-    """A function that maps rows into the span of the landmarks ``x`` in the space of the kernel exp(-gamma d²) (Nyström)."""
-    def kernel(rows: np.ndarray) -> np.ndarray:
-        gaps = (rows**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * rows @ x.T
-        return np.exp(-gamma * np.maximum(gaps, 0.0))
-
-    values, vectors = np.linalg.eigh(kernel(x))
-    kept = values > 1e-8 * values[-1]
-    into = vectors[:, kept] / np.sqrt(values[kept])
-    return lambda rows: kernel(rows) @ into
+class LandmarkMap:
+    """Maps rows into the span of the landmarks ``x`` in the space of the kernel exp(-gamma d²) (Nyström)."""
+
+    def __init__(self, x: np.ndarray, gamma: float):
+        self.x, self.gamma = x, gamma
+        values, vectors = np.linalg.eigh(self.kernel(x))
+        kept = values > 1e-8 * values[-1]
+        self.into = vectors[:, kept] / np.sqrt(values[kept])
+
+    def kernel(self, rows: np.ndarray) -> np.ndarray:
+        gaps = (rows**2).sum(axis=1)[:, None] + (self.x**2).sum(axis=1)[None, :] - 2 * rows @ self.x.T
+        return np.exp(-self.gamma * np.maximum(gaps, 0.0))
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        return self.kernel(rows) @ self.into
+
+
+def landmark_map(x: np.ndarray, gamma: float) -> LandmarkMap:
+    """A function that maps rows into the span of the landmarks ``x``; ``kernel`` and ``into`` are its two factors."""
+    return LandmarkMap(x, gamma)

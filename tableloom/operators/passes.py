@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 FAN = 64
 #: Rows handed to the function at once.
 ROWS = 4096
+#: Rows that solvers start from, so that few passes over all rows remain.
+START = 20_000
 
 
 def summed(rows: DataFrame, columns: Sequence[str], function: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
@@ -42,10 +44,24 @@ def summed(rows: DataFrame, columns: Sequence[str], function: Callable[[np.ndarr
     return sum((np.frombuffer(r["v"]) for r in sorted(found, key=lambda r: r["part"])), np.zeros(len(found[0]["v"]) // 8)) if found else None
 
 
-def lbfgs(evaluate: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]], start: np.ndarray, iterations: int, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
+def summed_here(x: np.ndarray, function: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``summed`` gives for the few rows of ``x``."""
+    return sum(np.asarray(function(x[k:k + ROWS]), float) for k in range(0, len(x), ROWS))
+
+
+def beginning(rows: DataFrame, columns: Sequence[str], n: int, seed: int = 42) -> np.ndarray:
+    """Some ``START`` of the ``n`` rows (all, if there are fewer), from which a solver starts that ends on all rows."""
+    some = rows.select(*columns)
+    if n > START:
+        some = some.sample(fraction=START / n, seed=seed)
+    return some.toPandas().to_numpy(float)
+
+
+def lbfgs(evaluate: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]], start: np.ndarray, iterations: int, memory: int = 10, tolerance: float = 1e-6, still: float = 1e-9) -> np.ndarray:
     """The point that limited-memory BFGS reaches from ``start``.
 
     ``evaluate`` gives (loss, gradient) of several points from one pass, so the steps of a line search cost one pass together.
+    The end is a gradient below ``tolerance``, or a step that lowers the loss by no more than the share ``still``.
     """
     x, ((loss, gradient),) = start, evaluate([start])
     steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -80,25 +96,41 @@ def lbfgs(evaluate: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]]
         s, y = t * direction, new - gradient
         if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
             steps = [*steps, (s, y)][-memory:]
-        done = loss - value <= 1e-9 * max(1.0, abs(loss))
+        done = loss - value <= still * max(1.0, abs(loss))
         x, loss, gradient = x + s, value, new
         if done:
             break
     return x
 
 
-def newton(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], losses: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray, iterations: int = 30, tolerance: float = 1e-7) -> np.ndarray:
-    """The minimum of a convex function from (loss, gradient, Hessian) of a point; ``losses`` gives those of a line search's points from one pass."""
+def newton(
+    evaluate: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], losses: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray, iterations: int = 30,
+    tolerance: float = 1e-7, enough: float = 0.0,
+) -> np.ndarray:
+    """The minimum of a convex function from (loss, gradient, Hessian) of a point; ``losses`` gives those of a line search's points from one pass.
+
+    A whole step that lowers the loss is taken as it is, so it costs one pass. The end is a gradient below ``tolerance``, or a step
+    that promises less than the share ``enough`` of the loss.
+    """
     x = start
-    for _ in range(iterations):
-        loss, gradient, hessian = evaluate(x)
+    loss, gradient, hessian = evaluate(x)
+    for left in range(iterations, 0, -1):
         if np.abs(gradient).max() < tolerance:
             break
         step = np.linalg.lstsq(hessian + 1e-10 * np.trace(hessian) / len(x) * np.eye(len(x)), gradient, rcond=None)[0]
+        promised = gradient @ step / 2
+        if promised < enough * abs(loss):
+            break
+        ahead = evaluate(x - step)
+        if ahead[0] <= loss - max(0.2 * promised, 1e-12 * max(1.0, abs(loss))):
+            x, (loss, gradient, hessian) = x - step, ahead
+            continue
         sizes = 0.5 ** np.arange(12)
         tried = losses([x - t * step for t in sizes])
         best = int(np.argmin(tried))
         if tried[best] >= loss - 1e-12 * max(1.0, abs(loss)):
             break
         x = x - sizes[best] * step
+        if left > 1:
+            loss, gradient, hessian = ahead if best == 0 else evaluate(x)
     return x
