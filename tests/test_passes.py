@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableloom.operators import anomaly as an
+from tableloom.operators import clustering as cl
+from tableloom.operators import crossval as cv
 from tableloom.operators import models as mo
 from tableloom.operators import passes
 
@@ -34,3 +36,11 @@ def reads(monkeypatch):
 def test_one_class_machine_reads_all_rows_a_few_times(df, reads):
     *_, gap = an.one_class_margin(df, XS, 0.1)
     assert gap < 1e-3 and 1 < len(reads) < 40
+
+
+def test_kernel_classes_read_all_rows_a_few_times_and_store_no_vectors(df, reads):
+    model = mo.fit_model(df, "svm", XS, "kind", "classification")
+    right = model.transform(df).agg(F.avg((F.col("prediction") == F.col("kind")).cast("double"))).first()[0]
+    assert right > 0.95 and 3 < len(reads) < 60
+    with pytest.raises(ValueError, match="without a value"):
+        mo.fit_model(df.withColumn("a", F.when(F.col("id") > 5, F.col("a"))), "svm", XS, "kind", "classification")
