@@ -44,3 +44,9 @@ def test_kernel_classes_read_all_rows_a_few_times_and_store_no_vectors(df, reads
     assert right > 0.95 and 3 < len(reads) < 60
     with pytest.raises(ValueError, match="without a value"):
         mo.fit_model(df.withColumn("a", F.when(F.col("id") > 5, F.col("a"))), "svm", XS, "kind", "classification")
+
+
+def test_perceptron_reads_all_rows_a_few_times(df, reads):
+    model = mo.fit_model(df, "neural_network", XS, "y", hidden=(20,), rounds=60)
+    left = model.transform(df).agg(F.avg((F.col("prediction") - F.col("y")) ** 2) / F.var_pop("y")).first()[0]
+    assert left < 0.02 and 1 < len(reads) < 50
