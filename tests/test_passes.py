@@ -50,3 +50,17 @@ def test_perceptron_reads_all_rows_a_few_times(df, reads):
     model = mo.fit_model(df, "neural_network", XS, "y", hidden=(20,), rounds=60)
     left = model.transform(df).agg(F.avg((F.col("prediction") - F.col("y")) ** 2) / F.var_pop("y")).first()[0]
     assert left < 0.02 and 1 < len(reads) < 50
+
+
+@pytest.mark.parametrize("metric", ["r2", "neg_mean_squared_error"])
+def test_learning_curve_from_moments_equals_that_from_rows(df, monkeypatch, metric):
+    gapped = cv.k_fold(df.withColumn("c", F.when(F.col("id") % 7 > 0, F.col("c"))), ["id"])
+    quick = cv.learning_curve(gapped, "ridge", XS, "y", metric, [0.3, 1.0], key=["id"]).orderBy("train_share").toPandas()
+    monkeypatch.setattr(cv, "SQUARED", ())
+    slow = cv.learning_curve(gapped, "ridge", XS, "y", metric, [0.3, 1.0], key=["id"]).orderBy("train_share").toPandas()
+    pd.testing.assert_frame_equal(quick, slow, rtol=1e-9)
+
+
+def test_learning_curve_copies_no_rows(df, monkeypatch):
+    monkeypatch.setattr(cv, "score", lambda *a: pytest.fail("rows are scored one by one"))
+    assert cv.learning_curve(cv.k_fold(df, ["id"]), "linear_regression", XS, "y", key=["id"]).count() == 10
