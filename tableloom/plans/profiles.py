@@ -132,10 +132,9 @@ def o10(t):
 @query("o10_normal_distance", "SELECT * FROM (VALUES ('logistic', true), ('two points', true)) v(sample, within_bounds)")
 def o10_ks(t):
     """Known distances: the logistic distribution lies 0.02 from its normal, two equal points 0.34."""
-    from pyspark.sql import Window
+    from ..operators.windows import with_position
 
-    u = (F.row_number().over(Window.orderBy("event_id")) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = t.events.select("event_id", u.alias("u"))
+    ranked = with_position(t.events.select("event_id"), ["event_id"], name="at").withColumn("u", (F.col("at") + 0.5) / F.lit(t.events.count()))
     out = None
     for name, value, low, high in (("logistic", F.log(F.col("u") / (1 - F.col("u"))), 0.012, 0.032), ("two points", (F.col("u") > 0.5).cast("double"), 0.32, 0.36)):
         one = pr.normal_distance(ranked.withColumn("v", value), "v").select(F.lit(name).alias("sample"), F.col("ks_distance").between(low, high).alias("within_bounds"))
