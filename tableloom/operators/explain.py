@@ -15,6 +15,7 @@ from .joins import side_by_side
 from .linear import LinearFit
 from .models import Model, assemble
 from .stats import column_stats, one_row
+from .trees import Forest, cell_predictor
 from .windows import top_per_key, with_position
 
 MAX_EXPLAINED, BACKGROUND = 10, 100
@@ -46,12 +47,15 @@ def linear_shapley(df: DataFrame, fit: LinearFit, key: Sequence[str]) -> tuple[D
     return df.select(*key, F.explode(entries).alias("e")).select(*key, "e.*"), base
 
 
-def tree_leaves(model, features: Sequence[str]) -> list[tuple[float, float, list[tuple[int, float, float, float]]]]:
+def tree_leaves(model, features: Sequence[str], cuts: Sequence[np.ndarray] | None = None) -> list[tuple[float, float, list[tuple[int, float, float, float]]]]:
     """Leaves of every tree of a fitted tree model as (weight, value, path).
 
     A path lists for each feature on it the interval (low, high] that leads to the leaf and
-    the share of training rows that the splits on that feature let through.
+    the share of training rows that the splits on that feature let through. ``cuts`` has the values between bins for trees
+    that split bin numbers.
     """
+    if isinstance(model, Forest):
+        return model.leaves()
     trees = model.trees if hasattr(model, "trees") else [model]
     weights = model.treeWeights if hasattr(model, "trees") else [1.0]
     averaging = type(model).__name__.startswith("RandomForest")
@@ -66,6 +70,8 @@ def tree_leaves(model, features: Sequence[str]) -> list[tuple[float, float, list
                 continue
             split = node.split()
             f, cut = int(split.featureIndex()), float(split.threshold())
+            if cuts is not None:
+                cut = float(cuts[f][int(cut)])
             left, right = node.leftChild(), node.rightChild()
             n = {s: float(c.impurityStats().count()) for s, c in (("l", left), ("r", right))}
             low, high, through = path.get(f, (-np.inf, np.inf, 1.0))
@@ -117,7 +123,7 @@ def tree_shapley(df: DataFrame, model: Model, features: Sequence[str], key: Sequ
     The leaves (bounded by the model, not the data) are broadcast; rows are scored in Arrow
     batches. Contributions add up to prediction minus base.
     """
-    leaves = tree_leaves(model.native, features)
+    leaves = tree_leaves(model.native, features, getattr(model, "cuts", None))
     base = sum(w * v * float(np.prod([t for *_, t in path])) if path else w * v for w, v, path in leaves)
     shared = df.sparkSession.sparkContext.broadcast(leaves)
     width = len(features)
@@ -142,9 +148,9 @@ def background(df: DataFrame, key: Sequence[str], n: int = BACKGROUND, seed: int
 def sampled_shapley(df: DataFrame, model: Model, features: Sequence[str], key: Sequence[str], permutations: int = 4, n_background: int = 20, seed: int = 42) -> tuple[DataFrame, float]:
     """Model-agnostic Shapley values by sampled feature orders against a background sample.
 
-    Each row meets a few (order, background row) pairs taken from bounded literals; along an
-    order the features switch from the background to the row, and each switch's change in
-    prediction is that feature's share. The shares of a row add up exactly.
+    Each row meets a few (order, background row) pairs; along an order the features switch from the background to the row, and
+    each switch's change in prediction is that feature's share. The shares of a row add up exactly. A model that is known as a
+    function of a matrix is asked inside the row's Arrow batch, so rows are neither multiplied nor shuffled.
     """
     rng = np.random.default_rng(seed)
     width = len(features)
@@ -155,6 +161,40 @@ def sampled_shapley(df: DataFrame, model: Model, features: Sequence[str], key: S
             draws.append((ground[g], [int(v) for v in rng.permutation(width)]))
     base_rows = df.sparkSession.createDataFrame(ground, ", ".join(f"`{f}` double" for f in features))
     base = one_row(model.transform(base_rows), F.avg("prediction").alias("b"))["b"]
+    try:
+        predict = numpy_predictor(model, features)
+    except ValueError:
+        return _switched(df, model, features, key, draws), float(base)
+    ground_rows, orders = np.array([g for g, _ in draws]), np.array([o for _, o in draws])
+    shared = df.sparkSession.sparkContext.broadcast((ground_rows, orders))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def contributions(*cols: pd.Series) -> pd.Series:
+        """All draws of some rows at a time: one feature after the other switches to the row's value."""
+        ground, orders = shared.value
+        x = np.column_stack([c.to_numpy(float) for c in cols])
+        out, draw = np.zeros(x.shape), np.arange(len(orders))
+        for k in range(0, len(x), 512):
+            some = x[k:k + 512]
+            mixed = np.repeat(ground[None], len(some), axis=0)
+            before = predict(mixed.reshape(-1, width)).reshape(len(some), -1)
+            for step in range(width):
+                f = orders[:, step]
+                mixed[:, draw, f] = some[:, f]
+                after = predict(mixed.reshape(-1, width)).reshape(len(some), -1)
+                for i in range(width):
+                    out[k:k + 512, i] += (after - before)[:, f == i].sum(axis=1)
+                before = after
+        return pd.Series(list(out / len(orders)))
+
+    rows = df.select(*key, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_c", contributions(*features))
+    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col("_c")[i].alias("contribution")) for i, f in enumerate(features)])
+    return rows.select(*key, F.explode(entries).alias("e")).select(*key, "e.*"), float(base)
+
+
+def _switched(df: DataFrame, model: Model, features: Sequence[str], key: Sequence[str], draws: Sequence[tuple]) -> DataFrame:
+    """The contributions of ``sampled_shapley`` for models that only take tables: a row per step of every draw."""
+    width = len(features)
     plan = F.array(*[F.struct(F.array(*map(F.lit, g)).alias("g"), F.array(*map(F.lit, o)).alias("o")) for g, o in draws])
     rows = df.select(*key, *[F.col(f).cast("double").alias(f) for f in features])
     spread = rows.select(*key, F.array(*features).alias("_x"), F.posexplode(plan).alias("_draw", "_d"))
@@ -175,7 +215,7 @@ def sampled_shapley(df: DataFrame, model: Model, features: Sequence[str], key: S
     ))
     long = scored.select(*key, "_x", F.explode(gains).alias("e")).groupBy(*key, "_x", "e.f").agg((F.sum("e.v") / F.lit(float(len(draws)))).alias("contribution"))
     names = F.array(*map(F.lit, features))
-    return long.select(*key, F.get(names, F.col("f")).alias("feature"), F.get("_x", F.col("f")).alias("value"), "contribution"), float(base)
+    return long.select(*key, F.get(names, F.col("f")).alias("feature"), F.get("_x", F.col("f")).alias("value"), "contribution")
 
 
 def numpy_predictor(model: Model, features: Sequence[str]):
@@ -189,7 +229,7 @@ def numpy_predictor(model: Model, features: Sequence[str]):
         weights, intercept = model.native.coefficients.toArray(), float(model.native.intercept)
         return lambda x: x @ weights + intercept
     if hasattr(model.native, "trees") or hasattr(model.native, "toDebugString"):
-        leaves = [(w * v, *(np.array(c) for c in zip(*path))) if path else (w * v, np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0)) for w, v, path in tree_leaves(model.native, features)]
+        leaves = [(w * v, *(np.array(c) for c in zip(*path))) if path else (w * v, np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0)) for w, v, path in tree_leaves(model.native, features, getattr(model, "cuts", None))]
 
         def predict(x: np.ndarray) -> np.ndarray:
             total = np.zeros(len(x))
@@ -197,7 +237,7 @@ def numpy_predictor(model: Model, features: Sequence[str]):
                 total += amount * ((x[:, f.astype(int)] > low) & (x[:, f.astype(int)] <= high)).all(axis=1)
             return total
 
-        return predict
+        return cell_predictor(model.cuts, predict) if hasattr(model, "cuts") else predict
     raise ValueError("no function of a matrix is known for this model: use sampled_shapley")
 
 
