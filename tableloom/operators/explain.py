@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -150,7 +152,7 @@ def sampled_shapley(df: DataFrame, model: Model, features: Sequence[str], key: S
 
     Each row meets a few (order, background row) pairs; along an order the features switch from the background to the row, and
     each switch's change in prediction is that feature's share. The shares of a row add up exactly. A model that is known as a
-    function of a matrix is asked inside the row's Arrow batch, so rows are neither multiplied nor shuffled.
+    function of a matrix is asked inside the row's Arrow batch, so rows are not multiplied; rows with gaps take the longer way.
     """
     rng = np.random.default_rng(seed)
     width = len(features)
@@ -161,9 +163,12 @@ def sampled_shapley(df: DataFrame, model: Model, features: Sequence[str], key: S
             draws.append((ground[g], [int(v) for v in rng.permutation(width)]))
     base_rows = df.sparkSession.createDataFrame(ground, ", ".join(f"`{f}` double" for f in features))
     base = one_row(model.transform(base_rows), F.avg("prediction").alias("b"))["b"]
+    gap = reduce(or_, [F.col(f).cast("double").isNull() | F.isnan(F.col(f).cast("double")) for f in features])
     try:
         predict = numpy_predictor(model, features)
     except ValueError:
+        predict = None
+    if predict is None or df.where(gap).limit(1).count():
         return _switched(df, model, features, key, draws), float(base)
     ground_rows, orders = np.array([g for g, _ in draws]), np.array([o for _, o in draws])
     shared = df.sparkSession.sparkContext.broadcast((ground_rows, orders))
@@ -187,8 +192,13 @@ def sampled_shapley(df: DataFrame, model: Model, features: Sequence[str], key: S
                 before = after
         return pd.Series(list(out / len(orders)))
 
-    rows = df.select(*key, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_c", contributions(*features))
-    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col("_c")[i].alias("contribution")) for i, f in enumerate(features)])
+    # rows that come several times have one share, their sum
+    rows = df.select(*key, *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    names = [f"_x{i}" for i in range(width)]
+    rows = rows.groupBy(*key, *names).agg(F.count(F.lit(1)).alias("_times")).withColumn("_c", contributions(*names))
+    entries = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(n).alias("value"), (F.col("_c")[i] * F.col("_times")).alias("contribution")) for i, (f, n) in enumerate(zip(features, names))
+    ])
     return rows.select(*key, F.explode(entries).alias("e")).select(*key, "e.*"), float(base)
 
 
