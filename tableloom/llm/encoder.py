@@ -19,8 +19,8 @@ from .common import release
 _MARKS = ".,;:!?"
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: An entry of a memory takes some 200 bytes: a memory holds about 48 MB.
-MEMORY_ENTRIES = (48 << 20) // 200
+#: An entry of a memory takes some 200 bytes: a memory holds about 16 MB.
+MEMORY_ENTRIES = (16 << 20) // 200
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -30,7 +30,7 @@ class Encoder:
     The pattern of such tokenizers starts a new word at every single space between two other
     characters, so a text may be cut there, chunks be encoded once by the library, and their ids be
     joined. A chunk that is a word and marks is cut once more between the two. Both memories take
-    ``limit`` entries, then stay as they are, and are emptied by ``forget``. Special tokens' strings in a text are ordinary text.
+    ``limit`` entries, then stay as they are until ``forget``, which empties the full ones. Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str, limit: int = MEMORY_ENTRIES):
@@ -91,9 +91,10 @@ class Encoder:
         return ids
 
     def forget(self) -> None:
-        """Empty the memories, so that an idle worker holds none."""
+        """Empty full memories, which may hold the words of other texts than those to come; the rest serve the next task."""
         for memory in (self.words, self.marks, self.others):
-            memory.clear()
+            if len(memory) >= self.limit:
+                memory.clear()
         release()
 
     def _mark(self, marks: str) -> bytes:
@@ -151,7 +152,7 @@ def _sound(chunk: str) -> bool:
 
 @contextmanager
 def encoder(path: str) -> Iterator[Encoder]:
-    """The encoder of this Python worker, for one task: the file is read once, the memories go with the task."""
+    """The encoder of this Python worker, for one task: the file is read once, full memories go with the task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     try:

@@ -181,3 +181,14 @@ def test_memories_are_bounded_and_emptied(encode):
         list(one.encode_all(pa.array([" ".join(f"word{i}" for i in range(200_000))])))
         assert max(len(one.words), len(one.others), len(one.marks)) <= one.limit < 300_000
     assert not one.words and not one.others and not one.marks
+
+
+def test_memories_below_their_limit_serve_the_next_task():
+    from tableloom.llm import encoder as en
+
+    assert 3 * 200 * en.MEMORY_ENTRIES < 52 << 20  # all three memories of a worker
+    for limit, kept in ((100, True), (3, False)):
+        coder = en.Encoder.__new__(en.Encoder)
+        coder.limit, coder.words, coder.marks, coder.others = limit, {"a": b"", "b": b"", "c": b""}, {}, {}
+        coder.forget()
+        assert bool(coder.words) == kept
