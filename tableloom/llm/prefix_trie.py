@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.windows import with_position
 from .common import store
-from .tree_sums import subtree_sums
+from .tree_sums import path_sums
 
 #: Turns that one window orders at most.
 BLOCK = 4096
@@ -126,7 +126,7 @@ def build_trie(turns: DataFrame, members: DataFrame | None = None) -> DataFrame:
 
     (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256): the smallest member names a
     node; ``n_leaves`` and ``saved_tokens`` (members but one, times the bytes of the last text) are sums over its
-    subtree, by tree contraction; ``ends_sha256`` covers the members that end there. ``members`` lists all conversations if some
+    subtree, added up along the conversations; ``ends_sha256`` covers the members that end there. ``members`` lists all conversations if some
     have no turn. Members of a node are counted in partial aggregates, so a common beginning is no hot key. Without
     conversations there is no root and no row.
     """
@@ -145,15 +145,15 @@ def build_trie(turns: DataFrame, members: DataFrame | None = None) -> DataFrame:
         return match
 
     named = nodes.select(F.col("depth").alias("_depth"), *[F.col(s).alias(f"_{s}") for s in PARTS], F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    tree = store(nodes.join(named, same(F.col("depth") - 1, "p"), "left").select("node", "parent", "depth", "conv_id", "parent_conv_id", "n_convs", "bytes"))
+    tree = store(nodes.join(named, same(F.col("depth") - 1, "p"), "left").select("node", *PARTS, "parent", "depth", "conv_id", "parent_conv_id", "n_convs", "bytes"))
     children = tree.where("parent is not null").groupBy(F.col("parent").alias("_of")).agg(F.count(F.lit(1)).alias("n_children"))
     tree = tree.join(children, F.col("node") == F.col("_of"), "left").drop("_of").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     tree = store(tree.select("*", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved_tokens")))
-    totals = subtree_sums(tree, ["n_leaves", "saved_tokens"])
+    totals = path_sums(tree, prefixes, "conv_id", ["depth", *PARTS], ["n_leaves", "saved_tokens"], BLOCK)
 
     last = prefixes.groupBy("conv_id").agg(F.max(F.struct("depth", *PARTS)).alias("end")).select("conv_id", "end.*")
     ends = last.join(named, same(F.col("depth"), "s")).select(F.col("parent").alias("node"), F.col("conv_id").alias("id"))
     return (
-        tree.drop("n_leaves", "saved_tokens").join(totals, "node").join(hash_lists(ends), "node", "left")
+        totals.join(hash_lists(ends), "node", "left")
         .select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ids_sha256", F.lit(_NO_IDS)).alias("ends_sha256"))
     )

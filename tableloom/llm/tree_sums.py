@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import store
 
@@ -79,3 +79,32 @@ def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
             lower = known.select("node", *[F.col(v).alias(f"_{v}") for v in values])
             known = store(known.unionByName(note.join(lower, "node").select(F.col("cut").alias("node"), *[(F.col(v) + F.col(f"_{v}")).alias(v) for v in values])))
     return known
+
+
+def path_sums(nodes: DataFrame, paths: DataFrame, name: str, key: list[str], values: list[str], block: int = 4096) -> DataFrame:
+    """``nodes`` (``key``, ``name``, depth, values) with every value replaced by its sum over the node's subtree, itself included.
+
+    For a tree whose paths are listed: ``paths`` (``name``, depth, ``key``) has a row per path and node on it, every node is on a path and ``key``
+    is unique in ``nodes``. ``name`` is in ``nodes`` the least name of the paths through the node, so the nodes that a path names
+    are the lower end of it. A subtree then holds all that the paths through its top name, but for the nodes above the top that
+    the path of the top's own name names. So a fixed number of joins does, however deep the tree is: nothing is told from child to parent.
+
+    Paths are added up in partial aggregates, and a long path is worked on in blocks of ``block`` places, so neither is a hot key.
+    """
+    part = F.expr(f"depth div {block}").alias("_block")
+    named = nodes.select(name, part, "depth", *values).groupBy(F.col(name).alias("_name"), "_block").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    listed = paths.select(F.col(name).alias("_of"), part.alias("_at")).distinct()
+    above = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_of")
+    blocks = store(
+        listed.join(named, (F.col("_of") == F.col("_name")) & (F.col("_at") == F.col("_block")), "left").select(
+            "_of", "_at", *[F.coalesce(F.sum(f"_{v}").over(w), F.lit(0)).alias(f"_{how}_{v}") for how, w in (("above", above), ("all", whole)) for v in values],
+        )
+    )
+    here = (F.col(name) == F.col("_of")) & (F.col("_block") == F.col("_at"))
+    through = paths.select(name, part, *key).join(blocks, here).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(*[F.sum(f"_all_{v}").alias(f"_sum_{v}") for v in values])
+    inside = Window.partitionBy(name, "_block").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = nodes.select("*", part).select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_before_{v}") for v in values]).join(blocks, here)
+    total = {v: F.col(f"_sum_{v}") - F.col(f"_above_{v}") - F.col(f"_before_{v}") for v in values}
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_{k}") for k in key])
+    return placed.join(through, same).select(*[total[c].alias(c) if c in total else F.col(c) for c in nodes.columns])

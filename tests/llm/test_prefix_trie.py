@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 from tableloom.llm import plans, prefix_trie
-from tableloom.llm.tree_sums import subtree_sums
+from tableloom.llm.tree_sums import path_sums, subtree_sums
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -125,3 +125,31 @@ def test_trie_of_nothing_and_of_turnless_conversations(spark):
 
 def test_query_equals_sql(spark):
     assert not compare(spark, connect(SF), plans.op13_prefix_trie, plans.ORACLES["op13_prefix_trie"], SF)
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_path_sums(spark, block):
+    """Against plain sums over all longer beginnings, with values of both signs."""
+    rng = random.Random(block)
+    convs = {c: [rng.choice("ab") for _ in range(rng.choice([0, 3, 9, 40]))] for c in rng.sample(range(-50, 500), 60)}
+    members = {}
+    for c, said in convs.items():
+        for d in range(len(said) + 1):
+            members.setdefault("".join(said[:d]), []).append(c)
+    value = {path: rng.randint(-9, 9) for path in members}
+    nodes = spark.createDataFrame([(p, min(m), len(p), value[p], 1) for p, m in members.items()], "path string, c long, depth long, v long, one long")
+    paths = spark.createDataFrame([(c, len(p), p) for p, m in members.items() for c in m], "c long, depth long, path string")
+    got = {r["path"]: (r["v"], r["one"]) for r in path_sums(nodes, paths, "c", ["path"], ["v", "one"], block).collect()}
+    assert got == {p: (sum(v for q, v in value.items() if q.startswith(p)), sum(q.startswith(p) for q in value)) for p in value}
+
+
+def test_plans_do_not_grow_with_depth(spark):
+    """The driver runs as many jobs for a dialogue of 300 turns as for one of three."""
+    def jobs(turns):
+        rows = spark.createDataFrame([(c, t, "user", f"{t % 3} {c if t > turns // 2 else 0}", "x", 7) for c in range(4) for t in range(turns)], TURNS)
+        spark.sparkContext.setJobGroup(group := f"trie of {turns}", "")
+        prefix_trie.build_trie(prefix_trie.order_turns(rows)).count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(300) <= jobs(3) + 4
