@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tableloom.session import scratch_path
 from tableloom.streaming import lifecycles as lc
 from tableloom.streaming import rates
-from tableloom.streaming.ordered import in_order
+from tableloom.streaming.ordered import InOrder, in_order
 from tableloom.streaming.runs import replay, run_now
 
 LATE = "10 minutes"
@@ -100,3 +100,75 @@ def test_last_checks_by_event_time(spark, files):
     for u, part in rows.groupby("u"):
         want = part.sort_values("us").tail(10)["value"]
         assert last.loc[u, "checks"] == len(want) and last.loc[u, "mean"] == pytest.approx(want.mean())
+
+
+class Counted:
+    """A state variable, or the handle of a processor, that counts the calls it gets."""
+
+    def __init__(self, calls):
+        self.calls, self.elements, self.timers = calls, [], []
+
+    def getListState(self, name, schema):
+        return Counted(self.calls)
+
+    getValueState = getListState
+
+    def getCurrentWatermarkInMs(self):
+        return 2000
+
+    def exists(self):
+        self.calls.append("exists")
+        return bool(self.elements)
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.elements))
+
+    def put(self, elements):
+        self.calls.append("put")
+        self.elements = list(elements)
+
+    def appendValue(self, element):
+        self.calls.append("append")
+        self.elements.append(element)
+
+    def clear(self):
+        self.calls.append("clear")
+        self.elements = []
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.append(at)
+
+
+def test_state_calls_do_not_follow_the_keys():
+    """Five hundred keys that share a bucket take as few calls to the state store as one key."""
+    def step(name, events, kept, now):
+        seen = (kept[0] if kept else 0) + len(events)
+        return [(name[0], seen)], (seen,), None
+
+    found = {}
+    for keys in (1, 500):
+        calls = []
+        handle = Counted(calls)
+        processor = InOrder(None, None, ["k", "seen"], step, [0, 1, 2])
+        processor.init(handle)
+        list(processor.handleInputRows((0,), ((k, at * 1_000_000, at) for k in range(keys) for at in (3, 1, 0)), handle))
+        out = [tuple(r) for _ in range(2) for r in processor.handleExpiredTimer((0,), handle, None)]
+        assert sorted(out) == [(k, 2) for k in range(keys)] and handle.timers == [1, 3001]
+        assert sorted(zip(*processor.waiting.elements[0])) == [(k, 3_000_000, 3) for k in range(keys)]
+        found[keys] = len(calls)
+    assert found[1] == found[500] < 12
+
+
+def test_rows_without_time_or_key(spark):
+    """Rows without a time are never decided and harm no others; rows without a key share the limit of none."""
+    rows = [(1, 2**60 + 1, 0), (2, None, 1), (3, 2**60 + 1, 2), (4, 2**60 + 2, 3), (5, None, 4), (6, 7, None), (None, 9, 5), (8, 9, 9000)]
+    frame = [(i, u, None if at is None else (START + pd.Timedelta(seconds=at)).to_pydatetime()) for i, u, at in rows]
+    folder = scratch_path(spark, "gaps")
+    spark.createDataFrame(frame, "id long, u long, ts timestamp").coalesce(1).write.parquet(folder)
+    stream = replay(spark, folder, "*.parquet")
+    out = run_now(rates.sliding_log_stream(stream, "u", "id", most=1, seconds=900, late=LATE), "gaps").collect()
+    assert {(r["id"], r["u"], r["accepted"]) for r in out} == {
+        (1, 2**60 + 1, True), (3, 2**60 + 1, False), (4, 2**60 + 2, True), (2, None, True), (5, None, False), (None, 9, True)
+    }
