@@ -115,14 +115,16 @@ def _frequency_levels(described: DataFrame) -> bytes:
     parts = described.where("slice is not null").select("slice", "part", "counts")
     some = parts.groupBy("slice", F.expr("part div 64").alias("p")).applyInPandas(add, "slice int, part int, counts binary")
     rows = some.groupBy("slice").applyInPandas(add, "slice int, part int, counts binary").collect()
-    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint64)
-    for r in rows:
-        counts[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-    flat = counts.ravel().astype(np.float32)
-    mean = max(float(flat.mean()), 1e-9)
-    z = (flat - mean) / np.float32(np.sqrt(mean))
-    levels = np.where(z <= 4, np.clip(64 + 16 * z, 0, 127), np.clip(128 + 12 * np.log2(np.maximum(z, 4) / 4), 0, 255))
-    return levels.astype(np.uint8).tobytes()
+    parts = {r["slice"]: r["counts"] for r in rows}  # compressed: the driver unpacks a slice at a time
+    empty = zlib.compress(np.zeros((1 << SKETCH_BITS) // SLICES, np.uint64).tobytes(), 1)
+    counts = (np.frombuffer(zlib.decompress(parts.get(k, empty)), np.uint64) for k in range(SLICES))
+    mean = max(float(sum(int(c.sum()) for c in counts)) / (1 << SKETCH_BITS), 1e-9)
+
+    def scale(c: np.ndarray) -> bytes:
+        z = (c.astype(np.float32) - mean) / np.float32(np.sqrt(mean))
+        return np.where(z <= 4, np.clip(64 + 16 * z, 0, 127), np.clip(128 + 12 * np.log2(np.maximum(z, 4) / 4), 0, 255)).astype(np.uint8).tobytes()
+
+    return b"".join(scale(np.frombuffer(zlib.decompress(parts.get(k, empty)), np.uint64)) for k in range(SLICES))
 
 
 def _prefixes(docs: DataFrame, levels: bytes) -> DataFrame:
@@ -187,7 +189,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 keep.append(common * DEN >= NUM * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return store(both.mapInArrow(similar, "a long, b long"))
+    linked = store(both.mapInArrow(similar, "a long, b long"))
+    forget(pairs.sparkSession)
+    return linked
 
 
 def _sizes_fit(x: str, y: str) -> Column:

@@ -98,7 +98,11 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key:
     if not table.num_rows:
         return None
     langs = np.array(table.column("lang").to_pylist())
-    x = unit_rows(np.stack([np.frombuffer(c.as_py(), np.int32) for c in table.column("counts")]))
+    x, counts = np.empty((table.num_rows, 1 << bits), np.float32), table.column("counts")
+    for k in range(0, len(x), 64):  # counts of all rows in 64 bits would take several times the room
+        x[k:k + 64] = unit_rows(np.stack([np.frombuffer(c.as_py(), np.int32) for c in counts[k:k + 64]]))
+    del table, counts
+    release()
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         families.setdefault(next((f for f, members in FAMILIES.items() if lang in members), lang), []).append(lang)

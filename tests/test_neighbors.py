@@ -114,3 +114,18 @@ def test_mean_shift_finds_the_clumps(spark):
     centres = modes.orderBy(F.desc("weight")).limit(3).select("x0", "x1").toPandas().to_numpy()
     for want in ((0, 0), (4, 1), (2, 2)):
         assert min(np.hypot(*(c - np.array(want))) for c in centres) < 0.5
+
+
+def test_stars_need_no_round(spark):
+    """Edges that are stars around their smallest nodes are done: nothing but the edges is stored; a chain takes rounds."""
+    def stored(edges):
+        nodes = spark.createDataFrame([(n,) for n in sorted({n for e in edges for n in e})], "node long")
+        spark.sparkContext.setJobGroup(group := f"components of {edges[:3]}", "")
+        got = {r["node"]: r["component"] for r in connected_components(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    stars, few = stored([(1, b) for b in range(2, 9)] + [(20, 21), (22, 20), (22, 22), (1, 2)])
+    assert stars == {**dict.fromkeys(range(1, 9), 1), 20: 20, 21: 20, 22: 20}
+    chain, many = stored([(b, b + 1) for b in range(1, 9)])
+    assert chain == dict.fromkeys(range(1, 10), 1) and few < many / 2
