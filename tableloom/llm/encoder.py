@@ -21,6 +21,8 @@ _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: An entry of a memory takes some 200 bytes: a memory holds about 16 MB.
 MEMORY_ENTRIES = (16 << 20) // 200
+#: Characters of new chunks that the library encodes in one call: it takes a hundred bytes and more of its own for each.
+CALL = 16 << 10
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -51,9 +53,17 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _together(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks without a space, each with one before it, from one call: each begins where an id begins with a space."""
-        if not chunks:
-            return {}
+        """Ids of chunks without a space, each with one before it, from calls of at most ``CALL`` characters (or one longer chunk)."""
+        ends = np.cumsum([len(c) + 1 for c in chunks])
+        found, begin = {}, 0
+        while begin < len(chunks):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CALL, side="right")))
+            found |= self._one_call(chunks[begin:end])
+            begin = end
+        return found
+
+    def _one_call(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of some chunks without a space, each with one before it: each begins where an id begins with a space."""
         [coded] = self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)
         ids = np.array(coded.ids, dtype="<u4")
         cuts = np.flatnonzero(self.spaces[ids])
@@ -114,7 +124,7 @@ class Encoder:
         first, *rest = _SAFE_SPACE.split(text)
         return self._plain(first) + b"".join([self._plain(" " + c) if v is None else v for c, v in zip(rest, self._known(rest))])
 
-    def encode_all(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[bytes]:
+    def encode_all(self, texts: pa.Array, most: int = 512 << 10) -> Iterator[bytes]:
         """Ids of many texts in order, null as none, some ``most`` bytes of text at a time.
 
         Chunks are split and told apart by Arrow, looked up once each, and put together by Arrow again.

@@ -139,7 +139,7 @@ def pack(
             yield batch_of()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    with arrow_rows(docs.sparkSession, 2048):
+    with arrow_rows(docs.sparkSession, 512):
         items = store(source.mapInArrow(encode, schema))
     counts = items.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))

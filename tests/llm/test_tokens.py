@@ -1,6 +1,9 @@
 """Token files and packing against the tokenizer itself."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -183,6 +186,35 @@ def test_memories_are_bounded_and_emptied(encode):
     assert not one.words and not one.others and not one.marks
 
 
+def test_new_words_take_little_memory_beside_their_ids():
+    """A batch of 8 MB of words not seen before: the worker grows by its memories and by little more."""
+    code = """
+import random, resource, pyarrow as pa
+from tableloom.llm import plans
+from tableloom.llm.encoder import Encoder
+one, rng = Encoder(plans.tokenizer_file()), random.Random(1)
+texts = pa.array([" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(600)) for _ in range(2000)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(1 for _ in one.encode_all(texts))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    n, mb = map(int, done.stdout.split())
+    assert n == 2000 and mb < 120
+
+
+def test_calls_to_the_library_are_cut_anywhere(monkeypatch, reference):
+    from tableloom.llm import encoder as en
+
+    text = "start " + " ".join(random.Random(2).choice(["alpha", "beta,", "12", "été", "x" * 40, "don't", "中", "<|endoftext|>"]) + str(i % 7) for i in range(300))
+    for most in (1, 30, 1 << 20):
+        monkeypatch.setattr(en, "CALL", most)
+        one = Encoder(plans.tokenizer_file(), limit=3000)
+        [ids] = one.encode_all(pa.array([text]))
+        assert np.frombuffer(ids, "<u4").tolist() == reference(text)[:-1]
+
+
 def test_memories_below_their_limit_serve_the_next_task():
     from tableloom.llm import encoder as en
 
