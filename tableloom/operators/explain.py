@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -11,13 +11,13 @@ from operator import or_
 import numpy as np
 import pandas as pd
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .joins import side_by_side
 from .linear import LinearFit
 from .models import Model, assemble
 from .stats import column_stats, one_row
-from .trees import Forest, cell_predictor
+from .trees import Forest, cell_ends, cell_of, cell_predictor
 from .windows import top_per_key, with_position
 
 MAX_EXPLAINED, BACKGROUND = 10, 100
@@ -119,25 +119,49 @@ def _leaf_contributions(x: np.ndarray, leaves, width: int) -> np.ndarray:
     return out
 
 
+def _cell_contributions(spark: SparkSession, leaves, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    """The contributions of every cell, of which ``trees.grid`` allows ``CELLS``, worked out by tasks of some cells each."""
+    points, width = cell_ends(cuts), len(cuts)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            at = frame["id"].to_numpy()
+            yield pd.DataFrame({"id": at, "c": list(_leaf_contributions(points[at], leaves.value, width))})
+
+    cells = spark.range(0, len(points), 1, -(-len(points) // 1024)).mapInPandas(part, "id long, c array<double>").toPandas()
+    return np.stack(cells.sort_values("id")["c"].to_numpy())
+
+
 def tree_shapley(df: DataFrame, model: Model, features: Sequence[str], key: Sequence[str]) -> tuple[DataFrame, float]:
     """Long (key, feature, value, contribution) of a tree model, and the base value.
 
     The leaves (bounded by the model, not the data) are broadcast; rows are scored in Arrow
-    batches. Contributions add up to prediction minus base.
+    batches. Trees on binned columns are asked once for every cell of bins, and rows look up their cell.
+    Contributions add up to prediction minus base.
     """
-    leaves = tree_leaves(model.native, features, getattr(model, "cuts", None))
+    cuts = getattr(model.native if isinstance(model.native, Forest) else model, "cuts", None)
+    leaves = tree_leaves(model.native, features, cuts)
     base = sum(w * v * float(np.prod([t for *_, t in path])) if path else w * v for w, v, path in leaves)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
-    width = len(features)
+    context, width = df.sparkSession.sparkContext, len(features)
+    shared = context.broadcast(leaves)
+    by_cell = None if cuts is None else context.broadcast((cuts, _cell_contributions(df.sparkSession, shared, cuts)))
+    names = [f"c{i}" for i in range(width)]
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def contributions(*cols: pd.Series) -> pd.Series:
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def contributions(*cols: pd.Series) -> pd.DataFrame:
         x = np.column_stack([c.to_numpy(float) for c in cols])
-        return pd.Series(list(_leaf_contributions(x, shared.value, width)))
+        if by_cell is None:
+            return pd.DataFrame(_leaf_contributions(x, shared.value, width), columns=names)
+        cuts, table = by_cell.value
+        out = table[cell_of(x, cuts)]
+        outside = ~(x > -np.inf).all(axis=1)  # rows with gaps are in no cell
+        if outside.any():
+            out[outside] = _leaf_contributions(x[outside], shared.value, width)
+        return pd.DataFrame(out, columns=names)
 
     scored = df.withColumn("_c", contributions(*[F.col(f).cast("double") for f in features]))
     entries = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.col("_c")[i].alias("contribution")) for i, f in enumerate(features)
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.col("_c")[n].alias("contribution")) for n, f in zip(names, features)
     ])
     return scored.select(*key, F.explode(entries).alias("e")).select(*key, "e.*"), float(base)
 

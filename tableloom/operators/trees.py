@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from math import exp, factorial
 from operator import or_
 
 import numpy as np
@@ -18,6 +19,8 @@ from .stats import one_row
 BINS = 32
 #: Cells up to which rows are summed up by cell; beyond that there is little to sum.
 CELLS = 1 << 15
+#: Rows that a task draws at once.
+DRAWN = 1 << 16
 _NODES = "tree int, node int, feature int, cut double, low int, high int, value double, count double, gain double"
 
 
@@ -80,39 +83,74 @@ def cells(df: DataFrame, features: Sequence[str], cuts: Sequence[np.ndarray], ta
     return binned.groupBy(*names).agg(weight, F.avg(F.col(target).cast("double")).alias("_y")).coalesce(1)
 
 
+def cell_ends(cuts: Sequence[np.ndarray]) -> np.ndarray:
+    """A row per cell: the values at its upper ends, which belong to it."""
+    ends = [np.append(c, np.inf) for c in cuts]
+    return np.stack([e[i.ravel()] for e, i in zip(ends, np.indices([len(e) for e in ends]))], axis=1)
+
+
+def cell_of(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    """The row of ``cell_ends`` that every row of a float matrix belongs to."""
+    return np.ravel_multi_index([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)], [len(c) + 1 for c in cuts])
+
+
 def cell_predictor(cuts: Sequence[np.ndarray], predict):
     """``predict`` of a float matrix, asked once for every cell: rows then only look up their cell."""
-    shape = tuple(len(c) + 1 for c in cuts)
-    ends = [np.append(c, np.inf) for c in cuts]
-    table = predict(np.stack([e[i.ravel()] for e, i in zip(ends, np.indices(shape))], axis=1))
-    return lambda x: table[np.ravel_multi_index([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)], shape)]
+    table = predict(cell_ends(cuts))
+    return lambda x: table[cell_of(x, cuts)]
 
 
 # ---- forests ----
 
 
+#: Where the chances of 0, 1, 2, ... draws end, on a scale of two bytes.
+_EDGES = 65536 * np.cumsum([exp(-1) / factorial(k) for k in range(15)])
+#: Draws by the whole part of a place on that scale; -1 where an edge lies inside.
+_TIMES = np.searchsorted(_EDGES, np.arange(65536.0), side="right").astype(float)
+_TIMES[_EDGES.astype(int)] = -1.0
+
+
+def poisson_times(rng: np.random.Generator, n: int) -> np.ndarray:
+    """Poisson numbers of mean 1, most of them read off two random bytes; only near an edge do the further digits decide."""
+    place = rng.integers(0, 65536, n, dtype=np.uint16)
+    times = _TIMES[place]
+    near = np.flatnonzero(times < 0)
+    times[near] = np.searchsorted(_EDGES, place[near] + rng.random(len(near)), side="right")
+    return times
+
+
 def _drawn(rows: DataFrame, size: int, trees: int, seed: int) -> DataFrame:
     """(tree, cell, w, s): how many rows of a cell a tree draws with replacement, and the sum of their targets.
 
-    Every row is drawn a Poisson number of times by every tree; a task adds up its rows by cell.
+    Every row is drawn a Poisson number of times by every tree; a task adds up its rows by cell, many rows at once.
     """
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        sums = np.zeros((2, size, trees))
+        sums = np.zeros((2, trees, size))
+
+        def draw(frames: list[pd.DataFrame]) -> None:
+            code, y = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("cell", "y"))
+            for k in range(0, len(code), DRAWN):
+                cell, target = code[k:k + DRAWN].astype(np.intp), y[k:k + DRAWN]
+                for tree in range(trees):
+                    times = poisson_times(rng, len(cell))
+                    sums[0, tree] += np.bincount(cell, times, size)
+                    sums[1, tree] += np.bincount(cell, times * target, size)
+
+        waiting, n = [], 0
         for frame in batches:
-            frame = frame.sort_values("cell", kind="stable")
-            code, y = frame["cell"].to_numpy(), frame["y"].to_numpy(float)
-            if not len(code):
-                continue
-            first = np.flatnonzero(np.append(True, np.diff(code) > 0))
-            times = rng.poisson(1.0, (len(code), trees)).astype(float)
-            sums[0, code[first]] += np.add.reduceat(times, first, axis=0)
-            sums[1, code[first]] += np.add.reduceat(times * y[:, None], first, axis=0)
-        for k in range(0, size, 1024):
-            cell, tree = np.nonzero(sums[0, k:k + 1024])
+            waiting.append(frame)
+            n += len(frame)
+            if n >= DRAWN:
+                draw(waiting)
+                waiting, n = [], 0
+        if n:
+            draw(waiting)
+        for tree in range(trees):
+            cell = np.flatnonzero(sums[0, tree])
             if len(cell):
-                w, s = sums[:, k + cell, tree]
-                yield pd.DataFrame({"tree": tree.astype(np.int32), "cell": (k + cell).astype(np.int32), "w": w, "s": s})
+                w, s = sums[:, tree, cell]
+                yield pd.DataFrame({"tree": np.full(len(cell), tree, np.int32), "cell": cell.astype(np.int32), "w": w, "s": s})
 
     long = rows.mapInPandas(part, "tree int, cell int, w double, s double")
     return long.groupBy("tree", "cell").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))

@@ -1,5 +1,7 @@
 """Trees on cells of binned columns against trees on rows, and the forest grown from drawn cells."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -69,6 +71,50 @@ def test_forest_of_drawn_cells(df):
     np.testing.assert_allclose(sums + base, out.sort_values("id")["prediction"], rtol=1e-6)
 
 
+@pytest.mark.parametrize("name", ["random_forest", "decision_tree"])
+def test_leaves_are_asked_for_cells_not_for_rows(spark, df, monkeypatch, name):
+    model = mo.fit_model(df, name, XS, "y", **({"n_estimators": 10} if name == "random_forest" else {}))
+    odd = spark.createDataFrame(pd.DataFrame({"id": -np.arange(1.0, 5.0), "a": [np.nan, 2.5, 1e9, -np.inf], "b": [3.0, -7.0, 2.5, 1.0]}))
+    rows = df.select(F.col("id").cast("double"), *[F.col(x).cast("double") for x in XS]).unionByName(odd)
+    seen, of_leaves = spark.sparkContext.accumulator(0), ex._leaf_contributions
+
+    def counted(x, leaves, width):
+        seen.add(len(x))
+        return of_leaves(x, leaves, width)
+
+    monkeypatch.setattr(ex, "_leaf_contributions", counted)
+    found, base = ex.tree_shapley(rows, model, XS, ["id"])
+    got = found.groupBy("id").pivot("feature", XS).agg(F.first("contribution")).orderBy("id").toPandas()
+    assert 0 < seen.value <= 12 * 9 + 2  # the cells, and the rows that are in none
+    x = rows.orderBy("id").toPandas()[XS].to_numpy(float)
+    cuts = (model.native if name == "random_forest" else model).cuts
+    np.testing.assert_allclose(got[XS], of_leaves(x, ex.tree_leaves(model.native, XS, cuts), 2), rtol=1e-9, atol=1e-12)
+
+
+def test_cells_have_the_values_at_their_upper_ends():
+    cuts = [np.array([1.5, 2.5]), np.array([]), np.array([-1.0])]
+    ends = tr.cell_ends(cuts)
+    assert ends.shape == (6, 3) and tr.cell_of(ends, cuts).tolist() == list(range(6))
+    assert tr.cell_of(np.array([[1.5, 0.0, -1.0], [1.6, 0.0, -0.9]]), cuts).tolist() == [0, 3]
+
+
+def test_times_drawn_are_poisson_numbers():
+    n = 1_000_000
+    found = np.bincount(tr.poisson_times(np.random.default_rng(4), n).astype(int), minlength=8)
+    chances = np.array([np.exp(-1) / math.factorial(k) for k in range(8)])
+    assert (np.abs(found[:8] - n * chances) < 5 * np.sqrt(n * chances) + 5).all() and len(found) < 16
+
+
+def test_draws_of_rows_by_cell(spark):
+    """A task that draws in several goes gives each row to a tree once on average, and its target with it."""
+    n = 150_000
+    rows = spark.range(0, n, 1, 2).select((F.col("id") % 3).cast("int").alias("cell"), (F.col("id") % 3 + 1.0).alias("y"))
+    got = tr._drawn(rows, 4, 5, 42).orderBy("tree", "cell").toPandas()
+    assert got[["tree", "cell"]].to_numpy().tolist() == [[t, c] for t in range(5) for c in range(3)]
+    assert (got["w"] == got["w"].round()).all() and (abs(got["w"] - n / 3) < 5 * (n / 3) ** 0.5).all() and got["w"].nunique() > 5
+    np.testing.assert_allclose(got["s"], got["w"] * (got["cell"] + 1.0))
+
+
 def test_trees_refuse_gaps_as_before(df):
     with pytest.raises(Exception):
         mo.fit_model(df.withColumn("a", F.when(F.col("id") > 0, F.col("a"))), "decision_tree", XS, "y")
